@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, packed, separators, warc
+from . import bpe, jaccard, licenses, mixing, packed, quality, separators, warc
 from .common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +24,11 @@ QUERIES: dict[str, Query] = {
     "op2_tree_concatenation": _query("documents", bpe.round_trip_digests),
     "op3_splitting_tree": _query("documents", mixing.taken),
     "op4_separator_scan": _query("documents", separators.document_token_counts),
+    "op5_diagonal_voting": _query("documents", licenses.scan),
     "op7_bit_packing": _query("documents", lambda docs: packed.read(packed.write(docs))),
     "op8_chunked_records": _query("pages", warc.page_records),
+    "op9_mcd_outliers": _query("documents", quality.quality),
+    "op10_prefix_tree": _query("documents", jaccard.groups),
 }
 
 _BASE32 = " || ".join(
