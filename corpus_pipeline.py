@@ -6,12 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathgrade.llm import bpe, mixing
+from pathgrade.llm import bpe, jaccard, mixing, quality, toxicity
 from pathgrade.llm.common import materialize, ship, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The model learns from the labels of the documents that are here."""
+    ship(spark)
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers of their language and source."""
+    return quality.keep_good(docs)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id: five words, a similarity of 0.8."""
+    ship(spark)
+    return jaccard.keep_one(docs, percent=80, words=5)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents in the mixture's proportions; one that is drawn twice has two rows."""
     return mixing.mixture(docs, whole_documents=True).select(*docs.columns)
@@ -24,6 +41,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("quality rules", drop_poor),
+    ("n-gram Jaccard join", drop_copies),
     ("mixing sources to target weights", mix),
     ("BPE encoding and decoding", encode),
 ]

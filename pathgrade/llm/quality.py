@@ -32,8 +32,8 @@ LEAST_ROWS = 200
 VECTOR = (
     ("log_words", lambda w, c, s, d, r, n: F.log(w), 0.6),
     ("mean_word", lambda w, c, s, d, r, n: F.log(c / w), 0.12),
-    ("symbols", lambda w, c, s, d, r, n: F.sqrt(s / c), 0.045),
-    ("dup_lines", lambda w, c, s, d, r, n: F.sqrt(d / F.greatest(n, F.lit(1))), 0.16),
+    ("symbols", lambda w, c, s, d, r, n: F.sqrt(s / c), 0.042),
+    ("dup_lines", lambda w, c, s, d, r, n: F.sqrt(d / F.greatest(n, F.lit(1))), 0.2),
     ("repeats", lambda w, c, s, d, r, n: F.sqrt(r / w), 0.12),
 )
 #: The chi-square distribution's median for five dimensions, and the cutoff: a distance of 6 ordinary deviations.

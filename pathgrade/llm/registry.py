@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, licenses, mixing, packed, quality, separators, warc
+from . import bpe, jaccard, licenses, mixing, neighbours, packed, quality, separators, toxicity, warc
 from .common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,11 +20,18 @@ def _query(name: str, run: Callable[[DataFrame], DataFrame]) -> Query:
     return query
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_adaptive_dimension_scan": _query("embeddings", neighbours.nearest),
     "op2_tree_concatenation": _query("documents", bpe.round_trip_digests),
     "op3_splitting_tree": _query("documents", mixing.taken),
     "op4_separator_scan": _query("documents", separators.document_token_counts),
     "op5_diagonal_voting": _query("documents", licenses.scan),
+    "op6_levenshtein_lexicon": op6,
     "op7_bit_packing": _query("documents", lambda docs: packed.read(packed.write(docs))),
     "op8_chunked_records": _query("pages", warc.page_records),
     "op9_mcd_outliers": _query("documents", quality.quality),
