@@ -1,0 +1,64 @@
+"""Simulated raters whose seeded generator SQL cannot express: pandas UDFs over columns of keys."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as S
+
+from .. import constants as K
+
+
+def persona_scores(item: str, rater: str, scenario: str = "") -> list[int]:
+    """Scores in the order of the dimensions: SHA-256 of item and rater, its first four bytes little-endian, seed the generator."""
+    rng = random.Random(int.from_bytes(hashlib.sha256(f"{item}:{rater}".encode()).digest()[:4], "little"))
+    out = []
+    for dim, (low, high) in zip(K.DIMENSIONS, K.RATER_RANGES[rater], strict=True):
+        if rater == "ClinicalSafetyFirst" and dim == "goal_alignment":
+            low, high = (3, 4) if scenario == "health_alert" else (1, 2)
+        out.append(rng.randint(low, high))
+    return out
+
+
+def preference_score(sample: str, rater: str, dim: str) -> int:
+    rng = random.Random(int.from_bytes(hashlib.sha256(f"{sample}:{rater}:{dim}".encode()).digest()[:4], "big"))
+    bias = K.PREFERENCE_BIAS[rater][K.PREFERENCE_DIMENSIONS.index(dim)]
+    return max(1, min(4, 3 + bias + rng.randint(-1, 1)))
+
+
+def mock_tokens(task: str, framework: str, run: int) -> int:
+    return random.Random(f"{task}:{framework}:{run}").randint(*K.MOCK_TOKENS[framework])
+
+
+@F.pandas_udf(S.ArrayType(S.IntegerType()))
+def persona_scores_udf(item: pd.Series, rater: pd.Series, scenario: pd.Series) -> pd.Series:
+    return pd.Series([persona_scores(*x) for x in zip(item, rater, scenario, strict=True)])
+
+
+@F.pandas_udf(S.IntegerType())
+def preference_score_udf(sample: pd.Series, rater: pd.Series, dim: pd.Series) -> pd.Series:
+    return pd.Series([preference_score(*x) for x in zip(sample, rater, dim, strict=True)])
+
+
+@F.pandas_udf(S.IntegerType())
+def mock_tokens_udf(task: pd.Series, framework: pd.Series, run: pd.Series) -> pd.Series:
+    return pd.Series([mock_tokens(*x) for x in zip(task, framework, run, strict=True)])
+
+
+def annotate(items: DataFrame, item: str = "traj", scenario: str = "scenario") -> DataFrame:
+    """Items by five raters: item, rater and a column for each dimension."""
+    rows = items.select(F.col(item).alias("item"), F.col(scenario).alias("scenario"), F.explode(F.array(*[F.lit(r) for r in K.RATERS])).alias("rater"))
+    rows = rows.withColumn("s", persona_scores_udf("item", "rater", "scenario"))
+    return rows.select("item", "rater", "scenario", *[F.col("s")[k].alias(d) for k, d in enumerate(K.DIMENSIONS)])
+
+
+def long_labels(wide: DataFrame) -> DataFrame:
+    return wide.unpivot(["item", "rater"], list(K.DIMENSIONS), "dim", "label")
+
+
+def round_half_even(x: Column) -> Column:
+    return F.bround(x)
