@@ -213,7 +213,7 @@ def target_gate(spark, d):
 # Path-invariant items: a trajectory's three dimensions in three bins, rated by its user's first and second half of days.
 @query(
     "step_kappa_weighted",
-    f"""SELECT sum(items) AS steps, round(sum(kappa * items) / sum(items), 9) AS kappa FROM {fleiss_sql('f_steplabels', 'pair')}""",
+    f"""SELECT sum(items)::BIGINT AS steps, round(sum(kappa * items) / sum(items), 9) AS kappa FROM {fleiss_sql('f_steplabels', 'pair')}""",
     (
         V.STEPS,
         f"f_steplabels AS (SELECT user_id AS pair, event_id AS item, rater, {V.number_sql('event_id', 'rater')} % 3 AS label FROM f_steps, (SELECT unnest([{names_sql(K.RATERS)}]) AS rater))",
