@@ -4,12 +4,14 @@ All sets are in one global order: shingles that many documents share come last,
 
 1. Equal sets are one class; a class takes part once.
 2. Two sets can only link if they share one of their first n - ceil(n * percent / 100) + 1 shingles. These prefixes are
-   the roots below which partners are looked for: an index (shingle, class) without the shingles of one class.
-3. First round: each class is compared with one leader, the smallest of those that share one of its first shingles.
-   Links make components. Second round: all pairs below a common root that still are in different components. So a
-   group of many near copies costs a comparison each, and no link between different texts is lost that could join
-   two components. A parity sketch of each set, a bound for the difference of two sets that never exceeds it, drops
-   pairs that cannot link before any set is fetched.
+   the roots below which partners are looked for: an index (shingle, class), of which only rows stay that have another
+   class below their root whose size and place allow a link.
+3. Rounds, each followed by verification and components. First, below each set's HEAD first roots, the classes form
+   stars around those that seem near to most; then once more those of different components. Next, below the same roots,
+   all pairs that still are in different components; last, all such pairs below any root that have not met below the
+   first ones. So most of a large group of near copies costs a comparison or two each, and no link between different
+   texts is lost that could join two components. A parity sketch of each set, a bound for the difference of two sets that never exceeds
+   it, drops pairs that cannot link before any set is fetched.
 4. Pairs are verified on the whole sets: a task stores the sets to be compared with one set in a prefix tree, walks it
    with the overlap so far shared by all sets below a node, and abandons subtrees in which the shingles left cannot
    make up what is missing.
@@ -42,8 +44,11 @@ FREQUENT = 65_536
 REPORTED = 8
 #: Bits of the filter that selects the texts whose sets are fetched; false hits cost time only.
 FILTER_BITS = 1 << 25
-ROUND_ONE_ROOTS = 2
-#: Below a root of at most so many classes all pairs are looked at in either round.
+#: The first rounds look below so many roots of each set only.
+HEAD = 3
+#: Classes of a root that are tried as the middle of a star, and how often in vain.
+LEADERS, MOST_VAIN = 8, 16
+#: Below a root of at most so many classes pairs are looked at together, else class by class.
 SMALL_RUN = 32
 
 
@@ -73,9 +78,9 @@ def _ordered(keys: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.nda
 
 
 def sketch(keys: np.ndarray) -> bytes:
-    """Parities of the numbers of keys in 2**k >= n / 2 cells: two sets differ in as many keys at least as in cells."""
+    """Parities of the numbers of keys in 2**k >= 2 n cells: two sets differ in as many keys at least as in cells."""
     bits = 256
-    while bits * 2 < len(keys):
+    while bits < 2 * len(keys):
         bits *= 2
     odd = np.bincount((keys & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
@@ -175,32 +180,40 @@ def _whole_runs(source: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield rest
 
 
-def _shared(index: DataFrame) -> DataFrame:
-    """The rows of an index whose shingle more than one row has."""
+def _shared(index: DataFrame, percent: int) -> DataFrame:
+    """The rows of an index (shingle, id, n, place) with a possible partner below their root."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the row that ended the batch before, and whether it has been given
-        for batch in source:
-            keys = batch.column("shingle").to_numpy()
-            if not len(keys):
-                continue
-            same = keys[1:] == keys[:-1]
-            keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            if last is not None and last[0].column("shingle")[0].as_py() == keys[0]:
-                keep[0] = True
-                if not last[1]:
-                    yield last[0]
-            yield batch.filter(pa.array(keep))
-            last = (batch.slice(batch.num_rows - 1), bool(keep[-1]))
+        for table in _whole_runs(source):
+            key, n, place = (table.column(c).to_numpy() for c in ("shingle", "n", "place"))
+            keep = np.zeros(len(key), bool)
+            sizes = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]]))
+            of_run = np.repeat(sizes, sizes)
+            for d in range(1, min(SMALL_RUN, len(key))):
+                i = np.flatnonzero((key[d:] == key[:-d]) & (of_run[d:] <= SMALL_RUN))
+                if not len(i):
+                    break
+                i = i[_fits(n, place, i, i + d, percent)]
+                keep[i] = keep[i + d] = True
+            keep |= of_run > SMALL_RUN
+            if keep.any():
+                yield from table.filter(pa.array(keep)).to_batches()
 
     n = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return index.repartition(n, "shingle").sortWithinPartitions("shingle").mapInArrow(run, index.schema)
 
 
-def _candidates(index: DataFrame, percent: int, leaders: bool) -> DataFrame:
+def _fits(n: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and places allow a link, if the root is the first shingle that both have (else that one serves them)."""
+    need = -(-percent * (n[i] + n[j]) // (100 + percent))
+    return 1 + np.minimum(n[i] - place[i] - 1, n[j] - place[j] - 1) >= need
+
+
+def _candidates(index: DataFrame, percent: int, mode: str) -> DataFrame:
     """Pairs a, b below a common root, of different components, that sizes, places and sketches do not rule out.
 
-    leaders: in runs of over SMALL_RUN rows each row is held only against the leaders so far.
+    first, again: stars, in which each class stands once at most below a root; all: all pairs; rest: all pairs without
+    a common root among their first ones.
     """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,33 +221,50 @@ def _candidates(index: DataFrame, percent: int, leaders: bool) -> DataFrame:
             r = {c: table.column(c).to_numpy() for c in ("shingle", "place", "id", "n", "component")}
             r["sketch"] = table.column("sketch").combine_chunks()
             r["cells"] = pc.binary_length(r["sketch"]).to_numpy(zero_copy_only=False) // 8
+            if mode == "rest":
+                r["head"] = np.array(table.column("head").to_pylist(), np.int64).reshape(-1, HEAD)
             bounds = np.concatenate([[0], np.flatnonzero(np.diff(r["shingle"])) + 1, [len(r["shingle"])]])
             sizes = np.diff(bounds)
-            of_run = np.repeat(sizes, sizes)
             found = []
-            for d in range(1, SMALL_RUN):
-                i = np.flatnonzero((r["shingle"][d:] == r["shingle"][:-d]) & (of_run[d:] <= SMALL_RUN)) if d < len(of_run) else of_run[:0]
-                if not len(i):
-                    break
-                found.append(_possible(r, i, i + d, percent))
-            for k in np.flatnonzero(sizes > SMALL_RUN):
-                found += (_by_leader if leaders else _across)(r, int(bounds[k]), int(bounds[k + 1]), percent)
+            low, high = np.minimum.reduceat(r["component"], bounds[:-1]), np.maximum.reduceat(r["component"], bounds[:-1])
+            mixed = low != high
+            if mode in ("first", "again"):
+                two = bounds[:-1][mixed & (sizes == 2)]
+                found.append(_possible(r, two, two + 1, percent))
+                for k in np.flatnonzero(mixed & (sizes > 2)):
+                    found += _stars(r, int(bounds[k]), int(bounds[k + 1]), percent)
+            else:
+                of_run = np.repeat(np.where(mixed, sizes, 0), sizes)
+                for d in range(1, min(SMALL_RUN, len(of_run))):
+                    i = np.flatnonzero((r["shingle"][d:] == r["shingle"][:-d]) & (of_run[d:] <= SMALL_RUN) & (of_run[d:] > 0))
+                    if not len(i):
+                        break
+                    found.append(_possible(r, i, i + d, percent))
+                for k in np.flatnonzero(mixed & (sizes > SMALL_RUN)):
+                    found += _across(r, int(bounds[k]), int(bounds[k + 1]), percent)
             pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
             pairs = np.unique(np.sort(pairs, axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     n = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = index.select("shingle", "place", "id", "n", "component", "sketch").repartition(n, "shingle").sortWithinPartitions("shingle", "n", "id")
-    return rows.mapInArrow(run, "a long, b long")
+    rows = index.select("shingle", "place", "id", "n", "component", "sketch", *(["head"] if mode == "rest" else []))
+    return rows.repartition(n, "shingle").sortWithinPartitions("shingle", "n", "id").mapInArrow(run, "a long, b long")
 
 
 def _possible(r: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     """The ids of those of the pairs of rows i, j that can link."""
-    n, place = r["n"], r["place"]
+    i, j = _linkable(r, i, j, percent)
+    return np.stack([r["id"][i], r["id"][j]], axis=1)
+
+
+def _linkable(r: dict, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    n = r["n"]
+    ok = (r["component"][i] != r["component"][j]) & _fits(n, r["place"], i, j, percent)
+    i, j = i[ok], j[ok]
+    if "head" in r and len(i):  # pairs with a common first root have met before
+        met = (r["head"][i][:, :, None] == r["head"][j][:, None, :]).any(axis=(1, 2))
+        i, j = i[~met], j[~met]
     need = -(-percent * (n[i] + n[j]) // (100 + percent))
-    # their root is taken as the first shingle they share; if it is not, that one serves the pair
-    ok = (r["component"][i] != r["component"][j]) & (1 + np.minimum(n[i] - place[i] - 1, n[j] - place[j] - 1) >= need)
-    i, j, need = i[ok], j[ok], need[ok]
     size = np.minimum(r["cells"][i], r["cells"][j])
     keep = np.zeros(len(i), bool)
     for s in np.unique(size):
@@ -245,18 +275,26 @@ def _possible(r: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray
             cells = np.stack([_fold(r["sketch"][int(k)].as_py(), s) for k in rows])
             left, right = cells[back[: len(own)]], cells[back[len(own) :]]
             keep[own] = _distance(left, right) <= n[i[own]] + n[j[own]] - 2 * need[own]
-    return np.stack([r["id"][i[keep]], r["id"][j[keep]]], axis=1)
+    return i[keep], j[keep]
 
 
-def _by_leader(r: dict, lo: int, hi: int, percent: int) -> Iterator[np.ndarray]:
+def _stars(r: dict, lo: int, hi: int, percent: int) -> Iterator[np.ndarray]:
+    """Stars that cover a run: of a few rows the one that can link with most of those left, and these; then the rest."""
     left, vain = np.arange(lo, hi), 0
-    while len(left) > 1 and vain < 64:  # a root of unrelated texts is left to the second round
-        i, js = left[0], left[1:]
-        near = js[: np.searchsorted(r["n"][js], r["n"][i] * 100 // percent, "right")]
-        hit = _possible(r, np.full(len(near), i), near, percent)
-        vain = 0 if len(hit) else vain + 1
-        left = js[~np.isin(r["id"][js], hit[:, 1])]
-        yield hit
+    while len(left) > 1 and vain < MOST_VAIN:  # what no star reaches is left to the rounds of all pairs
+        tried = np.unique(left[np.linspace(0, len(left) - 1, min(LEADERS, len(left))).astype(int)])
+        best, hit = tried[0], left[:0]
+        for i in tried:
+            n = r["n"][i]
+            near = left[(r["n"][left] * 100 >= n * percent) & (r["n"][left] * percent <= n * 100) & (left != i)]
+            js = _linkable(r, np.full(len(near), i), near, percent)[1]
+            if len(js) > len(hit):
+                best, hit = i, js
+        if not len(hit):
+            left, vain = np.setdiff1d(left, tried, assume_unique=True), vain + 1
+            continue
+        yield np.stack([np.full(len(hit), r["id"][best]), r["id"][hit]], axis=1)
+        left = np.setdiff1d(left, np.append(hit, best), assume_unique=True)
 
 
 def _across(r: dict, lo: int, hi: int, percent: int) -> Iterator[np.ndarray]:
@@ -370,24 +408,25 @@ def groups(docs: DataFrame, percent: int = PERCENT, words: int = SHINGLE_WORDS)
     frequent = frequent_shingles(docs, words)
     rows = materialize(describe(docs, frequent, words, percent).withColumn("row", F.monotonically_increasing_id()), "jaccard-rows")
     full = rows.where("n > 0")
-    classes = full.groupBy("n", "s1", "s2").agg(F.min("row").alias("id"))
-    classes = materialize(classes, "jaccard-classes")
-    reps = materialize(full.join(classes.select(F.col("id").alias("row")), "row", "left_semi").withColumnRenamed("row", "id"), "jaccard-reps")
+    classes = materialize(full.groupBy("n", "s1", "s2").agg(F.min("row").alias("id")), "jaccard-classes")
+    head = F.transform(F.sequence(F.lit(1), F.lit(HEAD)), lambda k: F.coalesce(F.get("prefix", k - 1), -k - F.col("row") * HEAD))
+    reps = full.select("doc_id", "n", "s1", "s2", "sketch", F.col("row").alias("id"), head.alias("head"))
+    reps = materialize(reps.join(classes.select("id"), "id", "left_semi"), "jaccard-reps")
+    index = full.select(F.col("row").alias("id"), "n", F.posexplode("prefix").alias("place", "shingle"))
+    index = _shared(index.select("shingle", "id", "n", F.col("place").cast("long").alias("place")), percent)
+    index = materialize(index, "jaccard-index").drop("n")
 
-    links: DataFrame | None = None
     sets: DataFrame | None = None
-    for first in (True, False):
-        place = F.posexplode(F.slice("prefix", 1, ROUND_ONE_ROOTS) if first else F.col("prefix")).alias("place", "shingle")
-        index = _shared(reps.select("id", place).select("shingle", "id", F.col("place").cast("long").alias("place")))
-        index = index.join(reps.select("id", "n", "sketch"), "id")
-        if links is None:
-            index = index.withColumn("component", F.col("id"))
+    comps: DataFrame | None = None  # id, component of the classes that have links
+    for mode in ("first", "again", "all", "rest"):
+        about = reps.select("id", "n", "sketch", "head")
+        if comps is None:
+            about = about.withColumn("component", F.col("id"))
         else:
-            index = index.join(components(links, "jaccard-first"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        pairs = _candidates(index, percent, first)
-        # in the first round one leader for each class, the smallest
-        pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if first else pairs.distinct()
-        pairs = materialize(pairs, "jaccard-pairs")
+            about = about.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        # rows of copies that are not their class's first drop out here
+        below = (index if mode == "rest" else index.where(F.col("place") < HEAD)).join(about, "id")
+        pairs = materialize(_candidates(below, percent, mode).distinct(), "jaccard-pairs")
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         if sets is not None:
             ids = ids.join(sets.select("id"), "id", "left_anti")
@@ -395,13 +434,16 @@ def groups(docs: DataFrame, percent: int = PERCENT, words: int = SHINGLE_WORDS)
         if not wanted.isEmpty():
             got = fetch_sets(docs, wanted, frequent, words)
             sets = got if sets is None else sets.unionByName(got)
-        if sets is not None:
+        if sets is not None and not pairs.isEmpty():
             found = materialize(verify(pairs, sets, percent), "jaccard-links")
-            links = found if links is None else links.unionByName(found)
+            if not found.isEmpty():
+                # the links so far are as good as their components: stars
+                known = [] if comps is None else [comps.select(F.col("id").alias("a"), F.col("component").alias("b"))]
+                comps = components(found.unionByName(known[0]) if known else found, "jaccard-components")
     named = rows.select("doc_id", "n", "s1", "s2", "row")
     known = classes.withColumnRenamed("n", "cn").withColumnRenamed("s1", "c1").withColumnRenamed("s2", "c2")
-    if links is not None:
-        known = known.join(components(links, "jaccard-components"), "id", "left").withColumn("id", F.coalesce("component", "id")).drop("component")
+    if comps is not None:
+        known = known.join(comps, "id", "left").withColumn("id", F.coalesce("component", "id")).drop("component")
     # one row for each class and its component's smallest doc_id; the aggregate combines before it shuffles
     member = named.join(known, (F.col("n") == F.col("cn")) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
     member = materialize(member.select("doc_id", "n", F.coalesce("id", F.col("row")).alias("component")), "jaccard-members")
