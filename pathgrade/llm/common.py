@@ -46,14 +46,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def join_dimension(df: DataFrame, dim: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def is_small(dim: DataFrame) -> bool:
+    """Whether a table may be broadcast."""
+    return dim.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def join_dimension(df: DataFrame, dim: DataFrame, on: list[str], how: str = "inner", small: bool | None = None) -> DataFrame:
     """Join a table whose keys may be hot to one with a row for each key.
 
-    The dimension is counted. Up to BROADCAST_ROWS rows are broadcast; more are repeated SALTS times and joined on
-    the key and a salt, so that a hot key's rows are dealt over SALTS tasks. Keys match null-safely.
+    The dimension is counted, unless a count of its rows or of more is known (``small``). Up to BROADCAST_ROWS rows are
+    broadcast; more are repeated SALTS times and joined on the key and a salt, so that a hot key's rows are dealt over
+    SALTS tasks. Keys match null-safely.
     """
     on2 = [f"__d_{c}" for c in on]
-    small = dim.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = is_small(dim) if small is None else small
     right = dim.withColumnsRenamed(dict(zip(on, on2, strict=True)))
     cond = [df[a].eqNullSafe(right[b]) for a, b in zip(on, on2, strict=True)]
     if small:
@@ -70,31 +76,44 @@ def unit_hash(*cols: Column | str, seed: int = 0) -> Column:
     return (h.bitwiseAND(F.lit((1 << 53) - 1))).cast("double") / F.lit(float(1 << 53))
 
 
+#: Rows of a small table that one task writes.
+ROWS_A_TASK = 200_000
+
+
 def components(edges: DataFrame, name: str = "components", rounds: int = 40) -> DataFrame:
     """Connected components of (a, b) links: id, component (the smallest id reachable).
 
     Alternating large-star and small-star steps: each vertex points its larger neighbours, then itself and its
-    smaller neighbours, at the smallest one. The minimum of a vertex's neighbours is an aggregate that combines before the shuffle and
-    is joined back, so no neighbourhood is gathered in one place. Every step is written to the shared folder.
+    smaller neighbours, at the smallest one. The minimum of a vertex's neighbours is an aggregate that combines before
+    the shuffle and is joined back, so no neighbourhood is gathered in one place. Every step is written to the shared
+    folder, in few files where links are few.
     """
-    cur = materialize(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name
-    )
-    for _ in range(rounds):
+    cur = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
+    mark = lambda t: t.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b)) x")).first()
+    was = mark(cur)
+    tasks = was.n // ROWS_A_TASK + 1
+    few = tasks < int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    
+    def keep(t: DataFrame) -> DataFrame:
+        t = t.where("a <> b").distinct()
+        return materialize(t.coalesce(tasks) if few else t, name)
+
+    for _ in range(rounds if was.n else 0):
         both = cur.select("a", "b").unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialize(large.where("a <> b").distinct(), name)
+        large = keep(large)
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low2, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low2.select("a", F.col("m").alias("b")))
-        nxt = materialize(small.where("a <> b").distinct(), name)
-        was, now = (t.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b)) x")).first() for t in (cur, nxt))
-        cur = nxt
-        if (was.n, was.x) == (now.n, now.x):
+        cur = keep(small)
+        now = mark(cur)
+        if was == now:
             break
+        was = now
     else:
-        raise RuntimeError("components did not settle")
+        if was.n:
+            raise RuntimeError("components did not settle")
     return cur.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import join_dimension, materialize
+from .common import is_small, join_dimension, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
@@ -93,13 +93,13 @@ def with_vector(measured: DataFrame) -> DataFrame:
 KEYS = ["__level", "__lang", "__src"]
 
 
-def _quantile(values: DataFrame, bin_: str, share: float, top: str) -> DataFrame:
-    """Of each group of KEYS, the upper edge number of the bin in which the quantile lies."""
-    counts = values.groupBy(*KEYS, bin_).agg(F.count("*").alias("__k"))
-    over = Window.partitionBy(*KEYS).orderBy(bin_)
-    all_of = Window.partitionBy(*KEYS)
+def _quantile(values: DataFrame, keys: list[str], bin_: str, share: float, top: str) -> DataFrame:
+    """Of each group, the upper edge number of the bin in which the quantile lies."""
+    counts = values.groupBy(*keys, bin_).agg(F.count("*").alias("__k"))
+    over = Window.partitionBy(*keys).orderBy(bin_)
+    all_of = Window.partitionBy(*keys)
     cum = counts.withColumn("__cum", F.sum("__k").over(over)).withColumn("__all", F.sum("__k").over(all_of))
-    return cum.where(F.col("__cum") >= F.ceil(F.col("__all") * share)).groupBy(*KEYS).agg(F.min(bin_).alias(top), F.first("__all").alias("__rows"))
+    return cum.where(F.col("__cum") >= F.ceil(F.col("__all") * share)).groupBy(*keys).agg(F.min(bin_).alias(top), F.first("__all").alias("__rows"))
 
 
 def _estimate(rows: DataFrame) -> DataFrame:
@@ -141,33 +141,34 @@ def fit(measured: DataFrame, kept_share: float = KEPT_SHARE, steps: int = STEPS,
         )
     )
     keyed = materialize(rows.select(levels.alias("__key"), *X).select("__key.*", *X), "mcd-rows")
-    # the start: medians and median deviations, in bins of an eighth of a floor
-    start: DataFrame | None = None
-    for i, x in enumerate(X):
-        width = VECTOR[i][2] / 8
-        mid = _quantile(keyed.withColumn("__b", F.round(F.col(x) / width).cast("int")), "__b", 0.5, "__top").select(*KEYS, (F.col("__top") * width).alias(f"m{i}"))
-        mid = materialize(mid, "mcd-median")
-        off = join_dimension(keyed.select(*KEYS, x), mid, KEYS)
-        dev = _quantile(off.withColumn("__b", F.round(F.abs(F.col(x) - F.col(f"m{i}")) / width).cast("int")), "__b", 0.5, "__top").select(*KEYS, (1.0 / F.greatest(F.col("__top") * width * 1.4826, F.lit(VECTOR[i][2]))).alias(f"v{i}{i}"))
-        one = join_dimension(mid, materialize(dev, "mcd-deviation"), KEYS)
-        start = one if start is None else join_dimension(start, one, KEYS)
-    est = start.withColumns({f"v{i}{j}": F.lit(0.0) for i, j in LOWER if i != j}).select(*KEYS, *PARAMS)
-    est = materialize(est, "mcd-start")
+    # the start: medians and median deviations, in bins of an eighth of a floor; all statistics at once
+    each = [*KEYS, "__f"]
+    width = F.element_at(F.array(*[F.lit(v[2] / 8) for v in VECTOR]), F.col("__f") + 1)
+    long = keyed.select(*KEYS, F.explode(F.array(*[F.struct(F.lit(i).alias("__f"), F.col(x).alias("__v")) for i, x in enumerate(X)])).alias("__z")).select(*KEYS, "__z.*")
+    mid = _quantile(long.withColumn("__b", F.round(F.col("__v") / width).cast("int")), each, "__b", 0.5, "__top")
+    mid = materialize(mid.select(*each, (F.col("__top") * width).alias("__m")), "mcd-median")
+    few = is_small(mid)
+    off = join_dimension(long, mid, each, small=few).withColumn("__b", F.round(F.abs(F.col("__v") - F.col("__m")) / width).cast("int"))
+    dev = _quantile(off, each, "__b", 0.5, "__top").select(*each, (1.0 / F.greatest(F.col("__top") * width * 1.4826, width * 8)).alias("__s"))
+    both = join_dimension(dev, mid, each, small=few)
+    at = lambda c, i: F.max(F.when(F.col("__f") == i, F.col(c)))
+    start = both.groupBy(*KEYS).agg(*[at("__m", i).alias(f"m{i}") for i in range(P)], *[at("__s", i).alias(f"v{i}{i}") for i in range(P)])
+    est = materialize(start.withColumns({f"v{i}{j}": F.lit(0.0) for i, j in LOWER if i != j}).select(*KEYS, *PARAMS), "mcd-start")
     for _ in range(steps):
-        near = join_dimension(keyed, est, KEYS).withColumn("__b", _bin(_distance())).select(*KEYS, *X, "__b")
-        limit = materialize(_quantile(near, "__b", kept_share, "__top").select(*KEYS, "__top"), "mcd-limit")
-        est = materialize(_estimate(join_dimension(near, limit, KEYS).where("__b <= __top")), "mcd-step")
+        near = join_dimension(keyed, est, KEYS, small=few).withColumn("__b", _bin(_distance())).select(*KEYS, *X, "__b")
+        limit = materialize(_quantile(near, KEYS, "__b", kept_share, "__top").select(*KEYS, "__top"), "mcd-limit")
+        est = materialize(_estimate(join_dimension(near, limit, KEYS, small=few).where("__b <= __top")), "mcd-step")
     # the subset's covariance is too small: distances are scaled by their median (never below the floors' own scale)
-    near = join_dimension(keyed, est, KEYS).withColumn("__b", _bin(_distance()))
-    mid = _quantile(near, "__b", 0.5, "__top").select(*KEYS, F.greatest(F.lit(1.0), F.exp(F.col("__top") / BINS) / MEDIAN_CHI2).alias("scale"), "__rows")
-    est = materialize(join_dimension(est, materialize(mid, "mcd-scale"), KEYS), "mcd-final")
+    near = join_dimension(keyed, est, KEYS, small=few).withColumn("__b", _bin(_distance()))
+    mid = _quantile(near, KEYS, "__b", 0.5, "__top").select(*KEYS, F.greatest(F.lit(1.0), F.exp(F.col("__top") / BINS) / MEDIAN_CHI2).alias("scale"), "__rows")
+    est = materialize(join_dimension(est, mid, KEYS, small=few), "mcd-final")
     # each language and source takes the finest estimate that rests on enough rows
     groups = measured.select(F.col("lang").cast("string").alias("__lang"), F.col("source").cast("string").alias("__src")).distinct()
     found = groups
     params = ["__rows", "scale", *PARAMS]
     for level, on in ((2, ["__lang", "__src"]), (1, ["__lang"]), (0, [])):
         own = est.where(F.col("__level") == level).where((F.col("__rows") >= least_rows) | (F.lit(level) == 0)).select(*on, F.struct(*params).alias(f"e{level}"))
-        found = join_dimension(found, own, on, "left") if on else found.join(F.broadcast(own), F.lit(True), "left")
+        found = join_dimension(found, own, on, "left", few) if on else found.join(F.broadcast(own), F.lit(True), "left")
     return materialize(found.select("__lang", "__src", F.coalesce("e2", "e1", "e0").alias("e")).select("__lang", "__src", "e.*"), "mcd-groups")
 
 
