@@ -51,7 +51,7 @@ def _shift(i: Column) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """The rows with __w (words), __c, __s, __d, __r (the base statistics) and __n (lines with a word)."""
+    """The rows with __w (words), __c, __s, __d, __r (the base statistics), __n (lines with a word) and __row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn("__words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
     out = out.withColumn("__lines", F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)))
@@ -79,6 +79,8 @@ def statistics(docs: DataFrame) -> DataFrame:
         .withColumn("__d", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
         .withColumn("__r", repeats.cast("long"))
         .drop("__words", "__lines", "__grams", "__maybe", "__exact", "__twice")
+        # not a function of the row: a filter on the statistics stays above, and does not repeat what they are made of
+        .withColumn("__row", F.monotonically_increasing_id())
     )
 
 
@@ -203,4 +205,4 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows that are kept, with their own columns. Texts are measured twice, and not shuffled."""
     narrow = materialize(statistics(docs.select("text", "lang", "source")).drop("text"), "quality-statistics")
     groups = fit(with_vector(narrow), **options)
-    return judge(with_vector(statistics(docs)), groups).where("__kept").select(*docs.columns)
+    return judge(with_vector(statistics(docs)), groups).where("__kept and __row >= 0").select(*docs.columns)
