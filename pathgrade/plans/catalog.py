@@ -12,6 +12,7 @@ from .. import constants as K
 from ..functions import sim
 from ..functions import text as T
 from ..operators import agreement, calibration, dataset, experiment, leaderboard, metrics, poisoning, policy, privacy, rewards, trajectory, triggers
+from ..shipping import ship
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -841,17 +842,20 @@ def vector_agreement(spark, d):
 
 @query("persona_scores")
 def persona_scores(spark, d):
+    ship(spark)
     return sim.annotate(V.items(spark, d))
 
 
 @query("mock_runs")
 def mock_runs(spark, d):
+    ship(spark)
     rows = V.items(spark, d).withColumn("framework", F.explode(F.array(*[F.lit(f) for f in K.FRAMEWORKS])))
     return rows.select("traj", "framework", sim.mock_tokens_udf("traj", "framework", F.lit(0)).alias("tokens_used"))
 
 
 @query("preference_scores")
 def preference_scores(spark, d):
+    ship(spark)
     rows = V.read(spark, d, "conversations").where("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("sample"))
     rows = rows.withColumn("rater", F.explode(F.array(*[F.lit(r) for r in K.PREFERENCE_RATERS]))).withColumn("dim", F.explode(F.array(*[F.lit(x) for x in K.PREFERENCE_DIMENSIONS])))
     return rows.withColumn("label", sim.preference_score_udf("sample", "rater", "dim"))
