@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship  # noqa: F401  for the modules beside this one
+
 #: A dimension table of at most this many rows is broadcast; a larger one is joined by a salted shuffle.
 BROADCAST_ROWS = 20_000
 #: Salts per key of that shuffle.
@@ -115,21 +117,3 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 40) ->
         if was.n:
             raise RuntimeError("components did not settle")
     return cur.select(F.col("a").alias("id"), F.col("b").alias("component"))
-
-
-def ship(spark: SparkSession) -> None:
-    """Let executors import this package: its modules go along as a zip unless PYTHONPATH has them."""
-    import os
-    import zipfile
-    from pathlib import Path
-
-    root = Path(__file__).resolve().parents[2]
-    app = f"{spark.sparkContext.applicationId}-py"
-    if app in _own or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        return
-    _own[app] = tempfile.mkdtemp(prefix="pathgrade-")
-    atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-    with zipfile.ZipFile(f"{_own[app]}/pathgrade.zip", "w") as z:
-        for p in (root / "pathgrade").rglob("*.py"):
-            z.write(p, p.relative_to(root))
-    spark.sparkContext.addPyFile(f"{_own[app]}/pathgrade.zip")
