@@ -2,8 +2,9 @@
 
 Each document has a vector of transformed statistics (VECTOR). For each language and source the mean and covariance of
 the documents that pass the base rules are estimated by minimum covariance determinant: from medians and deviations,
-concentration steps take the ``kept_share`` of documents with the smallest distances and estimate anew. Groups of fewer
-than ``least_rows`` use their language's estimate, and small languages that of all documents. Each variance has a floor
+concentration steps take the ``kept_share`` of documents with the smallest distances and estimate anew. A group of n
+documents is then judged by the mean and covariance of a mixture, n parts its own and ``prior_rows`` parts its language's
+(a language's likewise with those of all documents), so no row count switches estimates. Each variance has a floor
 added, in units in which a difference means something, so that a statistic that is 0 almost everywhere does not make
 every other value an outlier. A document whose squared Mahalanobis distance is over ``cutoff`` is rejected.
 
@@ -27,7 +28,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 KEPT_SHARE = 0.75
 STEPS = 4
-LEAST_ROWS = 200
+#: The language's estimate counts as so many rows beside a group's own: ten for each statistic.
+PRIOR_ROWS = 50
 #: Name, transformation, floor (a deviation that is always ordinary).
 VECTOR = (
     ("log_words", lambda w, c, s, d, r, n: F.log(w), 0.6),
@@ -104,12 +106,20 @@ def _quantile(values: DataFrame, keys: list[str], bin_: str, share: float, top:
     return cum.where(F.col("__cum") >= F.ceil(F.col("__all") * share)).groupBy(*keys).agg(F.min(bin_).alias(top), F.first("__all").alias("__rows"))
 
 
+MOMENTS = [*[f"m{i}" for i in range(P)], *[f"c{i}{j}" for i, j in LOWER]]
+PARAMS = [*[f"m{i}" for i in range(P)], *[f"v{i}{j}" for i, j in LOWER]]
+
+
 def _estimate(rows: DataFrame) -> DataFrame:
-    """Means, covariances with floors, and the inverse of the covariances' lower triangle, of each group."""
+    """Means and covariances with floors (lower triangle), of each group."""
     aggs = [F.avg(x).alias(f"m{i}") for i, x in enumerate(X)]
     aggs += [F.covar_pop(X[i], X[j]).alias(f"c{i}{j}") for i, j in LOWER]
     est = rows.groupBy(*KEYS).agg(*aggs)
-    est = est.withColumns({f"c{i}{i}": F.col(f"c{i}{i}") + F.lit(VECTOR[i][2] ** 2) for i in range(P)})
+    return est.withColumns({f"c{i}{i}": F.col(f"c{i}{i}") + F.lit(VECTOR[i][2] ** 2) for i in range(P)})
+
+
+def _inverted(est: DataFrame) -> DataFrame:
+    """Adds the inverse of the covariances' lower triangle."""
     for i, j in LOWER:  # Cholesky
         inner = sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
         est = est.withColumn(f"l{i}{j}", F.sqrt(F.greatest(F.col(f"c{i}{i}") - inner, F.lit(1e-12))) if i == j else (F.col(f"c{i}{j}") - inner) / F.col(f"l{j}{j}"))
@@ -117,10 +127,18 @@ def _estimate(rows: DataFrame) -> DataFrame:
         for i in range(j, P):
             inner = sum((F.col(f"l{i}{k}") * F.col(f"v{k}{j}") for k in range(j, i)), F.lit(0.0))
             est = est.withColumn(f"v{i}{j}", (F.lit(1.0 if i == j else 0.0) - inner) / F.col(f"l{i}{i}"))
-    return est.select(*KEYS, *[f"m{i}" for i in range(P)], *[f"v{i}{j}" for i, j in LOWER])
+    return est.drop(*[f"l{i}{j}" for i, j in LOWER])
 
 
-PARAMS = [*[f"m{i}" for i in range(P)], *[f"v{i}{j}" for i, j in LOWER]]
+def _mixed(own: str, wide: str, prior_rows: float) -> Column:
+    """The moments of a mixture of two estimates by rows; of one if the other is null."""
+    a, b = F.col(own), F.col(wide)
+    w = a["rows"] / (a["rows"] + F.lit(float(prior_rows)))
+    parts = [(w * a[f"m{i}"] + (1 - w) * b[f"m{i}"]).alias(f"m{i}") for i in range(P)]
+    for i, j in LOWER:
+        apart = (a[f"m{i}"] - b[f"m{i}"]) * (a[f"m{j}"] - b[f"m{j}"])
+        parts.append((w * a[f"c{i}{j}"] + (1 - w) * b[f"c{i}{j}"] + w * (1 - w) * apart).alias(f"c{i}{j}"))
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.struct(a["rows"].alias("rows"), *parts))
 
 
 def _distance() -> Column:
@@ -132,8 +150,8 @@ def _bin(d2: Column) -> Column:
     return F.ceil(F.log(d2 + 1e-9) * BINS).cast("int")
 
 
-def fit(measured: DataFrame, kept_share: float = KEPT_SHARE, steps: int = STEPS, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """lang, source -> the estimate that judges the group, and the scale of its distances."""
+def fit(measured: DataFrame, kept_share: float = KEPT_SHARE, steps: int = STEPS, prior_rows: float = PRIOR_ROWS) -> DataFrame:
+    """lang, source -> the estimate that judges the group."""
     rows = measured.where(~F.col("__failed")).select("lang", "source", *X)
     levels = F.explode(
         F.array(
@@ -159,28 +177,29 @@ def fit(measured: DataFrame, kept_share: float = KEPT_SHARE, steps: int = STEPS,
     for _ in range(steps):
         near = join_dimension(keyed, est, KEYS, small=few).withColumn("__b", _bin(_distance())).select(*KEYS, *X, "__b")
         limit = materialize(_quantile(near, KEYS, "__b", kept_share, "__top").select(*KEYS, "__top"), "mcd-limit")
-        est = materialize(_estimate(join_dimension(near, limit, KEYS, small=few).where("__b <= __top")), "mcd-step")
-    # the subset's covariance is too small: distances are scaled by their median (never below the floors' own scale)
+        est = _inverted(_estimate(join_dimension(near, limit, KEYS, small=few).where("__b <= __top")))
+        est = materialize(est.select(*KEYS, *MOMENTS, *PARAMS[P:]), "mcd-step")
+    # the subset's covariance is too small: it is scaled by the distances' median (never below the floors' own scale)
     near = join_dimension(keyed, est, KEYS, small=few).withColumn("__b", _bin(_distance()))
     mid = _quantile(near, KEYS, "__b", 0.5, "__top").select(*KEYS, F.greatest(F.lit(1.0), F.exp(F.col("__top") / BINS) / MEDIAN_CHI2).alias("scale"), "__rows")
-    est = materialize(join_dimension(est, mid, KEYS, small=few), "mcd-final")
-    # each language and source takes the finest estimate that rests on enough rows
-    groups = measured.select(F.col("lang").cast("string").alias("__lang"), F.col("source").cast("string").alias("__src")).distinct()
-    found = groups
-    params = ["__rows", "scale", *PARAMS]
+    est = join_dimension(est, mid, KEYS, small=few).withColumns({f"c{i}{j}": F.col(f"c{i}{j}") * F.col("scale") for i, j in LOWER})
+    est = materialize(est.select(*KEYS, F.struct(F.col("__rows").cast("double").alias("rows"), *MOMENTS).alias("e")), "mcd-final")
+    # each language and source mixes its own estimate with its language's, and that with the one of all documents
+    found = measured.select(F.col("lang").cast("string").alias("__lang"), F.col("source").cast("string").alias("__src")).distinct()
     for level, on in ((2, ["__lang", "__src"]), (1, ["__lang"]), (0, [])):
-        own = est.where(F.col("__level") == level).where((F.col("__rows") >= least_rows) | (F.lit(level) == 0)).select(*on, F.struct(*params).alias(f"e{level}"))
+        own = est.where(F.col("__level") == level).select(*on, F.col("e").alias(f"e{level}"))
         found = join_dimension(found, own, on, "left", few) if on else found.join(F.broadcast(own), F.lit(True), "left")
-    return materialize(found.select("__lang", "__src", F.coalesce("e2", "e1", "e0").alias("e")).select("__lang", "__src", "e.*"), "mcd-groups")
+    found = materialize(found.withColumn("e", _mixed("e1", "e0", prior_rows)).withColumn("e", _mixed("e2", "e", prior_rows)).select("__lang", "__src", "e.*"), "mcd-mixed")
+    return materialize(_inverted(found).select("__lang", "__src", *PARAMS), "mcd-groups")
 
 
 def judge(measured: DataFrame, groups: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """Adds __distance (squared; null without an estimate) and __kept."""
     rows = measured.withColumn("__lang", F.col("lang").cast("string")).withColumn("__src", F.col("source").cast("string"))
     rows = join_dimension(rows, groups, ["__lang", "__src"], "left")
-    rows = rows.withColumn("__distance", _distance() / F.col("scale"))
+    rows = rows.withColumn("__distance", _distance())
     kept = ~F.col("__failed") & ~F.coalesce(F.col("__distance") > cutoff, F.lit(False))
-    return rows.withColumn("__kept", kept).drop("__lang", "__src", "__rows", "scale", *PARAMS)
+    return rows.withColumn("__kept", kept).drop("__lang", "__src", *PARAMS)
 
 
 def quality(docs: DataFrame, **options) -> DataFrame:

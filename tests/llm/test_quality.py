@@ -34,3 +34,17 @@ def test_outliers_go_and_clean_stay(spark):
     assert all(kept == (k % 60 != 7) for k, kept in got.items())
     kept = quality.keep_good(rows.withColumn("__w", rows.doc_id))
     assert kept.columns == ["doc_id", "text", "lang", "source", "__w"] and kept.count() == 590
+
+
+def test_small_source_is_judged_by_its_own_documents(spark):
+    short = "concat_ws(' ', transform(sequence(1, int(80 + id % 40)), i -> substr(md5(concat(id, ':', i)), 1, int(3 + (id + i) % 5))))"
+    long = "concat_ws(' ', transform(sequence(1, int(80 + id % 40)), i -> substr(md5(concat(id, ':', i)), 1, int(18 + (id + i) % 5))))"
+    junk = "concat_ws(' ', transform(sequence(1, 90), i -> concat(substr(md5(concat(id, i)), 1, 18), '#$%')))"
+    rows = spark.range(640).selectExpr(
+        "id as doc_id",
+        f"case when id < 600 then {short} when id in (611, 622) then {junk} else {long} end as text",
+        "'en' as lang",
+        "case when id < 600 then 'large' else 'small' end as source",
+    )
+    got = {r.doc_id: r.kept for r in quality.quality(rows).collect()}
+    assert {k for k, kept in got.items() if not kept} == {611, 622}
