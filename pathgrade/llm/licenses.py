@@ -4,7 +4,8 @@ Every pair of neighbouring words of a text is joined, by hash and then by the wo
 same pair in the templates. A match votes for the diagonal (place in the text minus place in the template). A phrase of
 m words stands at a place if its diagonal has all m - 1 votes: the pairs overlap, so that verifies the span word by word.
 For whole notices, diagonals at most ``gap`` apart are merged, as inserted or lost words shift what follows, and a band
-counts if it covers enough of the template's pairs, within a span not much longer than the template.
+counts if it covers enough of the template's pairs, within a span not much longer than the template. Pairs that tell a
+notice from another license's (TELLING) must be among those covered.
 
 A row for each document takes part too, so texts are read and cut into words once. Words are compared with A-Z in lower
 case. Null texts count as empty. Repeated rows give a row each. An empty table gives no rows.
@@ -63,13 +64,24 @@ NOTICES = (
         0.6,
     ),
 )
+#: By label, the pairs without which a notice is another version's or another license's.
+TELLING = {
+    "gpl-3.0": ("gnu general", "version 3"),
+    "gpl-2.0": ("gnu general", "version 2"),
+    "cc-by-nc": ("nc 4",),
+    "cc-by-sa": ("sa 4",),
+    "gpl-text": ("gnu general",),
+}
 GAP = 4
 #: A mark that cannot be a word: a pair that stands for the document itself.
 MARK = "/"
 
 
 def templates(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> DataFrame:
-    """template, label, base, pairs, share; place, a, b for each pair of the template; template -1 is the document's mark."""
+    """template, label, base, pairs, share, needs; place, ta, tb, bit for each pair of the template; template -1 is the document's mark.
+
+    A telling pair has a bit, and needs has the bits of all of them.
+    """
     rows = [(k, label, True, 1.0, words) for k, (words, label) in enumerate(phrases)]
     rows += [(len(phrases) + k, label, False, share, words) for k, (words, label, share) in enumerate(notices)]
     values = ", ".join(f"({k}, '{label}', {str(base).lower()}, {share}D, '{words}')" for k, label, base, share, words in rows)
@@ -77,7 +89,16 @@ def templates(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> DataFram
     t = t.withColumn("pairs", F.size("w") - 1).withColumn("place", F.explode(F.sequence(F.lit(0), F.col("pairs") - 1)))
     t = t.select("template", "label", "base", "share", "pairs", "place", F.col("w")[F.col("place")].alias("ta"), F.col("w")[F.col("place") + 1].alias("tb"))
     mark = spark.sql(f"SELECT -1 AS template, '' AS label, false AS base, 1D AS share, 0 AS pairs, 0 AS place, '{MARK}' AS ta, '{MARK}' AS tb")
-    return t.unionByName(mark)
+    t = t.unionByName(mark)
+    bit, needs = F.lit(0), F.lit(0)
+    for label, telling in TELLING.items():
+        own = ~F.col("base") & (F.col("label") == label)
+        needs = F.when(own, (1 << len(telling)) - 1).otherwise(needs)
+        for k, pair in enumerate(telling):
+            bit = F.when(own & (F.concat_ws(" ", "ta", "tb") == pair), 1 << k).otherwise(bit)
+    # of the pairs that the template has: a notice of other words under the same label needs what it has of them
+    t = t.withColumn("bit", bit.cast("int")).withColumn("needs", needs.cast("int"))
+    return t.withColumn("needs", F.col("needs").bitwiseAND(F.bit_or("bit").over(Window.partitionBy("template"))))
 
 
 def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, gap: int = GAP) -> DataFrame:
@@ -97,20 +118,21 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, gap: int = GAP) -> D
     hits = long.join(F.broadcast(known), (F.xxhash64("a", "b") == F.col("hash")) & (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")))
     diagonals = (
         hits.withColumn("diagonal", F.col("pos") - 1 - F.col("place"))
-        .groupBy("row", "doc_id", "n_words", "template", "label", "base", "share", "pairs", "diagonal")
-        .agg(F.count("*").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+        .groupBy("row", "doc_id", "n_words", "template", "label", "base", "share", "pairs", "needs", "diagonal")
+        .agg(F.count("*").alias("votes"), F.bit_or("bit").alias("bits"), F.min("pos").alias("low"), F.max("pos").alias("high"))
     )
     # neighbouring diagonals of a notice make a band
     own = Window.partitionBy("row", "template").orderBy("diagonal")
     new = F.col("base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(own) > gap, F.lit(True))
     bands = (
         diagonals.withColumn("band", F.sum(new.cast("int")).over(own))
-        .groupBy("row", "doc_id", "n_words", "template", "label", "base", "share", "pairs", "band")
-        .agg(F.sum("votes").alias("votes"), (F.min("low") - 1).alias("start"), F.max("high").alias("last"))
+        .groupBy("row", "doc_id", "n_words", "template", "label", "base", "share", "pairs", "needs", "band")
+        .agg(F.sum("votes").alias("votes"), F.bit_or("bits").alias("bits"), (F.min("low") - 1).alias("start"), F.max("high").alias("last"))
     )
     covered = F.least(F.lit(1.0), F.col("votes") / F.greatest(F.col("pairs"), F.lit(1)))
     full = F.col("base") & (F.col("votes") == F.col("pairs"))
     noticed = ~F.col("base") & (F.col("template") >= 0) & (covered >= F.col("share")) & (F.col("last") - F.col("start") <= (F.col("pairs") + 1) * 1.5 + gap)
+    noticed &= F.col("bits") == F.col("needs")
     bands = bands.withColumn("covered", covered).withColumn("full", full).withColumn("noticed", noticed)
     text = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")  # noqa: E731  a few labels at most
     out = bands.groupBy("row", "doc_id", "n_words").agg(

@@ -37,3 +37,20 @@ def test_base_places_and_labels(spark, edges):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
     assert "mit-notice" in rows[0].labels and "gpl-3.0" in rows[2].labels and "mit-text" in rows[6].labels and rows[9].labels == ""
     assert licenses.scan(edges).count() == edges.count() and licenses.scan(edges.where("false")).count() == 0
+
+
+def test_versions_are_told_apart(spark):
+    texts = {
+        "licensed under the GNU General Public License version 3": {"gpl", "gpl-3.0"},
+        "licensed under the GNU General Public License (GPL), version 3": {"gpl", "gpl-3.0"},
+        "licensed under the GNU General Public License version 2": {"gpl", "gpl-2.0"},
+        "you may copy it under the terms of the GNU General Public License": {"gpl"},
+        "licensed under the GNU Lesser General Public License version 3": set(),
+        "licensed under CC BY-NC 4.0": {"cc-by", "cc-by-nc"},
+        "licensed under CC BY-NC-ND 4.0": {"cc-by"},
+        "licensed under CC BY-NC-SA 4.0": {"cc-by"},
+        "licensed under CC BY-SA 4.0": {"cc-by", "cc-by-sa"},
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in licenses.scan(docs).collect()}
+    assert {t: got[k] for k, t in enumerate(texts)} == texts
