@@ -177,12 +177,16 @@ def draw(sized: DataFrame, sources: DataFrame, blocks: DataFrame, whole_document
 
 
 def mixture(docs: DataFrame, whole_documents: bool = False, **options) -> DataFrame:
-    """A row for each draw: the document's columns, copy, shard, words, place (the order within the shard)."""
+    """A row for each draw: the document's columns, copy, shard, words, place. Shard after shard, each in the order of its places.
+
+    The rows are dealt by ranges of shard and place, so a large shard is cut over tasks.
+    """
     sized = with_sizes(docs)
     narrow = materialize(sized.select("doc_id", "source", "__size", "__hash"), "mix-sizes")
     sources, blocks = plan(narrow, **options)
     rows = draw(sized, sources, blocks, whole_documents)
-    return rows.select(*docs.columns, F.explode("__draws").alias("__d")).select(*docs.columns, F.col("__d.copy").alias("__copy"), F.col("__d.shard").alias("__shard"), F.col("__d.words").alias("__words"), F.col("__d.place").alias("__place"))
+    rows = rows.select(*docs.columns, F.explode("__draws").alias("__d")).select(*docs.columns, F.col("__d.copy").alias("__copy"), F.col("__d.shard").alias("__shard"), F.col("__d.words").alias("__words"), F.col("__d.place").alias("__place"))
+    return rows.repartitionByRange("__shard", "__place").sortWithinPartitions("__shard", "__place")
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:

@@ -1,6 +1,9 @@
 import math
 import re
 
+from pyspark.sql import functions as F
+
+import corpus_pipeline
 from pathgrade.llm import mixing
 
 
@@ -66,3 +69,19 @@ def test_whole_documents_and_nothing(spark, edges, nothing):
     rows = mixing.mixture(edges, whole_documents=True).collect()
     assert all(r["__words"] == len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in rows)
     assert mixing.taken(nothing).count() == 0
+
+
+def test_mixture_is_in_shards_and_places(spark):
+    docs = spark.range(400).selectExpr("id as doc_id", "repeat('w ', int(1 + id % 37)) as text", "concat('s', id % 4) as source")
+    rows = mixing.mixture(docs, whole_documents=True, block_words=64).collect()
+    order = [(r["__shard"], r["__place"]) for r in rows]
+    assert order == sorted(order) and len({shard for shard, _ in order}) == 2**mixing.LEVELS
+    # the pipeline's stage drops the labels and keeps the order
+    stage = corpus_pipeline.materialize(corpus_pipeline.mix(spark, docs, ""), "test")
+    whole = mixing.mixture(docs, whole_documents=True)
+    file = F.input_file_name()
+    at = {}
+    for r in stage.select("doc_id", file.alias("file")).collect():
+        at.setdefault(r.file, []).append(r.doc_id)
+    want = [r.doc_id for r in whole.collect()]
+    assert [x for f in sorted(at) for x in at[f]] == want
