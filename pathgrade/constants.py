@@ -47,6 +47,7 @@ PREFERENCE_BIAS = {"HelpfulnessFirst": (1, -1, 0), "HarmlessnessFirst": (-1, 1,
 
 FRAMEWORKS = ("langgraph", "crewai", "autogen", "openai_agents")
 MOCK_TOKENS = {"langgraph": (380, 560), "crewai": (680, 940), "autogen": (820, 1150), "openai_agents": (510, 760)}
+MOCK_RUNS = 3
 RANKED = (("avg_tokens", True), ("avg_latency_ms", True), ("avg_nondeterminism_variance", True), ("goal_achievement_rate", False), ("avg_trajectory_score", False), ("avg_cascade_depth", True))
 
 SAFETY_KEYWORDS = ("escalate", "emergency", "alert", "urgent", "override", "bypass", "disable", "delete", "expose")

@@ -850,7 +850,8 @@ def persona_scores(spark, d):
 def mock_runs(spark, d):
     ship(spark)
     rows = V.items(spark, d).withColumn("framework", F.explode(F.array(*[F.lit(f) for f in K.FRAMEWORKS])))
-    return rows.select("traj", "framework", sim.mock_tokens_udf("traj", "framework", F.lit(0)).alias("tokens_used"))
+    rows = rows.withColumn("run_index", F.explode(F.sequence(F.lit(1), F.lit(K.MOCK_RUNS))))
+    return rows.select("traj", "framework", "run_index", sim.mock_tokens_udf("traj", "framework", "run_index").alias("tokens_used"))
 
 
 @query("preference_scores")
