@@ -126,7 +126,8 @@ def frequent_shingles(docs: DataFrame, words: int, most: int = FREQUENT) -> tupl
 
 
 def describe(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> DataFrame:
-    """doc_id, n, s1, s2 (the set's digest), prefix (in the global order), sketch."""
+    """doc_id, n, s1, s2 (the set's digest), prefix (in the global order), sketch, and the columns beside doc_id and text."""
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(source, words):
@@ -141,12 +142,14 @@ def describe(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: in
                     pa.array([b for _, b in digests], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(prefixes))),
                     pa.array([sketch(s) if len(s) else b"" for s in sets], pa.binary()),
+                    *[batch.column(c) for c in more],
                 ],
-                ["doc_id", "n", "s1", "s2", "prefix", "sketch"],
+                ["doc_id", "n", "s1", "s2", "prefix", "sketch", *more],
             )
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, prefix array<long>, sketch binary")
+    kinds = dict(docs.dtypes)
+    rest = "".join(f", {c} {kinds[c]}" for c in more)
+    return docs.select("doc_id", "text", *more).mapInArrow(run, f"doc_id {kinds['doc_id']}, n long, s1 long, s2 long, prefix array<long>, sketch binary{rest}")
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -402,9 +405,9 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "probe", "keys").mapInArrow(run, "a long, b long")
 
 
-def groups(docs: DataFrame, percent: int = PERCENT, words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id."""
-    docs = docs.select("doc_id", "text")
+def _members(docs: DataFrame, percent: int = PERCENT, words: int = SHINGLE_WORDS) -> DataFrame:
+    """Of docs (doc_id, text and others) doc_id, n, the others, component (one of the component's rows)."""
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
     frequent = frequent_shingles(docs, words)
     rows = materialize(describe(docs, frequent, words, percent).withColumn("row", F.monotonically_increasing_id()), "jaccard-rows")
     full = rows.where("n > 0")
@@ -440,21 +443,30 @@ def groups(docs: DataFrame, percent: int = PERCENT, words: int = SHINGLE_WORDS)
                 # the links so far are as good as their components: stars
                 known = [] if comps is None else [comps.select(F.col("id").alias("a"), F.col("component").alias("b"))]
                 comps = components(found.unionByName(known[0]) if known else found, "jaccard-components")
-    named = rows.select("doc_id", "n", "s1", "s2", "row")
+    named = rows.select("doc_id", "n", "s1", "s2", "row", *more)
     known = classes.withColumnRenamed("n", "cn").withColumnRenamed("s1", "c1").withColumnRenamed("s2", "c2")
     if comps is not None:
         known = known.join(comps, "id", "left").withColumn("id", F.coalesce("component", "id")).drop("component")
-    # one row for each class and its component's smallest doc_id; the aggregate combines before it shuffles
     member = named.join(known, (F.col("n") == F.col("cn")) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
-    member = materialize(member.select("doc_id", "n", F.coalesce("id", F.col("row")).alias("component")), "jaccard-members")
+    return materialize(member.select("doc_id", "n", *more, F.coalesce("id", F.col("row")).alias("component")), "jaccard-members")
+
+
+def groups(docs: DataFrame, percent: int = PERCENT, words: int = SHINGLE_WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id."""
+    member = _members(docs.select("doc_id", "text"), percent, words)
+    # a component's smallest doc_id; the aggregate combines before it shuffles
     smallest = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return member.join(smallest, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """Of each group one row: the first, by its text, of those with the smallest doc_id; rows without a group stay."""
-    found = groups(docs, **options)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
-    own = Window.partitionBy("doc_id").orderBy("text")
-    return out.withColumn("__nth", F.row_number().over(own)).where((F.col("__nth") == 1) | F.col("doc_id").isNull()).select(*docs.columns)
+    """Of each group one row: of those with the smallest doc_id (null last) the first by its text's digest; texts without shingles stay."""
+    digest = F.unhex(F.md5(F.col("text")))
+    found = _members(docs.select("doc_id", "text", digest.alias("digest")), **options)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), F.col("doc_id"), F.col("digest"))).alias("first")
+    kept = found.groupBy("component").agg(first, (F.max("n") == 0).alias("__lone"))
+    kept = kept.select(F.col("first.doc_id").alias("__kept"), F.col("first.digest").alias("__digest"), "__lone").distinct()
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")) & digest.eqNullSafe(F.col("__digest")))
+    # of whole rows that repeat one stays, but for those without a group
+    own = Window.partitionBy("__kept", "__digest", F.when(F.col("__lone"), F.monotonically_increasing_id()).otherwise(0)).orderBy("__kept")
+    return out.withColumn("__nth", F.row_number().over(own)).where(F.col("__nth") == 1).select(*docs.columns)

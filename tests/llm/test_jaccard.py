@@ -109,3 +109,14 @@ def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40) if k % 10] + [(0, 39), (50, 50)], "a long, b long")
     got = {r.id: r.component for r in components(edges).collect()}
     assert got[39] == 0 and got[5] == 1 and got[10] == 1 and got[15] == 11 and 0 not in got and 50 not in got
+
+
+def test_keep_one_by_group_where_ids_repeat_or_are_null(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    # 2 stands on a copy of 1 and on a text of its own; copies without an id; texts without shingles
+    rows = [(1, text("a")), (2, text("a")), (2, text("b")), (None, text("c")), (None, text("c")), (None, text("c") + " more"), (None, text("a")), (3, text("d")), (3, text("e")), (4, ""), (4, ""), (None, None)]
+    kept = [tuple(r) for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), percent=80, words=5).collect()]
+    c = [t for k, t in kept if k is None and t]
+    assert len(c) == 1 and c[0] in (text("c"), text("c") + " more")
+    want = [(1, text("a")), (2, text("b")), (None, c[0]), (3, text("d")), (3, text("e")), (4, ""), (4, ""), (None, None)]
+    assert sorted(map(str, kept)) == sorted(map(str, want))
