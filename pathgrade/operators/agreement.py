@@ -37,10 +37,14 @@ def cohen(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> Data
 
 
 def pairwise(labels: DataFrame, keys: list[str]) -> DataFrame:
-    """Both labels of each item for every two raters: keys, rater_a, rater_b, item, a, b."""
-    left = labels.select(*keys, "item", F.col("rater").alias("rater_a"), F.col("label").alias("a"))
-    right = labels.select(*keys, "item", F.col("rater").alias("rater_b"), F.col("label").alias("b"))
-    return left.join(right, [*keys, "item"]).where("rater_a < rater_b")
+    """Both labels of each item for every two raters: keys, rater_a, rater_b, item, a, b.
+
+    An item's labels, one for each rater, are gathered once and give its pairs: one shuffle, no self-join.
+    """
+    panel = labels.groupBy(*keys, "item").agg(F.array_sort(F.collect_list(F.struct("rater", "label"))).alias("panel"))
+    pair = lambda x, y: F.struct(x["rater"].alias("rater_a"), y["rater"].alias("rater_b"), x["label"].alias("a"), y["label"].alias("b"))
+    pairs = F.flatten(F.transform("panel", lambda x: F.transform(F.filter("panel", lambda y: y["rater"] > x["rater"]), lambda y: pair(x, y))))
+    return panel.select(*keys, "item", F.explode(pairs).alias("pair")).select(*keys, "pair.rater_a", "pair.rater_b", "item", "pair.a", "pair.b")
 
 
 def fleiss(labels: DataFrame, keys: list[str]) -> DataFrame:

@@ -59,6 +59,13 @@ def mean_gold(gold_rows: DataFrame) -> DataFrame:
     return gold_rows.groupBy("dim").agg(F.coalesce(F.avg("gold"), F.lit(2.5)).alias("mean_gold"))
 
 
+def pulled(labels: DataFrame, anchor_gold: DataFrame) -> DataFrame:
+    """item, dim, rater, calibrated: scores pulled to the anchor's gold, or to the dimension's mean over the anchors, rounded half to even."""
+    mean = mean_gold(anchor_gold).select("dim", F.bround("mean_gold").alias("mean_gold"))
+    rows = labels.join(F.broadcast(anchor_gold), ["item", "dim"], "left").join(F.broadcast(mean), "dim", "left")  # a few anchors by dimension
+    return rows.select("item", "dim", "rater", calibrated(F.col("label"), F.coalesce("gold", "mean_gold", F.lit(2))).alias("calibrated"))
+
+
 def target_gate(alphas: DataFrame, target: float = K.ALPHA_TARGET) -> DataFrame:
     """Whether every dimension and the mean reach the target."""
     return alphas.agg(F.min("alpha").alias("lowest"), F.avg("alpha").alias("mean_alpha"), (F.bool_and(F.round("alpha", 9) >= target) & (F.round(F.avg("alpha"), 9) >= target)).alias("passes"))

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 GROUP = 50
 
 
 def split(scored: DataFrame, score: str, key: str, n: int = GROUP) -> DataFrame:
-    """The n best (by score, then key) are curated, the n after them raw.
+    """The n best (by score, then key) are curated, all rows after them raw; fewer than 2 n rows are an error.
 
-    Only the best 2 n rows are ranked: they are found without sorting the rest.
+    The best are found by a top-n, so nothing is sorted as a whole.
     """
-    best = scored.orderBy(F.round(F.col(score), 9).desc(), key).limit(2 * n)
-    pos = F.row_number().over(Window.orderBy(F.round(F.col(score), 9).desc(), key))
-    return best.withColumn("pos", pos).withColumn("grp", F.when(F.col("pos") <= n, "curated").otherwise("raw"))
+    if scored.limit(2 * n).count() < 2 * n:
+        raise ValueError(f"an experiment needs at least {2 * n} scored rows")
+    best = scored.orderBy(F.round(F.col(score), 9).desc(), key).limit(n).select(F.col(key).alias("__key"))
+    rows = scored.join(F.broadcast(best), F.col(key) == F.col("__key"), "left")  # n rows
+    return rows.withColumn("grp", F.when(F.col("__key").isNotNull(), "curated").otherwise("raw")).drop("__key")
 
 
 def damage(rows: DataFrame, where: Column, columns: dict[str, Column]) -> DataFrame:

@@ -32,8 +32,14 @@ def leaderboard(runs: DataFrame) -> DataFrame:
 
 
 def with_deviation(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """Each run with the sample deviation of its task and framework, where there are two runs."""
-    return runs.withColumn("nondeterminism_variance", F.stddev_samp("trajectory_score").over(Window.partitionBy(*keys)))
+    """Each run with the sample deviation of its task and framework, where there are two runs.
+
+    Few keys hold many runs, so deviations are aggregated (partial sums combine first) and joined back, not windowed.
+    """
+    own = [f"__{k}" for k in keys]
+    spread = runs.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)]).agg(F.stddev_samp("trajectory_score").alias("nondeterminism_variance"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)))
+    return runs.join(spread, same, "left").drop(*own)
 
 
 def ordinal(framework: Column) -> Column:

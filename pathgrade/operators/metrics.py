@@ -16,11 +16,13 @@ def metric_steps(steps: DataFrame, expected: Column) -> DataFrame:
     return steps.withColumns({"tool": tool, "expected": F.when(last, F.array(expected)).otherwise(F.array().cast("array<string>")), "goal": last & F.coalesce(tool.isin(*K.TERMINAL_ACTIONS), F.lit(False))})
 
 
-def success_and_tools(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """success: share of steps with the goal; tool: of the steps with a tool those that were expected (none: 1)."""
+def success_and_tools(rows: DataFrame, keys: list[str], leak_in: str | None = None) -> DataFrame:
+    """success: share of steps with the goal; tool: of the steps with a tool those that were expected (none: 1); leak: whether a text holds personal data."""
+    leak = [F.bool_or(T.has_pii(F.col(leak_in))).alias("leak")] if leak_in else []
     return rows.groupBy(*keys).agg(
         F.avg(F.col("goal").cast("double")).alias("success"),
         F.coalesce(F.avg(F.when(F.col("tool").isNotNull(), F.array_contains("expected", F.col("tool")).cast("double"))), F.lit(1.0)).alias("tool"),
+        *leak,
     )
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 EPSILON = 1e-9
+#: Ranges of a unit of score within which ranks are counted.
+SCORE_RANGES = 4096
 
 
 def suspicion(labels: DataFrame) -> DataFrame:
@@ -37,13 +39,30 @@ def detection(found: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def auc(scores: DataFrame, score: str, truth: str) -> DataFrame:
-    """Area under the ROC curve by ranks; counts by distinct score, so ties count half."""
+    """Area under the ROC curve by ranks; counts by distinct score, so ties count half.
+
+    Ranks are sums over ranges of scores, and within a range over its scores: no window has all of them.
+    """
     c = scores.groupBy(F.round(score, 9).alias("s")).agg(F.sum((F.col(truth) == 1).cast("long")).alias("p"), F.sum((F.col(truth) == 0).cast("long")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    c = c.withColumn("below", below)
+    c = c.withColumn("range", F.floor(F.col("s") * SCORE_RANGES))
+    ranges = c.groupBy("range").agg(F.sum("n").alias("rn"))
+    earlier = lambda x, w: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("range", earlier("rn", Window.partitionBy(F.lit(0)).orderBy("range")).alias("before"))
+    c = c.join(ranges, "range").withColumn("below", F.col("before") + earlier("n", Window.partitionBy("range").orderBy("s")))
     return c.agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / (F.sum("p").cast("double") * F.sum("n"))).alias("auc"))
 
 
+def roc(scores: DataFrame, score: str, truth: str, points: int = 100) -> DataFrame:
+    """threshold, tpr, fpr at thresholds 0 to 1 in equal steps: counts by step, then sums over the steps."""
+    step = F.least(F.lit(points), F.greatest(F.lit(0), F.floor(F.round(F.col(score) * points, 9)))).cast("int")
+    c = scores.groupBy(step.alias("k")).agg(F.sum((F.col(truth) == 1).cast("long")).alias("p"), F.sum((F.col(truth) == 0).cast("long")).alias("n"))
+    grid = scores.sparkSession.range(points + 1).select(F.col("id").cast("int").alias("k"))
+    c = grid.join(F.broadcast(c), "k", "left").fillna(0, ["p", "n"])  # a row for each step
+    above, every = Window.partitionBy(F.lit(0)).orderBy(F.desc("k")), Window.partitionBy(F.lit(0))
+    rate = lambda x: F.sum(x).over(above) / F.nullif(F.sum(x).over(every), F.lit(0))
+    return c.select((F.col("k") / points).alias("threshold"), rate("p").alias("tpr"), rate("n").alias("fpr"))
+
+
 def label_confidence(labels: DataFrame, classes: int = 4, smoothing: float = 0.1) -> DataFrame:
     """item, given (most votes, the lowest of equals), confidence (its smoothed share)."""
     votes = labels.where("label is not null").groupBy("item", F.greatest(F.lit(1), F.least(F.lit(classes), F.col("label"))).alias("label")).agg(F.count("*").alias("v"))
@@ -52,23 +71,19 @@ def label_confidence(labels: DataFrame, classes: int = 4, smoothing: float = 0.1
 
 
 def label_issues(labels: DataFrame, classes: int = 4, smoothing: float = 0.1) -> DataFrame:
-    """Items whose given label another class's rows contradict: confident joint counts, then the least confident of each cell.
+    """Items whose votes make another class confident: item, given, likely (null: no class is confident), issue.
 
-    item, given, likely, issue. Thresholds and cells have a row for each class or pair of classes.
+    A class is confident if its smoothed share reaches the mean share of the items that are given it (less a millionth);
+    of several the one with the largest share is likely, the lowest of equals.
     """
-    votes = labels.where("label is not null").groupBy("item").agg(*[F.sum((F.greatest(F.lit(1), F.least(F.lit(classes), F.col("label"))) == k).cast("int")).alias(f"v{k}") for k in range(1, classes + 1)])
-    n = sum((F.col(f"v{k}") for k in range(1, classes + 1)), F.lit(0))
-    p = votes.select("item", *[((F.col(f"v{k}") + smoothing) / (n + classes * smoothing)).alias(f"p{k}") for k in range(1, classes + 1)])
-    given = F.array_position(F.array(*[F.col(f"p{k}") for k in range(1, classes + 1)]), F.greatest(*[F.col(f"p{k}") for k in range(1, classes + 1)]))
-    p = p.withColumn("given", given.cast("int"))
-    own = F.element_at(F.array(*[F.col(f"p{k}") for k in range(1, classes + 1)]), F.col("given"))
-    limit = p.groupBy("given").agg(F.avg(own).alias("t"))
-    t = limit.groupBy().pivot("given", list(range(1, classes + 1))).agg(F.max("t"))
-    t = t.select(*[F.col(str(k)).alias(f"t{k}") for k in range(1, classes + 1)])
-    j = p.crossJoin(F.broadcast(t))  # one row
-    over = [F.when(F.col(f"p{k}") >= F.col(f"t{k}"), F.struct(F.col(f"p{k}").alias("p"), F.lit(-k).alias("k"))) for k in range(1, classes + 1)]
+    kinds = range(1, classes + 1)
+    votes = labels.where("label is not null").groupBy("item").agg(*[F.sum((F.greatest(F.lit(1), F.least(F.lit(classes), F.col("label"))) == k).cast("int")).alias(f"v{k}") for k in kinds])
+    n = sum((F.col(f"v{k}") for k in kinds), F.lit(0))
+    p = votes.select("item", *[((F.col(f"v{k}") + smoothing) / (n + classes * smoothing)).alias(f"p{k}") for k in kinds])
+    shares = F.array(*[F.col(f"p{k}") for k in kinds])
+    p = p.withColumn("given", F.array_position(shares, F.array_max(shares)).cast("int"))
+    limits = p.agg(*[F.avg(F.when(F.col("given") == k, F.col(f"p{k}"))).alias(f"t{k}") for k in kinds])
+    j = p.crossJoin(F.broadcast(limits))  # one row
+    over = [F.when(F.col(f"p{k}") >= F.col(f"t{k}") - 1e-6, F.struct(F.col(f"p{k}").alias("p"), F.lit(-k).alias("k"))) for k in kinds]
     j = j.withColumn("likely", -F.array_max(F.array(*over))["k"])
-    cells = j.where("likely is not null").groupBy("given", "likely").agg(F.count("*").alias("c"))
-    out = j.join(F.broadcast(cells), ["given", "likely"], "left")
-    rank = F.row_number().over(Window.partitionBy("given", "likely").orderBy(F.round(own, 9), "item"))
-    return out.select("item", "given", "likely", (F.coalesce(F.col("likely") != F.col("given"), F.lit(False)) & (rank <= F.coalesce("c", F.lit(0)))).alias("issue"))
+    return j.select("item", "given", "likely", F.coalesce(F.col("likely") != F.col("given"), F.lit(False)).alias("issue"))

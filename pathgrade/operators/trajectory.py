@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .. import constants as K
 
 
-def layers(steps: DataFrame, keys: list[str]) -> DataFrame:
-    """Steps (step_index, n_steps, action, scenario) -> intent, planning, tool_calls, recovery (null: none), outcome.
+def layers(steps: DataFrame, keys: list[str], **more: Column) -> DataFrame:
+    """Steps (step_index, n_steps, action, scenario) -> intent, planning, tool_calls, recovery (null: none), outcome, and ``more`` aggregates.
 
     One aggregation by the trajectory's keys; partial sums combine before the shuffle.
     """
@@ -21,6 +21,7 @@ def layers(steps: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(((F.col("action") == "") | F.col("action").isin(*K.ACTIONS)).cast("int")).alias("valid"),
         F.min(F.when(before & (F.col("action") == K.ESCALATION), F.col("step_index"))).alias("escalated"),
         F.avg("confidence").alias("mean_confidence"),
+        *[c.alias(name) for name, c in more.items()],
     )
     return agg.select(
         *keys,
@@ -33,6 +34,7 @@ def layers(steps: DataFrame, keys: list[str]) -> DataFrame:
         (F.col("valid") / F.col("n")).alias("tool_calls"),
         F.when(F.col("n") > 1, 0.70 + 0.30 * (1.0 - F.col("escalated") / (F.col("n") - 1))).alias("recovery"),
         F.when(F.col("final_action").isin(*K.TERMINAL_ACTIONS), 1.0).otherwise(0.0).alias("outcome"),
+        *more,
     )
 
 
@@ -46,8 +48,8 @@ def total(weights: dict[str, float] | None = None) -> Column:
 
 
 def projected(scored: DataFrame) -> DataFrame:
-    """The three dimensions that do not depend on the path: planning, recovery (null: .5), goal."""
-    return scored.withColumns({"pia_planning": F.col("planning"), "pia_recovery": F.coalesce("recovery", F.lit(0.5)), "pia_goal": (F.col("intent") + F.col("outcome")) / 2})
+    """The dimensions that do not depend on the path: planning, recovery (null: .5), goal, and the tools' precision."""
+    return scored.withColumns({"pia_planning": F.col("planning"), "pia_recovery": F.coalesce("recovery", F.lit(0.5)), "pia_goal": (F.col("intent") + F.col("outcome")) / 2, "pia_tools": F.col("tool_calls")})
 
 
 def variation(scored: DataFrame, keys: list[str]) -> DataFrame:

@@ -58,8 +58,8 @@ LAYERS = f"""f_layers AS (
 _LAYERED = (V.STEPS, LAYERS)
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    return trajectory.layers(V.steps(spark, d), TRAJ).withColumn("total", trajectory.total())
+def scored(spark: SparkSession, d: str, **more: Column) -> DataFrame:
+    return trajectory.layers(V.steps(spark, d), TRAJ, **more).withColumn("total", trajectory.total())
 
 
 @query(
@@ -304,21 +304,36 @@ def latency_sla(spark, d):
     return r9(V.read(spark, d, "events").select("event_id", metrics.latency(F.col("value"), 50.0).alias("latency")), "latency")
 
 
-@query(
-    "overall_score",
-    f"""SELECT traj, round(0.30e0 * success + 0.25e0 * tool + 0.20e0 * 0.75e0 + 0.10e0 * CASE WHEN leak THEN 0e0 ELSE 1e0 END + 0.10e0 * 1e0
-          + 0.05e0 * CASE WHEN ms <= 100 THEN 1e0 ELSE greatest(0e0, 1 - (ms - 100) / 100) END, 9) AS overall
-        FROM {_SUCCESS} JOIN (SELECT traj, sum(value) AS ms, bool_or(value > 300) AS leak FROM f_steps GROUP BY traj) USING (traj)""",
-    (V.STEPS, MSTEPS),
-)
+_PII = " OR ".join(f"regexp_matches(coalesce(text, ''), '{p}')" for p in (K.EMAIL, K.US_PHONE, K.SSN))
+
+
+# What a step saw is its event's JSON text; a trajectory without a text to ground takes the offline constant, one without a latency keeps its time.
+_COMBINED = f"""f_combined AS (SELECT l.*, s.success, s.tool, p.leak, 0.30e0 * s.success + 0.25e0 * s.tool + 0.20e0 * 0.75e0 + 0.10e0 * CASE WHEN p.leak THEN 0e0 ELSE 1e0 END + 0.10e0 * 1e0 + 0.05e0 * 1e0 AS overall
+    FROM f_layers l JOIN {_SUCCESS} s USING (traj) JOIN (SELECT traj, bool_or({_PII.replace("text", "observation")}) AS leak FROM f_steps GROUP BY traj) p USING (traj))"""
+
+
+def combined(spark: SparkSession, d: str) -> DataFrame:
+    """The six metrics of each trajectory beside its five layers and its total: one pass over the steps for each."""
+    rows = metrics.success_and_tools(metric_rows(spark, d), ["traj"], leak_in="observation")
+    rows = rows.withColumns({"grounded": F.lit(K.GROUNDED_OFFLINE), "role": F.lit(1.0), "latency": F.lit(1.0)})
+    return trajectory.projected(scored(spark, d)).join(rows, "traj").withColumn("overall", metrics.overall(F.col("leak")))
+
+
+@query("overall_score", "SELECT traj, round(overall, 9) AS overall FROM f_combined", (*_LAYERED, MSTEPS, _COMBINED))
 def overall_score(spark, d):
-    rows = metric_rows(spark, d)
-    both = metrics.success_and_tools(rows, ["traj"]).join(rows.groupBy("traj").agg(F.sum("value").alias("ms"), F.bool_or(F.col("value") > 300).alias("leak")), "traj")
-    both = both.withColumns({"grounded": F.lit(K.GROUNDED_OFFLINE), "role": F.lit(1.0), "latency": metrics.latency(F.col("ms"), 100.0)})
-    return r9(both.select("traj", metrics.overall(F.col("leak")).alias("overall")), "overall")
+    return r9(combined(spark, d).select("traj", "overall"), "overall")
 
 
-_PII = " OR ".join(f"regexp_matches(coalesce(text, ''), '{p}')" for p in (K.EMAIL, K.US_PHONE, K.SSN))
+@query(
+    "combined_evaluation",
+    """SELECT traj, round(success, 9) AS success, round(tool, 9) AS tool, leak, 0.75e0 AS grounded, 1e0 AS role, 1e0 AS latency, intent, planning, round(tool_calls, 9) AS tool_calls, round(recovery, 9) AS recovery, outcome,
+       planning AS pia_planning, round(coalesce(recovery, 0.5e0), 9) AS pia_recovery, round((intent + outcome) / 2, 9) AS pia_goal, round(tool_calls, 9) AS pia_tools, round(total, 9) AS total FROM f_combined""",
+    (*_LAYERED, MSTEPS, _COMBINED),
+)
+def combined_evaluation(spark, d):
+    out = combined(spark, d)
+    names = ["traj", "success", "tool", "leak", "grounded", "role", "latency", "intent", "planning", "tool_calls", "recovery", "outcome", "pia_planning", "pia_recovery", "pia_goal", "pia_tools", "total"]
+    return r9(out.select(*names), "success", "tool", "tool_calls", "recovery", "pia_recovery", "pia_goal", "pia_tools", "total")
 
 
 @query("pii_documents", f"SELECT source, bool_or({_PII}) AS leak, sum(CASE WHEN {_PII} THEN 1 ELSE 0 END)::BIGINT AS n_texts FROM documents GROUP BY source")
@@ -472,22 +487,42 @@ def label_self_confidence(spark, d):
     return r9(poisoning.label_confidence(labels(spark, d, False)), "confidence")
 
 
-@query("label_issue_mask")
+_SHARES = "[" + ", ".join(f"p{k}" for k in range(1, 5)) + "]"
+_ISSUES = f"""f_votes AS (SELECT item, {', '.join(f"sum(CASE WHEN label = {k} THEN 1 ELSE 0 END) AS v{k}" for k in range(1, 5))} FROM f_gaps WHERE label IS NOT NULL GROUP BY item),
+    f_shares AS (SELECT item, {', '.join(f"(v{k} + 0.1e0) / (v1 + v2 + v3 + v4 + 0.4e0) AS p{k}" for k in range(1, 5))} FROM f_votes),
+    f_given AS (SELECT *, list_position({_SHARES}, list_max({_SHARES})) AS given FROM f_shares),
+    f_likely AS (SELECT item, given, list_max([{', '.join(f"CASE WHEN p{k} >= t{k} - 1e-6 THEN {{'p': p{k}, 'k': -{k}}} END" for k in range(1, 5))}]) AS best
+                 FROM f_given, (SELECT {', '.join(f"avg(p{k}) FILTER (given = {k}) AS t{k}" for k in range(1, 5))} FROM f_given))"""
+
+
+@query("label_issue_mask", "SELECT item, given, -best.k AS likely, coalesce(-best.k <> given, false) AS issue FROM f_likely", (V.ANNOTATIONS, GAPS, _ISSUES))
 def label_issue_mask(spark, d):
     return poisoning.label_issues(labels(spark, d, False))
 
 
+@query(
+    "detection_roc",
+    """SELECT k / 100e0 AS threshold, round(sum(p) OVER w / sum(p) OVER (), 9) AS tpr, round(sum(n) OVER w / sum(n) OVER (), 9) AS fpr FROM (
+         SELECT g.k, sum(CASE WHEN outcome = 1 THEN 1e0 ELSE 0e0 END) AS p, sum(CASE WHEN outcome = 0 THEN 1e0 ELSE 0e0 END) AS n
+         FROM (SELECT unnest(range(101)) AS k) g LEFT JOIN (SELECT outcome, least(100, greatest(0, floor(round(total * 100, 9)))) AS k FROM f_layers) l ON l.k = g.k GROUP BY g.k)
+       WINDOW w AS (ORDER BY k DESC)""",
+    _LAYERED,
+)
+def detection_roc(spark, d):
+    return r9(poisoning.roc(scored(spark, d), "total", "outcome"), "tpr", "fpr")
+
+
 # --- experiments -------------------------------------------------------------------------------------------------
 
-_SPLIT = "f_split AS (SELECT *, CASE WHEN pos <= 50 THEN 'curated' ELSE 'raw' END AS grp FROM (SELECT *, row_number() OVER (ORDER BY round(total, 9) DESC, traj) AS pos FROM f_layers) WHERE pos <= 100)"
+_SPLIT = "f_split AS (SELECT *, CASE WHEN pos <= 50 THEN 'curated' ELSE 'raw' END AS grp FROM (SELECT *, row_number() OVER (ORDER BY round(total, 9) DESC, traj) AS pos FROM f_layers))"
 _AB = f"""f_ab AS (SELECT grp, CASE WHEN grp = 'raw' AND coin THEN 0e0 ELSE success END AS success, CASE WHEN grp = 'raw' AND coin THEN 0e0 ELSE tool END AS tool
     FROM (SELECT s.grp, m.success, m.tool, {V.number_sql("s.traj", "'coin'")} % 2 = 0 AS coin FROM f_split s JOIN {_SUCCESS} m USING (traj)))"""
 _ABM = "(SELECT grp, 'success' AS metric, avg(success) AS mean, coalesce(stddev_samp(success), 0e0) AS sd FROM f_ab GROUP BY grp UNION ALL SELECT grp, 'tool', avg(tool), coalesce(stddev_samp(tool), 0e0) FROM f_ab GROUP BY grp)"
 
 
-@query("ab_split", "SELECT traj, pos, grp, round(total, 9) AS total FROM f_split", (*_LAYERED, _SPLIT))
+@query("ab_split", "SELECT traj, grp, round(total, 9) AS total FROM f_split", (*_LAYERED, _SPLIT))
 def ab_split(spark, d):
-    return r9(experiment.split(scored(spark, d), "total", "traj"), "total").select("traj", "pos", "grp", "total")
+    return r9(experiment.split(scored(spark, d), "total", "traj"), "total").select("traj", "grp", "total")
 
 
 def ab_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -531,8 +566,7 @@ def depth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
-    s = V.steps(spark, d)
-    rows = scored(spark, d).join(depth(spark, d), "traj").join(s.groupBy("traj").agg(F.sum("value").alias("latency_ms")), "traj")
+    rows = scored(spark, d, latency_ms=F.sum("value")).join(depth(spark, d), "traj")
     rows = rows.select(
         "traj",
         V.pick(K.FRAMEWORKS, F.col("user_id") % 4).alias("framework"),
@@ -712,15 +746,16 @@ def hotspots(spark, d):
 _NORM = "f_norm AS (SELECT item, avg((label - 1) / 3e0) AS score FROM f_gaps WHERE label IS NOT NULL GROUP BY item HAVING count(*) = 20)"
 
 
-@query(
-    "anchors",
-    """, g AS (SELECT item, score, 'clearly_good' AS tier FROM f_norm ORDER BY CASE WHEN round(score, 9) > 0.85 THEN 0 ELSE 1 END, round(score, 9) DESC, item LIMIT 2),
-       b AS (SELECT item, score, 'clearly_bad' AS tier FROM f_norm WHERE item NOT IN (SELECT item FROM g) ORDER BY CASE WHEN round(score, 9) < 0.35 THEN 0 ELSE 1 END, round(score, 9), item LIMIT 2),
-       m AS (SELECT item, score, 'borderline' AS tier FROM f_norm WHERE item NOT IN (SELECT item FROM g UNION ALL SELECT item FROM b)
-             ORDER BY CASE WHEN round(score, 9) BETWEEN 0.45 AND 0.55 THEN 0 ELSE 1 END, abs(round(score, 9) - 0.5), item LIMIT 1)
-       SELECT item, tier, round(score, 4) AS score FROM (FROM g UNION ALL FROM b UNION ALL FROM m)""",
-    (V.ANNOTATIONS, GAPS, _NORM),
+_ANCHORS = (
+    """f_good AS (SELECT item, score, 'clearly_good' AS tier FROM f_norm ORDER BY CASE WHEN round(score, 9) > 0.85 THEN 0 ELSE 1 END, round(score, 9) DESC, item LIMIT 2)""",
+    """f_bad AS (SELECT item, score, 'clearly_bad' AS tier FROM f_norm WHERE item NOT IN (SELECT item FROM f_good) ORDER BY CASE WHEN round(score, 9) < 0.35 THEN 0 ELSE 1 END, round(score, 9), item LIMIT 2)""",
+    """f_middle AS (SELECT item, score, 'borderline' AS tier FROM f_norm WHERE item NOT IN (SELECT item FROM f_good UNION ALL SELECT item FROM f_bad)
+       ORDER BY CASE WHEN round(score, 9) BETWEEN 0.45 AND 0.55 THEN 0 ELSE 1 END, abs(round(score, 9) - 0.5), item LIMIT 1)""",
+    "f_anchors AS (FROM f_good UNION ALL FROM f_bad UNION ALL FROM f_middle)",
 )
+
+
+@query("anchors", "SELECT item, tier, round(score, 4) AS score FROM f_anchors", (V.ANNOTATIONS, GAPS, _NORM, *_ANCHORS))
 def anchors(spark, d):
     scores = calibration.normalised(labels(spark, d, False), 20)
     return calibration.anchors(scores).select("item", "tier", F.round("score", 4).alias("score"))
@@ -734,19 +769,31 @@ def gold_scores(spark, d):
     return calibration.gold(labels(spark, d, False).where("label is not null"))
 
 
+_ANCHOR_GOLD = "f_anchor_gold AS (SELECT g.item, g.dim, g.gold FROM f_gold g JOIN f_anchors a ON a.item = g.item)"
+_MEAN_GOLD = "f_mean_gold AS (SELECT dim, avg(gold) AS mean_gold FROM f_anchor_gold GROUP BY dim)"
+_CALIBRATED = (V.ANNOTATIONS, LABELS, GAPS, _NORM, *_ANCHORS, _GOLD, _ANCHOR_GOLD, _MEAN_GOLD)
+
+
+def anchor_gold(spark: SparkSession, d: str) -> DataFrame:
+    """The gold scores of the anchors only."""
+    rows = labels(spark, d, False)
+    chosen = calibration.anchors(calibration.normalised(rows, 20)).select("item")
+    return calibration.gold(rows.where("label is not null").join(F.broadcast(chosen), "item", "left_semi"))  # five items
+
+
 @query(
     "calibrated_scores",
-    "SELECT l.item, l.dim, l.rater, greatest(1, least(4, round_even(0.82e0 * coalesce(g.gold, 2) + (1 - 0.82e0) * l.label, 0)::INTEGER)) AS calibrated FROM f_labels l LEFT JOIN f_gold g ON g.item = l.item AND g.dim = l.dim",
-    (V.ANNOTATIONS, LABELS, GAPS, _GOLD),
+    """SELECT l.item, l.dim, l.rater, greatest(1, least(4, round_even(0.82e0 * coalesce(g.gold, round_even(m.mean_gold, 0), 2) + (1 - 0.82e0) * l.label, 0)::INTEGER)) AS calibrated
+       FROM f_labels l LEFT JOIN f_anchor_gold g ON g.item = l.item AND g.dim = l.dim LEFT JOIN f_mean_gold m ON m.dim = l.dim""",
+    _CALIBRATED,
 )
 def calibrated_scores(spark, d):
-    rows = labels(spark, d).join(calibration.gold(labels(spark, d, False).where("label is not null")), ["item", "dim"], "left")
-    return rows.select("item", "dim", "rater", calibration.calibrated(F.col("label"), F.coalesce("gold", F.lit(2))).alias("calibrated"))
+    return calibration.pulled(labels(spark, d), anchor_gold(spark, d))
 
 
-@query("mean_gold", "SELECT dim, round(avg(gold), 9) AS mean_gold FROM f_gold GROUP BY dim", (V.ANNOTATIONS, GAPS, _GOLD))
+@query("mean_gold", "SELECT dim, round(mean_gold, 9) AS mean_gold FROM f_mean_gold", _CALIBRATED)
 def mean_gold(spark, d):
-    return r9(calibration.mean_gold(calibration.gold(labels(spark, d, False).where("label is not null"))), "mean_gold")
+    return r9(calibration.mean_gold(anchor_gold(spark, d)), "mean_gold")
 
 
 # --- texts -------------------------------------------------------------------------------------------------------
@@ -801,9 +848,15 @@ def exact_dedup(spark, d):
     return dataset.exact_copies(V.read(spark, d, "documents"))
 
 
-@query("orphan_labels", "SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+@query("orphan_labels", "SELECT doc_id FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)")
 def orphan_labels(spark, d):
-    return dataset.orphans(V.read(spark, d, "labels").select("doc_id"), V.read(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id"), ["doc_id"])
+    return dataset.orphans(V.read(spark, d, "labels").select("doc_id"), V.read(spark, d, "documents").select("doc_id"), ["doc_id"])
+
+
+@query("unlabelled_documents", "SELECT source, count(*) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE d.doc_id = l.doc_id) GROUP BY source")
+def unlabelled_documents(spark, d):
+    rows = dataset.orphans(V.read(spark, d, "documents").select("doc_id", "source"), V.read(spark, d, "labels").select("doc_id"), ["doc_id"])
+    return rows.groupBy("source").agg(F.count("*").alias("n"))
 
 
 # --- privacy -----------------------------------------------------------------------------------------------------

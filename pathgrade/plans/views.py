@@ -61,6 +61,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value",
         "event_type",
         "event_id",
+        F.col("props").alias("observation"),
     )
 
 
@@ -71,7 +72,7 @@ STEPS = f"""f_steps AS (
               ELSE 'escalate_to_emergency' END AS action,
          CAST(json_extract_string(props, '$.k') AS INTEGER) / 100e0 AS confidence,
          {pick_sql(SCENARIO_OF, "user_id % 6")} AS scenario, {pick_sql(K.CONSENTS, "user_id % 4")} AS consent,
-         value, event_type, event_id
+         value, event_type, event_id, props AS observation
   FROM (SELECT *, CAST(ts AS DATE) AS day, user_id || ':' || CAST(CAST(ts AS DATE) AS VARCHAR) AS traj,
                row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS step_index,
                count(*) OVER (PARTITION BY user_id, CAST(ts AS DATE)) AS n_steps
