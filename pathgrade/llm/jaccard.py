@@ -5,16 +5,15 @@ All sets are in one global order: shingles that many documents share come last,
 1. Equal sets are one class; a class takes part once.
 2. Two sets can only link if they share one of their first n - ceil(n * percent / 100) + 1 shingles. These prefixes are
    the roots below which partners are looked for: an index (shingle, class), of which only rows stay that have another
-   class below their root whose size and place allow a link.
-3. Rounds, each followed by verification and components. First, below each set's HEAD first roots, the classes form
-   stars around those that seem near to most; then once more those of different components. Next, below the same roots,
-   all pairs that still are in different components; last, all such pairs below any root that have not met below the
-   first ones. So most of a large group of near copies costs a comparison or two each, and no link between different
-   texts is lost that could join two components. A parity sketch of each set, a bound for the difference of two sets that never exceeds
-   it, drops pairs that cannot link before any set is fetched.
-4. Pairs are verified on the whole sets: a task stores the sets to be compared with one set in a prefix tree, walks it
-   with the overlap so far shared by all sets below a node, and abandons subtrees in which the shingles left cannot
-   make up what is missing.
+   class below their root whose size allows a link.
+3. Below each root a parity sketch of each set, a bound for the difference of two sets that never exceeds it, tells
+   which pairs of different components may link. A root gives a spanning forest of those pairs, so it has fewer rows
+   than the root has classes. A root of many classes is cut: into salted parts at first, into pairs of blocks at last.
+4. Cells of whole sets are met in a prefix tree (prefix_tree.py): walks share the overlaps so far, abandon subtrees by
+   the lengths that remain, and give the links that join components. In the first rounds a cell is a star of the
+   forest, which merges most of a group of near copies at a comparison or two each. At last the cells are the forest's
+   own components, with all their sets, so every pair that may link and still is apart is decided exactly. Large cells
+   are cut into pairs of blocks.
 5. Components of the links, on Spark (see common.components).
 
 Null and empty texts have empty sets and link with nothing. Rows that repeat a doc_id are vertices of their own; a
@@ -28,12 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bpe
-from .common import components, materialize
+from .common import components, is_small, join_dimension, join_ids, join_uneven, materialize, ship, tidy
+from .prefix_tree import links, needed
 from .shingles import mix, shingle_set, word_hashes
 
 PERCENT = 85
@@ -44,17 +44,12 @@ FREQUENT = 65_536
 REPORTED = 8
 #: Bits of the filter that selects the texts whose sets are fetched; false hits cost time only.
 FILTER_BITS = 1 << 25
-#: The first rounds look below so many roots of each set only.
-HEAD = 3
-#: Classes of a root that are tried as the middle of a star, and how often in vain.
-LEADERS, MOST_VAIN = 8, 16
-#: Below a root of at most so many classes pairs are looked at together, else class by class.
+#: Classes of a root that are looked at together, and shingles of the sets of a cell; more are cut into parts of about this size.
+BLOCK, CELL_KEYS = 512, 1 << 17
+#: Below a root of at most so many classes pairs are looked at in one go, else class by class.
 SMALL_RUN = 32
-
-
-def needed(a: int, b: int, percent: int = PERCENT) -> int:
-    """The smallest overlap with which sets of these sizes link."""
-    return -(-percent * (a + b) // (100 + percent))
+#: Rounds in which cells are stars.
+STAR_ROUNDS = 2
 
 
 def prefix_length(n, percent: int = PERCENT):
@@ -64,6 +59,7 @@ def prefix_length(n, percent: int = PERCENT):
 def _sets(source: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in bpe.batches(source, "text", 4 << 20):
         yield batch, [shingle_set(w, words) for w in word_hashes(batch.column("text"))]
+    tidy()
 
 
 def _ordered(keys: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -78,9 +74,9 @@ def _ordered(keys: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.nda
 
 
 def sketch(keys: np.ndarray) -> bytes:
-    """Parities of the numbers of keys in 2**k >= 2 n cells: two sets differ in as many keys at least as in cells."""
-    bits = 256
-    while bits < 2 * len(keys):
+    """Parities of the numbers of keys in 2**k >= n cells: two sets differ in as many keys at least as in cells."""
+    bits = 128
+    while bits < len(keys):
         bits *= 2
     odd = np.bincount((keys & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
@@ -152,225 +148,312 @@ def describe(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: in
     return docs.select("doc_id", "text", *more).mapInArrow(run, f"doc_id {kinds['doc_id']}, n long, s1 long, s2 long, prefix array<long>, sketch binary{rest}")
 
 
-def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing cells of sketches (rows of 64-bit words)."""
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
-
+class Sketches:
+    """A column of sketches, by row."""
+
+    def __init__(self, column: pa.Array):
+        column = column.cast(pa.large_binary())
+        at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 8
+        self.start, self.cells = at[:-1], np.diff(at)
+        self.flat = np.frombuffer(column.buffers()[2] or b"", np.uint64)
+
+    def folded(self, rows: np.ndarray, size: int) -> np.ndarray:
+        """The rows' sketches with so many words: a cell of the half is the parity of cells i and i + half."""
+        out = np.zeros((len(rows), size), np.uint64)
+        for c in np.unique(self.cells[rows]):
+            some = np.flatnonzero(self.cells[rows] == c)
+            x = self.flat[self.start[rows[some]][:, None] + np.arange(c)]
+            while x.shape[1] > size:
+                half = x.shape[1] // 2
+                x = x[:, :half] ^ x[:, half:]
+            out[some] = x
+        return out
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Differing cells of pairs of rows."""
+        out, size = np.zeros(len(i), np.int64), np.minimum(self.cells[i], self.cells[j])
+        for s in np.unique(size):
+            same = np.flatnonzero(size == s)
+            for at in range(0, len(same), 8192):
+                own = same[at : at + 8192]
+                rows, back = np.unique(np.concatenate([i[own], j[own]]), return_inverse=True)
+                cells = self.folded(rows, int(s))
+                out[own] = np.bitwise_count(cells[back[: len(own)]] ^ cells[back[len(own) :]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _whole_runs(source: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """A stream sorted by keys, cut only between runs of equal keys; the runs' bounds. Runs are bounded."""
+    rest: list[pa.RecordBatch] = []
+
+    def bounds(batch) -> np.ndarray:
+        differ = np.zeros(max(0, batch.num_rows - 1), bool)
+        for k in keys:
+            differ |= np.diff(batch.column(k).to_numpy()) != 0
+        return np.concatenate([[0], np.flatnonzero(differ) + 1, [batch.num_rows]])
 
-def _fold(raw: bytes, size: int) -> np.ndarray:
-    """A sketch with fewer cells."""
-    x = np.frombuffer(raw, np.uint64)
-    while len(x) > size:
-        # cell i of the half is the parity of cells i and i + half
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return x
-
-
-def _whole_runs(source: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """A stream sorted by shingle, cut only between shingles."""
-    rest: pa.Table | None = None
     for batch in source:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([rest, table]) if rest is not None else table
-        keys = table.column("shingle").to_numpy()
-        last = int(np.searchsorted(keys, keys[-1], "left"))
-        if last:
-            yield table.slice(0, last)
-        rest = table.slice(last)
-    if rest is not None:
-        yield rest
+        last = int(bounds(batch)[-2])
+        same = bool(rest) and all(rest[-1].column(k)[-1].as_py() == batch.column(k)[0].as_py() for k in keys)
+        if rest and (last or not same):
+            table = pa.Table.from_batches([*rest, batch.slice(0, last)]).combine_chunks()
+            rest = []
+            yield table, bounds(table)
+        elif last:
+            table = pa.Table.from_batches([batch.slice(0, last)])
+            yield table, bounds(table)
+        rest.append(batch.slice(last))
+    if rest:
+        table = pa.Table.from_batches(rest).combine_chunks()
+        yield table, bounds(table)
+
+
+def _n_parts(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
+def _fits(n: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and places allow a link, if the root is the first shingle that both have (else that one serves them)."""
+    return 1 + np.minimum(n[i] - place[i] - 1, n[j] - place[j] - 1) >= needed(n[i], n[j], percent)
 
 
 def _shared(index: DataFrame, percent: int) -> DataFrame:
-    """The rows of an index (shingle, id, n, place) with a possible partner below their root."""
+    """The rows of an index (shingle, id, n, place) with a possible partner below their root.
+
+    Rows are dealt by ranges of shingle and id, so a root of many classes is cut over tasks; a task's first and last
+    root, which may go on in the next one, stay whole, and so do long ones.
+    """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_runs(source):
-            key, n, place = (table.column(c).to_numpy() for c in ("shingle", "n", "place"))
-            keep = np.zeros(len(key), bool)
-            sizes = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]]))
+        kept: pa.RecordBatch | None = None  # the last rows, which the next batch may go on
+        first = True
+        for batch in source:
+            if not batch.num_rows:
+                continue
+            if kept is not None:
+                batch = pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
+            key, n, place = (batch.column(c).to_numpy() for c in ("shingle", "n", "place"))
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+            sizes = np.diff(cuts)
             of_run = np.repeat(sizes, sizes)
+            keep = of_run > SMALL_RUN
             for d in range(1, min(SMALL_RUN, len(key))):
                 i = np.flatnonzero((key[d:] == key[:-d]) & (of_run[d:] <= SMALL_RUN))
                 if not len(i):
                     break
                 i = i[_fits(n, place, i, i + d, percent)]
                 keep[i] = keep[i + d] = True
-            keep |= of_run > SMALL_RUN
-            if keep.any():
-                yield from table.filter(pa.array(keep)).to_batches()
-
-    n = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return index.repartition(n, "shingle").sortWithinPartitions("shingle").mapInArrow(run, index.schema)
+            if first:
+                keep[: cuts[1]] = True
+            last = int(cuts[-2])
+            if len(key) - last > SMALL_RUN:  # a long root: its rows go out, all but the one that makes the rest of it long
+                keep[last:] = True
+                last, long = len(key) - 1, True
+            else:
+                long = False
+            first = long or (first and last == 0)
+            out = batch.slice(0, last).filter(pa.array(keep[:last]))
+            kept = batch.slice(last)
+            if out.num_rows:
+                yield out
+        if kept is not None:
+            yield kept
+
+    rows = index.repartitionByRange(_n_parts(index), "shingle", "id").sortWithinPartitions("shingle", "id")
+    return rows.mapInArrow(run, index.schema)
+
+
+def _pairs(r: dict, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows of a run, of different components and sides, that sizes, places and sketches allow to link."""
+    n, comp, sketches = r["n"], r["component"], r["sketch"]
+
+    def may(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = (comp[i] != comp[j]) & _fits(n, r["place"], i, j, percent)
+        i, j = i[ok], j[ok]
+        ok = sketches.differ(i, j) <= n[i] + n[j] - 2 * needed(n[i], n[j], percent)
+        return i[ok], j[ok]
+
+    sizes = np.diff(bounds)
+    mixed = np.minimum.reduceat(comp, bounds[:-1]) != np.maximum.reduceat(comp, bounds[:-1])
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    run = np.repeat(np.arange(len(sizes)), sizes)
+    small = (mixed & (sizes <= SMALL_RUN))[run]
+    for d in range(1, min(SMALL_RUN, len(run))):
+        i = np.flatnonzero((run[d:] == run[:-d]) & small[d:])
+        if not len(i):
+            break
+        i, j = may(i, i + d)
+        left.append(i)
+        right.append(j)
+    for k in np.flatnonzero(mixed & (sizes > SMALL_RUN)):  # rows are sorted by n
+        lo, hi = int(bounds[k]), int(bounds[k + 1])
+        upto = np.searchsorted(n[lo:hi], n[lo:hi] * 100 // percent, "right") - np.arange(1, hi - lo + 1)
+        i = np.repeat(np.arange(lo, hi), upto)
+        i, j = may(i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(upto) - upto, upto))
+        left.append(i)
+        right.append(j)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _spanning(i: np.ndarray, j: np.ndarray, rows: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of rows, as (hub, member): rows with many partners are hubs."""
+    degree = np.bincount(np.concatenate([i, j]), minlength=rows)
+    swap = (degree[j] > degree[i]) | ((degree[j] == degree[i]) & (j < i))
+    hub, member = np.where(swap, j, i), np.where(swap, i, j)
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for k in np.lexsort((hub, -degree[hub])):
+        a, b = find(int(hub[k])), find(int(member[k]))
+        if a != b:
+            parent[b] = a
+            out.append((int(hub[k]), int(member[k])))
+    return out
+
+
+def _forest(runs: DataFrame, percent: int) -> DataFrame:
+    """hub, member: of each run (shingle, i, j) a spanning forest of the pairs that may link and are of different components."""
 
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in _whole_runs(source, ["shingle", "i", "j"]):
+            r = {c: table.column(c).to_numpy() for c in ("place", "id", "n", "component")}
+            r["sketch"] = Sketches(table.column("sketch").combine_chunks())
+            i, j = _pairs(r, bounds, percent)
+            found = np.array(_spanning(i, j, len(r["id"])), np.int64).reshape(-1, 2)
+            ids = np.unique(r["id"][found], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1])], ["hub", "member"])
+        tidy()
 
-def _fits(n: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sizes and places allow a link, if the root is the first shingle that both have (else that one serves them)."""
-    need = -(-percent * (n[i] + n[j]) // (100 + percent))
-    return 1 + np.minimum(n[i] - place[i] - 1, n[j] - place[j] - 1) >= need
+    key = ["shingle", "i", "j"]
+    rows = runs.repartition(_n_parts(runs), *key).sortWithinPartitions(*key, "n", "id")
+    return rows.mapInArrow(run, "hub long, member long").distinct()
 
 
-def _candidates(index: DataFrame, percent: int, mode: str) -> DataFrame:
-    """Pairs a, b below a common root, of different components, that sizes, places and sketches do not rule out.
+def _dealt(seed: int, blocks: Column, *by: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), *by), blocks)
 
-    first, again: stars, in which each class stands once at most below a root; all: all pairs; rest: all pairs without
-    a common root among their first ones.
-    """
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_runs(source):
-            r = {c: table.column(c).to_numpy() for c in ("shingle", "place", "id", "n", "component")}
-            r["sketch"] = table.column("sketch").combine_chunks()
-            r["cells"] = pc.binary_length(r["sketch"]).to_numpy(zero_copy_only=False) // 8
-            if mode == "rest":
-                r["head"] = np.array(table.column("head").to_pylist(), np.int64).reshape(-1, HEAD)
-            bounds = np.concatenate([[0], np.flatnonzero(np.diff(r["shingle"])) + 1, [len(r["shingle"])]])
-            sizes = np.diff(bounds)
-            found = []
-            low, high = np.minimum.reduceat(r["component"], bounds[:-1]), np.maximum.reduceat(r["component"], bounds[:-1])
-            mixed = low != high
-            if mode in ("first", "again"):
-                two = bounds[:-1][mixed & (sizes == 2)]
-                found.append(_possible(r, two, two + 1, percent))
-                for k in np.flatnonzero(mixed & (sizes > 2)):
-                    found += _stars(r, int(bounds[k]), int(bounds[k + 1]), percent)
-            else:
-                of_run = np.repeat(np.where(mixed, sizes, 0), sizes)
-                for d in range(1, min(SMALL_RUN, len(of_run))):
-                    i = np.flatnonzero((r["shingle"][d:] == r["shingle"][:-d]) & (of_run[d:] <= SMALL_RUN) & (of_run[d:] > 0))
-                    if not len(i):
-                        break
-                    found.append(_possible(r, i, i + d, percent))
-                for k in np.flatnonzero(mixed & (sizes > SMALL_RUN)):
-                    found += _across(r, int(bounds[k]), int(bounds[k + 1]), percent)
-            pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
-            pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    n = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = index.select("shingle", "place", "id", "n", "component", "sketch", *(["head"] if mode == "rest" else []))
-    return rows.repartition(n, "shingle").sortWithinPartitions("shingle", "n", "id").mapInArrow(run, "a long, b long")
-
-
-def _possible(r: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """The ids of those of the pairs of rows i, j that can link."""
-    i, j = _linkable(r, i, j, percent)
-    return np.stack([r["id"][i], r["id"][j]], axis=1)
-
-
-def _linkable(r: dict, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    n = r["n"]
-    ok = (r["component"][i] != r["component"][j]) & _fits(n, r["place"], i, j, percent)
-    i, j = i[ok], j[ok]
-    if "head" in r and len(i):  # pairs with a common first root have met before
-        met = (r["head"][i][:, :, None] == r["head"][j][:, None, :]).any(axis=(1, 2))
-        i, j = i[~met], j[~met]
-    need = -(-percent * (n[i] + n[j]) // (100 + percent))
-    size = np.minimum(r["cells"][i], r["cells"][j])
-    keep = np.zeros(len(i), bool)
-    for s in np.unique(size):
-        some = np.flatnonzero(size == s)
-        for at in range(0, len(some), 4096):
-            own = some[at : at + 4096]
-            rows, back = np.unique(np.concatenate([i[own], j[own]]), return_inverse=True)
-            cells = np.stack([_fold(r["sketch"][int(k)].as_py(), s) for k in rows])
-            left, right = cells[back[: len(own)]], cells[back[len(own) :]]
-            keep[own] = _distance(left, right) <= n[i[own]] + n[j[own]] - 2 * need[own]
-    return i[keep], j[keep]
-
-
-def _stars(r: dict, lo: int, hi: int, percent: int) -> Iterator[np.ndarray]:
-    """Stars that cover a run: of a few rows the one that can link with most of those left, and these; then the rest."""
-    left, vain = np.arange(lo, hi), 0
-    while len(left) > 1 and vain < MOST_VAIN:  # what no star reaches is left to the rounds of all pairs
-        tried = np.unique(left[np.linspace(0, len(left) - 1, min(LEADERS, len(left))).astype(int)])
-        best, hit = tried[0], left[:0]
-        for i in tried:
-            n = r["n"][i]
-            near = left[(r["n"][left] * 100 >= n * percent) & (r["n"][left] * percent <= n * 100) & (left != i)]
-            js = _linkable(r, np.full(len(near), i), near, percent)[1]
-            if len(js) > len(hit):
-                best, hit = i, js
-        if not len(hit):
-            left, vain = np.setdiff1d(left, tried, assume_unique=True), vain + 1
-            continue
-        yield np.stack([np.full(len(hit), r["id"][best]), r["id"][hit]], axis=1)
-        left = np.setdiff1d(left, np.append(hit, best), assume_unique=True)
+def _block_pairs(own: Column, main: Column, others: Column, mains: Column) -> Column:
+    """The pairs of blocks i <= j in which a row takes part: of blocks of others with each other and with main ones."""
+    total = others + mains
+    zero = F.lit(0).cast("long")
+    every = F.transform(F.sequence(zero, total - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
+    to_others = F.transform(F.sequence(zero, others - 1), lambda k: F.struct(k.alias("i"), own.alias("j")))
+    return F.when(~main, every).when(others > 0, to_others).otherwise(F.array().cast("array<struct<i:bigint,j:bigint>>"))
 
 
-def _across(r: dict, lo: int, hi: int, percent: int) -> Iterator[np.ndarray]:
-    comp, n = r["component"][lo:hi], r["n"][lo:hi]
-    _, which, sizes = np.unique(comp, return_inverse=True, return_counts=True)
-    big = which == np.argmax(sizes)
-    for i in np.flatnonzero(~big):  # rows are sorted by n
-        a, b = np.searchsorted(n, -(-n[i] * percent // 100), "left"), np.searchsorted(n, n[i] * 100 // percent, "right")
-        js = np.arange(a, b)
-        js = js[(comp[js] != comp[i]) & (big[js] | (js > i))]
-        yield _possible(r, np.full(len(js), lo + i), lo + js, percent)
+def _runs(index: DataFrame, about: DataFrame, round_: int, block: int = BLOCK) -> DataFrame:
+    """The index's rows with component and sketch, in runs (shingle, i, j) of bounded size.
 
+    In the first rounds a root of many classes is dealt over parts. At last it is cut into blocks that meet in pairs,
+    but for pairs of blocks of its commonest component.
+    """
+    if round_ > 1:  # only roots of several components matter
+        placed = index.join(about.select("id", "component"), "id")
+        mixed = placed.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("shingle")
+        index = materialize(join_ids(index, materialize(mixed, "jaccard-mixed"), "shingle", "left_semi"), "jaccard-index")
+    rows = index.join(about.select("id", "component", "sketch"), "id")
+    hot = materialize(index.groupBy("shingle").agg(F.count("*").alias("c")).where(F.col("c") > block), "jaccard-hot")
+    parts = lambda c: F.ceil(F.col(c) / block)
+    if round_ <= STAR_ROUNDS:
+        part = F.when(F.col("c").isNull(), F.lit(0)).otherwise(_dealt(round_, parts("c"), "id", "shingle")).cast("long")
+        return join_dimension(rows, hot, ["shingle"], "left").withColumn("i", part).withColumn("j", F.col("i")).drop("c")
+    some = join_dimension(index.select("shingle", "id"), hot, ["shingle"]).join(about.select("id", "component"), "id")
+    by = some.groupBy("shingle", "component").agg(F.count("*").alias("k"), F.first("c").alias("c"))
+    main = by.groupBy("shingle").agg(F.max(F.struct("k", "component")).alias("m"), F.first("c").alias("c"))
+    main = main.select("shingle", F.col("m.component").alias("main"), F.ceil((F.col("c") - F.col("m.k")) / block).alias("others"), F.ceil(F.col("m.k") / block).alias("mains"))
+    rows = join_dimension(rows, materialize(main, "jaccard-main"), ["shingle"], "left")
+    is_main = F.col("component") == F.col("main")
+    own = F.when(is_main, F.col("others") + _dealt(0, F.col("mains"), "id", "shingle")).otherwise(_dealt(0, F.greatest(F.lit(1), F.col("others")), "id", "shingle"))
+    pairs = F.when(F.col("main").isNull(), F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))).otherwise(_block_pairs(own, is_main, F.col("others"), F.col("mains")))
+    return rows.withColumn("ij", F.explode(pairs)).select("shingle", "id", "n", "place", "component", "sketch", "ij.i", "ij.j")
+
+
+def _cells(edges: DataFrame, about: DataFrame, round_: int, keys: int = CELL_KEYS) -> DataFrame:
+    """cell, i, j, id, component, is_hub: which sets meet."""
+    known = about.select("id", "n", "component")
+    if round_ <= STAR_ROUNDS:
+        member = edges.select(F.col("hub").alias("cell"), F.col("member").alias("id")).join(known, "id")
+        parts = member.groupBy("cell").agg(F.ceil(F.sum("n") / keys).alias("parts"))
+        hubs = parts.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i"), F.col("cell").alias("id")).join(known, "id")
+        large = materialize(parts.where("parts > 1"), "jaccard-large")
+        part = F.coalesce(_dealt(round_, F.col("parts"), "id", "cell"), F.lit(0)).cast("long")
+        member = join_dimension(member, large, ["cell"], "left").withColumn("i", part)
+        each = [t.select("cell", "i", F.col("i").alias("j"), "id", "component", F.lit(hub).alias("is_hub")) for t, hub in ((member, False), (hubs, True))]
+        return each[0].unionByName(each[1])
+    # components of the forest; its vertices that are no component's smallest come with it, the smallest themselves too
+    group = components(edges.select(F.col("hub").alias("a"), F.col("member").alias("b")), "jaccard-meeting")
+    group = group.unionByName(group.select(F.col("component").alias("id"), "component").distinct())
+    rows = group.select("id", F.col("component").alias("cell")).join(known, "id")
+    sums = rows.groupBy("cell").agg(F.sum("n").alias("keys"))
+    large = materialize(sums.where(F.col("keys") > keys).select("cell", F.ceil(2 * F.col("keys") / keys).alias("blocks")), "jaccard-large")
+    rows = join_dimension(rows, large, ["cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)).cast("long"))
+    pairs = _block_pairs(_dealt(0, F.col("blocks"), "id"), F.lit(False), F.col("blocks"), F.lit(0).cast("long"))
+    return rows.withColumn("ij", F.explode(pairs)).select("cell", "ij.i", "ij.j", "id", "component", F.lit(False).alias("is_hub"))
+
+
+def _meet(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that join components, from each cell's prefix tree."""
 
-def tree_overlaps(probe: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> Iterator[tuple[int, int]]:
-    """Of sets in one order those that link with the probe, and the overlaps: a walk through their prefix tree.
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in _whole_runs(source, ["cell", "i", "j"]):
+            ids, component, hub = (table.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "is_hub"))
+            keys, found = table.column("keys").combine_chunks(), []
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                if (component[lo:hi] != component[lo]).any():
+                    # the shingles that most sets share come first in the tree
+                    own = [np.frombuffer(keys[int(k)].as_py(), np.uint64)[::-1] for k in range(lo, hi)]
+                    found += links(ids[lo:hi], component[lo:hi], own, hub[lo:hi].astype(bool), percent)
+            out = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+        tidy()
 
-    The tree is the sorted list of sets: a node is a run of sets with a common beginning, an edge what they go on
-    to share. An edge's overlap with the probe is counted once for the run.
-    """
-    order = sorted(range(len(sets)), key=lambda k: sets[k].tobytes())
-    sets = [sets[k] for k in order]
-    sorted_probe = np.sort(probe)
-    n = len(probe)
-    stack = [(0, len(sets), 0, 0)]
-    while stack:
-        lo, hi, depth, overlap = stack.pop()
-        first, last = sets[lo], sets[hi - 1]
-        m = min(len(first), len(last))
-        differ = np.flatnonzero(first[depth:m] != last[depth:m])
-        end = depth + int(differ[0]) if len(differ) else m
-        edge = first[depth:end]
-        if len(edge):
-            at = np.minimum(np.searchsorted(sorted_probe, edge), n - 1)
-            overlap += int((sorted_probe[at] == edge).sum())
-        longest, shortest = max(len(s) for s in sets[lo:hi]), min(len(s) for s in sets[lo:hi])
-        if overlap + min(longest - end, n - overlap) < needed(n, shortest, percent):
-            continue
-        while lo < hi and len(sets[lo]) == end:  # sets that end here sort first
-            if overlap >= needed(n, end, percent):
-                yield order[lo], overlap
-            lo += 1
-        while lo < hi:
-            k = lo + 1
-            while k < hi and sets[k][end] == sets[lo][end]:
-                k += 1
-            stack.append((lo, k, end, overlap))
-            lo = k
+    key = ["cell", "i", "j"]
+    cells = materialize(cells, "jaccard-cells")
+    cells = F.broadcast(cells) if is_small(cells) else cells
+    rows = sets.join(cells, "id").repartition(_n_parts(sets), *key).sortWithinPartitions(*key, "id")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, frequent, words: int) -> DataFrame:
-    """id, keys of the wanted classes (id, doc_id, s1, s2): texts are read again, and a filter drops most."""
+    """id, keys of the wanted classes (id, doc_id, s1, s2): texts are read again, and a filter drops most.
+
+    A task gives a set once. Where a row is repeated over tasks its set is, which does no harm.
+    """
 
-    def slots(s1, s2) -> np.ndarray:
-        x = mix(np.asarray(s1, np.int64).astype(np.uint64) ^ (np.asarray(s2, np.int64).astype(np.uint64) * np.uint64(3)))
-        return (x & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    def slots(s1, s2, h) -> np.ndarray:
+        s1, s2, h = (np.asarray(x, np.int64).astype(np.uint64) for x in (s1, s2, h))
+        return (mix(s1 ^ (s2 * np.uint64(3)) ^ mix(h)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
     def mark(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [slots(b.column("s1").to_numpy(), b.column("s2").to_numpy()) for b in source]
+        got = [slots(*(b.column(c).to_numpy() for c in ("s1", "s2", "h"))) for b in source]
         at = np.unique(np.concatenate([np.zeros(0, np.int64), *got]))
         yield pa.RecordBatch.from_arrays([pa.array(at)], ["slot"])
 
-    bits = wanted.select("s1", "s2").mapInArrow(mark, "slot long").groupBy((F.col("slot") / 64).cast("long").alias("word"))
+    about_id = F.xxhash64("doc_id").alias("h")
+    bits = wanted.select("s1", "s2", about_id).mapInArrow(mark, "slot long").groupBy((F.col("slot") / 64).cast("long").alias("word"))
     words_ = bits.agg(F.expr("bit_or(shiftleft(1L, int(pmod(slot, 64L))))").alias("v")).toPandas()  # FILTER_BITS / 64 rows at most
     table = np.zeros(FILTER_BITS // 64, np.uint64)
     table[words_["word"].to_numpy(np.int64)] = words_["v"].to_numpy(np.int64).astype(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int, int]] = set()
         for batch, sets in _sets(source, words):
             digests = [_digest(s) for s in sets]
-            at = slots([a for a, _ in digests], [b for _, b in digests])
+            at = slots([a for a, _ in digests], [b for _, b in digests], batch.column("h").to_numpy())
             hit = np.flatnonzero((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
-            hit = [k for k in hit if len(sets[k])]
+            own = {(*digests[k], int(batch.column("h")[int(k)].as_py())): int(k) for k in hit[::-1] if len(sets[k])}
+            hit = sorted(k for x, k in own.items() if x not in seen)
+            seen.update(own)
             keys = [_ordered(sets[k], *frequent).astype("<u8").tobytes() for k in hit]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(hit, pa.int64())), pa.array([digests[k][0] for k in hit], pa.int64()), pa.array([digests[k][1] for k in hit], pa.int64()), pa.array(keys, pa.binary())],
@@ -378,93 +461,86 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, frequent, words: int) -> Data
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    found = docs.select("doc_id", "text").mapInArrow(run, f"f_doc_id {kind}, f1 long, f2 long, keys binary")
+    wanted = F.broadcast(wanted) if is_small(wanted) else wanted
+    found = docs.select("doc_id", about_id, "text").mapInArrow(run, f"f_doc_id {kind}, f1 long, f2 long, keys binary")
     out = found.join(wanted, (F.col("f1") == F.col("s1")) & (F.col("f2") == F.col("s2")) & F.col("f_doc_id").eqNullSafe(F.col("doc_id")))
-    return materialize(out.select("id", "keys").dropDuplicates(["id"]), "jaccard-sets")
+    return materialize(out.select("id", "keys"), "jaccard-sets")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b that link."""
-
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            found: list[tuple[int, int]] = []
-            order = np.argsort(a, kind="stable")
-            bounds = np.concatenate([[0], np.flatnonzero(np.diff(a[order])) + 1, [len(a)]])
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                if lo == hi:
-                    continue
-                own = order[lo:hi]
-                probe = np.frombuffer(batch.column("probe")[int(own[0])].as_py(), np.uint64)
-                members = [np.frombuffer(batch.column("keys")[int(k)].as_py(), np.uint64) for k in own]
-                found += [(int(a[own[0]]), int(b[own[k]])) for k, _ in tree_overlaps(probe, members, percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
-
-    both = pairs.join(sets.withColumnRenamed("id", "b"), "b").join(sets.select(F.col("id").alias("a"), F.col("keys").alias("probe")), "a")
-    return both.select("a", "b", "probe", "keys").mapInArrow(run, "a long, b long")
+def _linked_classes(docs: DataFrame, reps: DataFrame, frequent, words: int, percent: int) -> DataFrame | None:
+    """id, component of the classes that have links; reps: id, doc_id, n, s1, s2, prefix, sketch."""
+    place = reps.select("id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "shingle"))
+    index = materialize(_shared(place.select("shingle", "id", "n", "place"), percent), "jaccard-index")
+    index = index.withColumns({c: F.col(c).cast("long") for c in ("n", "place")})
+    sets, comps = None, None
+    for round_ in range(1, STAR_ROUNDS + 2):
+        about = reps.select("id", "n", "sketch")
+        if comps is None:
+            about = about.withColumn("component", F.col("id"))
+        else:
+            about = materialize(about.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id")), "jaccard-about")
+        edges = materialize(_forest(_runs(index, about, round_), percent), "jaccard-forest")
+        if round_ == 1:
+            # what has no partner here has none later, but below roots that were dealt over parts
+            cut = index.groupBy("shingle").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK).drop("c")
+            cut = join_dimension(index.select("shingle", "id"), cut, ["shingle"]).select("id")
+            ids = materialize(edges.select(F.col("hub").alias("id")).union(edges.select("member")).union(cut).distinct(), "jaccard-partners")
+            reps = materialize(reps.drop("prefix").join(ids, "id", "left_semi"), "jaccard-reps")
+            index = materialize(index.join(ids, "id", "left_semi"), "jaccard-index")
+            about = reps.select("id", "n", "sketch").withColumn("component", F.col("id"))
+            if reps.isEmpty():
+                return None
+            sets = fetch_sets(docs, reps.select("id", "doc_id", "s1", "s2"), frequent, words)
+        if edges.isEmpty():
+            continue
+        found = materialize(_meet(_cells(edges, about, round_), sets, percent), "jaccard-links")
+        if not found.isEmpty():
+            # the links so far are as good as their components: stars
+            known = found if comps is None else found.unionByName(comps.select(F.col("id").alias("a"), F.col("component").alias("b")))
+            comps = components(known, "jaccard-components")
+    return comps
 
 
 def _members(docs: DataFrame, percent: int = PERCENT, words: int = SHINGLE_WORDS) -> DataFrame:
-    """Of docs (doc_id, text and others) doc_id, n, the others, component (one of the component's rows)."""
+    """Of docs (doc_id, text and others) doc_id, n, the others, and component: one of the component's rows, null for a row alone."""
+    ship(docs.sparkSession)
     more = [c for c in docs.columns if c not in ("doc_id", "text")]
     frequent = frequent_shingles(docs, words)
     rows = materialize(describe(docs, frequent, words, percent).withColumn("row", F.monotonically_increasing_id()), "jaccard-rows")
     full = rows.where("n > 0")
-    classes = materialize(full.groupBy("n", "s1", "s2").agg(F.min("row").alias("id")), "jaccard-classes")
-    head = F.transform(F.sequence(F.lit(1), F.lit(HEAD)), lambda k: F.coalesce(F.get("prefix", k - 1), -k - F.col("row") * HEAD))
-    reps = full.select("doc_id", "n", "s1", "s2", "sketch", F.col("row").alias("id"), head.alias("head"))
-    reps = materialize(reps.join(classes.select("id"), "id", "left_semi"), "jaccard-reps")
-    index = full.select(F.col("row").alias("id"), "n", F.posexplode("prefix").alias("place", "shingle"))
-    index = _shared(index.select("shingle", "id", "n", F.col("place").cast("long").alias("place")), percent)
-    index = materialize(index, "jaccard-index").drop("n")
-
-    sets: DataFrame | None = None
-    comps: DataFrame | None = None  # id, component of the classes that have links
-    for mode in ("first", "again", "all", "rest"):
-        about = reps.select("id", "n", "sketch", "head")
-        if comps is None:
-            about = about.withColumn("component", F.col("id"))
-        else:
-            about = about.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        # rows of copies that are not their class's first drop out here
-        below = (index if mode == "rest" else index.where(F.col("place") < HEAD)).join(about, "id")
-        pairs = materialize(_candidates(below, percent, mode).distinct(), "jaccard-pairs")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        if sets is not None:
-            ids = ids.join(sets.select("id"), "id", "left_anti")
-        wanted = materialize(reps.select("id", "doc_id", "s1", "s2").join(ids, "id"), "jaccard-wanted")
-        if not wanted.isEmpty():
-            got = fetch_sets(docs, wanted, frequent, words)
-            sets = got if sets is None else sets.unionByName(got)
-        if sets is not None and not pairs.isEmpty():
-            found = materialize(verify(pairs, sets, percent), "jaccard-links")
-            if not found.isEmpty():
-                # the links so far are as good as their components: stars
-                known = [] if comps is None else [comps.select(F.col("id").alias("a"), F.col("component").alias("b"))]
-                comps = components(found.unionByName(known[0]) if known else found, "jaccard-components")
+    classes = materialize(full.groupBy("n", "s1", "s2").agg(F.min("row").alias("id"), F.count("*").alias("copies")), "jaccard-classes")
+    copies = full.select(F.col("row").alias("id")).join(classes.select("id"), "id", "left_anti")
+    reps = full.select("doc_id", "n", "s1", "s2", "prefix", "sketch", F.col("row").alias("id"))
+    reps = join_ids(reps, materialize(copies, "jaccard-copies"), "id", "left_anti")
+    comps = _linked_classes(docs, materialize(reps, "jaccard-reps"), frequent, words, percent)
     named = rows.select("doc_id", "n", "s1", "s2", "row", *more)
-    known = classes.withColumnRenamed("n", "cn").withColumnRenamed("s1", "c1").withColumnRenamed("s2", "c2")
+    known = classes.where("copies > 1").withColumn("component", F.col("id"))
     if comps is not None:
-        known = known.join(comps, "id", "left").withColumn("id", F.coalesce("component", "id")).drop("component")
-    member = named.join(known, (F.col("n") == F.col("cn")) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
-    return materialize(member.select("doc_id", "n", *more, F.coalesce("id", F.col("row")).alias("component")), "jaccard-members")
+        # a component's own name has no row of its own there
+        known = classes.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        names = comps.select(F.col("component").alias("id")).distinct().withColumn("named", F.lit(True))
+        known = known.join(names, "id", "left").where("copies > 1 or component <> id or named").drop("named")
+    known = materialize(known.select("n", "s1", "s2", "component", "copies"), "jaccard-known")
+    member = join_uneven(named, known, ["n", "s1", "s2"], "copies", F.col("n") > 0)
+    return materialize(member.select("doc_id", "n", "row", *more, "component"), "jaccard-members")
 
 
 def groups(docs: DataFrame, percent: int = PERCENT, words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     member = _members(docs.select("doc_id", "text"), percent, words)
     # a component's smallest doc_id; the aggregate combines before it shuffles
-    smallest = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return member.join(smallest, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    smallest = member.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("members"))
+    named = join_uneven(member, materialize(smallest, "jaccard-smallest"), ["component"], "members", F.col("component").isNotNull())
+    own = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
+    return named.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """Of each group one row: of those with the smallest doc_id (null last) the first by its text's digest; texts without shingles stay."""
+    """Of each group one row: of those with the smallest doc_id (null last) the first by its text's digest; rows without a group stay."""
     digest = F.unhex(F.md5(F.col("text")))
     found = _members(docs.select("doc_id", "text", digest.alias("digest")), **options)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), F.col("doc_id"), F.col("digest"))).alias("first")
-    kept = found.groupBy("component").agg(first, (F.max("n") == 0).alias("__lone"))
+    kept = found.groupBy(F.coalesce("component", "row").alias("group")).agg(first, F.max("component").isNull().alias("__lone"))
     kept = kept.select(F.col("first.doc_id").alias("__kept"), F.col("first.digest").alias("__digest"), "__lone").distinct()
     out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")) & digest.eqNullSafe(F.col("__digest")))
     # of whole rows that repeat one stays, but for those without a group

@@ -5,8 +5,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pathgrade.llm import jaccard, shingles
+from pathgrade.llm import common, jaccard, shingles
 from pathgrade.llm.common import components
+from pathgrade.llm.prefix_tree import PrefixTree, links
 
 from .conftest import EDGES
 
@@ -72,30 +73,60 @@ def test_keep_one(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(a for a, _, b in want if a == b)
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_tree_and_candidates_lose_nothing(seed):
+def some_sets(seed, count=60):
     rng = np.random.default_rng(seed)
     base = rng.integers(0, 2**63, 400).astype(np.uint64)
-    sets = []
-    for _ in range(60):
+    for _ in range(count):
         keep = base[rng.random(400) < rng.choice([0.5, 0.9, 0.97])]
-        sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2**63, rng.integers(0, 30)).astype(np.uint64)])))
-    probe = sets[0]
-    want = {k for k, s in enumerate(sets) if 100 * len(np.intersect1d(s, probe)) >= 85 * len(np.union1d(s, probe))}
-    assert {k for k, _ in jaccard.tree_overlaps(probe, sets)} == want
-    for s in sets[1:]:
-        a, b = jaccard.sketch(probe), jaccard.sketch(s)
-        size = min(len(a), len(b)) // 8
-        assert jaccard._distance(jaccard._fold(a, size), jaccard._fold(b, size)) <= len(np.setxor1d(s, probe))
-
-
-def test_long_runs(monkeypatch):
-    """Runs over SMALL_RUN rows: all pairs of different components."""
-    rng = np.random.default_rng(1)
-    base = np.sort(rng.integers(0, 2**62, 100).astype(np.uint64))
-    sets = [np.unique(np.concatenate([base[:95], rng.integers(2**62, 2**63, 5).astype(np.uint64)])) for _ in range(12)]
-    r = {"id": np.arange(12), "n": np.array([len(s) for s in sets]), "place": np.zeros(12, int), "component": np.arange(12), "sketch": pa.array([jaccard.sketch(s) for s in sets]), "cells": np.full(12, 4)}
-    assert len(np.unique(np.sort(np.concatenate(list(jaccard._across(r, 0, 12, 85))), axis=1), axis=0)) == 66
+        yield np.unique(np.concatenate([keep, rng.integers(0, 2**63, rng.integers(0, 30)).astype(np.uint64)]))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_tree_and_sketches_lose_nothing(seed):
+    sets = list(some_sets(seed))
+    tree = PrefixTree(sets, 85)
+    sketches = jaccard.Sketches(pa.array([jaccard.sketch(s) for s in sets], pa.binary()))
+    for k in range(0, 60, 7):
+        own = sets[tree.order[k]]
+        want = {j for j, s in enumerate(sets) if 100 * len(np.intersect1d(s, own)) >= 85 * len(np.union1d(s, own))} - {tree.order[k]}
+        assert set(tree.order[tree.linked(k)]) == want
+        differ = sketches.differ(np.full(60, k), np.arange(60))
+        assert all(d <= len(np.setxor1d(sets[k], s)) for d, s in zip(differ, sets, strict=True))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cells_join_what_all_links_join(seed):
+    sets = list(some_sets(seed, 40))
+    got = links(np.arange(40), np.arange(40), sets, np.arange(40) == 3, 85)
+    assert len(got) < 40 and all(100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b])) for a, b in got)
+    label = list(range(40))
+    for edges in (got, [(a, b) for a in range(40) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))]):
+        before = list(label)
+        for a, b in edges:
+            label = [label[a] if x == label[b] else x for x in label]
+        assert edges is got or label == before
+
+
+def test_cut_roots_and_cells(spark, monkeypatch):
+    """Roots and cells over their bounds are cut, and nothing is lost."""
+    monkeypatch.setattr(common, "UNEVEN_ROWS", 2)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(common, "BROADCAST_IDS", 3)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "CELL_KEYS", 300)
+    monkeypatch.setattr(jaccard, "SMALL_RUN", 3)
+    monkeypatch.setattr(jaccard._runs, "__defaults__", (4,))
+    monkeypatch.setattr(jaccard._cells, "__defaults__", (300,))
+    rng = random.Random(9)
+    base = [f"v{k}" for k in range(60)]
+    rows = fixture()
+    for k in range(60):  # many near copies, some just too far
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            own[rng.randrange(60)] = f"x{rng.randrange(50)}"
+        rows.append((500 + k, " ".join(own)))
+    got = jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows)
 
 
 def test_segments(monkeypatch):
