@@ -3,9 +3,10 @@
 Every pair of neighbouring words of a text is joined, by hash and then by the words themselves, to the places of the
 same pair in the templates. A match votes for the diagonal (place in the text minus place in the template). A phrase of
 m words stands at a place if its diagonal has all m - 1 votes: the pairs overlap, so that verifies the span word by word.
-For whole notices, diagonals at most ``gap`` apart are merged, as inserted or lost words shift what follows, and a band
-counts if it covers enough of the template's pairs, within a span not much longer than the template. Pairs that tell a
-notice from another license's (TELLING) must be among those covered.
+For whole notices, neighbouring diagonals are merged in bands, as inserted or lost words shift what follows; a band
+counts once for each place of the template. Those that have enough places are verified: the longest chain of pairs that
+stand in the template's order in the text must cover the notice's share. Pairs that tell a notice from another
+license's (TELLING) must be among those covered.
 
 A row for each document takes part too, so texts are read and cut into words once. Words are compared with A-Z in lower
 case. Null texts count as empty. Repeated rows give a row each. An empty table gives no rows.
@@ -13,7 +14,7 @@ case. Null texts count as empty. Repeated rows give a row each. An empty table g
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -72,7 +73,8 @@ TELLING = {
     "cc-by-sa": ("sa 4",),
     "gpl-text": ("gnu general",),
 }
-GAP = 4
+#: Words that may be inserted into a notice, or lost from it, in all.
+SHIFT = 8
 #: A mark that cannot be a word: a pair that stands for the document itself.
 MARK = "/"
 
@@ -101,7 +103,23 @@ def templates(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> DataFram
     return t.withColumn("needs", F.col("needs").bitwiseAND(F.bit_or("bit").over(Window.partitionBy("template"))))
 
 
-def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, gap: int = GAP) -> DataFrame:
+def _longest_chain() -> Column:
+    """The most points (pos, -place, in order) of a band that go up in both text and template: the words that stand in order.
+
+    ``tails[k]`` is the smallest place at which a chain of k + 1 points ends. Points of one position come with their
+    places falling, so a chain has one of them at most.
+    """
+    ends = lambda tails, place: F.size(F.filter(tails, lambda t: t < place))
+
+    def step(tails: Column, point: Column) -> Column:
+        place = -point["back"]
+        k = ends(tails, place)
+        return F.concat(F.slice(tails, F.lit(1), k), F.array(place), F.slice(tails, k + 2, F.greatest(F.lit(0), F.size(tails) - k - 1)))
+
+    return F.size(F.aggregate("points", F.array().cast("array<int>"), step))
+
+
+def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, shift: int = SHIFT) -> DataFrame:
     """A row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     spark = docs.sparkSession
     # the Kelvin sign is the one sign outside A-Z whose lower case is a letter of a-z
@@ -116,24 +134,24 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, gap: int = GAP) -> D
     known = templates(spark, phrases, notices)  # as many rows as the templates have words
     known = known.withColumn("hash", F.xxhash64("ta", "tb"))
     hits = long.join(F.broadcast(known), (F.xxhash64("a", "b") == F.col("hash")) & (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")))
-    diagonals = (
-        hits.withColumn("diagonal", F.col("pos") - 1 - F.col("place"))
-        .groupBy("row", "doc_id", "n_words", "template", "label", "base", "share", "pairs", "needs", "diagonal")
-        .agg(F.count("*").alias("votes"), F.bit_or("bit").alias("bits"), F.min("pos").alias("low"), F.max("pos").alias("high"))
-    )
-    # neighbouring diagonals of a notice make a band
-    own = Window.partitionBy("row", "template").orderBy("diagonal")
-    new = F.col("base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(own) > gap, F.lit(True))
-    bands = (
-        diagonals.withColumn("band", F.sum(new.cast("int")).over(own))
-        .groupBy("row", "doc_id", "n_words", "template", "label", "base", "share", "pairs", "needs", "band")
-        .agg(F.sum("votes").alias("votes"), F.bit_or("bits").alias("bits"), (F.min("low") - 1).alias("start"), F.max("high").alias("last"))
+    # a base phrase stands on one diagonal. A notice's diagonals are merged in bands of 2 * shift neighbours, which
+    # overlap by half: whatever is inserted or lost, up to ``shift`` words, some band has all of it. A band has at most
+    # 2 * shift diagonals of a template's pairs, however long the text is.
+    diagonal = (F.col("pos") - 1 - F.col("place")).cast("long")
+    half = F.floor(diagonal / shift)
+    bands = F.when(F.col("base") | (F.col("template") < 0), F.array(diagonal)).otherwise(F.array(half - 1, half))
+    keys = ["row", "doc_id", "n_words", "template", "label", "base", "share", "pairs", "needs"]
+    votes = hits.select(*keys, "pos", "place", "bit", F.explode(bands).alias("band"))
+    votes = votes.groupBy(*keys, "band").agg(
+        F.array_sort(F.collect_list(F.struct("pos", (-F.col("place")).alias("back")))).alias("points"), F.bit_or("bit").alias("bits"), (F.min("pos") - 1).alias("start"), F.max("pos").alias("last")
     )
-    covered = F.least(F.lit(1.0), F.col("votes") / F.greatest(F.col("pairs"), F.lit(1)))
-    full = F.col("base") & (F.col("votes") == F.col("pairs"))
-    noticed = ~F.col("base") & (F.col("template") >= 0) & (covered >= F.col("share")) & (F.col("last") - F.col("start") <= (F.col("pairs") + 1) * 1.5 + gap)
-    noticed &= F.col("bits") == F.col("needs")
-    bands = bands.withColumn("covered", covered).withColumn("full", full).withColumn("noticed", noticed)
+    places = F.size(F.array_distinct(F.transform("points", lambda p: p["back"])))
+    share_of = lambda n: n / F.greatest(F.col("pairs"), F.lit(1))
+    full = F.col("base") & (places == F.col("pairs"))
+    may = ~F.col("base") & (F.col("template") >= 0) & (share_of(places) >= F.col("share")) & (F.col("bits") == F.col("needs"))
+    votes = votes.withColumn("places", places).withColumn("may", may).withColumn("chain", F.when(may, _longest_chain()).otherwise(0))
+    covered = F.when(F.col("may"), share_of(F.col("chain"))).otherwise(share_of(F.col("places")))
+    bands = votes.withColumn("covered", covered).withColumn("full", full).withColumn("noticed", F.col("may") & (F.col("covered") >= F.col("share")))
     text = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")  # noqa: E731  a few labels at most
     out = bands.groupBy("row", "doc_id", "n_words").agg(
         F.sum(F.col("full").cast("long")).alias("n_base"),

@@ -42,7 +42,39 @@ _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(s, {5 * g + 1}, 5))::INTEGER >> {shift}) & 31), 1)" for g in range(8) for shift in (15, 10, 5, 0)
 )
 
+
+
+def _licenses_sql() -> str:
+    """The votes by band, and the longest chain of a band's points by recursion over chain lengths."""
+    rows = [(words, label, "true", 1.0) for words, label in licenses.PHRASES] + [(words, label, "false", share) for words, label, share in licenses.NOTICES]
+    values = ", ".join(f"({k}, '{label}', {base}, {share}::DOUBLE, string_split('{words}', ' '))" for k, (words, label, base, share) in enumerate(rows))
+    telling = ", ".join(f"('{label}', '{pair}')" for label, pairs in licenses.TELLING.items() for pair in pairs)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+        WITH RECURSIVE t AS (SELECT *, len(w) - 1 AS pairs FROM (VALUES {values}) AS t(template, label, base, share, w)),
+        tp AS (SELECT template, label, base, share, pairs, unnest(range(pairs)) AS place, w FROM t),
+        tq AS (SELECT * EXCLUDE (w), w[place + 1] AS ta, w[place + 2] AS tb FROM tp),
+        tell AS (SELECT q.template, q.place, q.ta || ' ' || q.tb AS pair FROM tq q JOIN (VALUES {telling}) AS x(label, pair) ON x.label = q.label AND x.pair = q.ta || ' ' || q.tb WHERE NOT q.base),
+        needs AS (SELECT template, count(DISTINCT pair) AS needs FROM tell GROUP BY template),
+        d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{letters.upper()}', '{letters}'), '{licenses.WORD}') AS w FROM documents),
+        p AS (SELECT r, i, w[i + 1] AS a, w[i + 2] AS b FROM (SELECT r, w, unnest(range(len(w) - 1)) AS i FROM d)),
+        h AS (SELECT p.r, p.i, q.template, q.label, q.base, q.share, q.pairs, q.place, tell.pair AS tells FROM p JOIN tq q ON p.a = q.ta AND p.b = q.tb LEFT JOIN tell ON tell.template = q.template AND tell.place = q.place),
+        v AS (SELECT *, unnest(CASE WHEN base THEN [i - place] ELSE [floor((i - place) / {licenses.SHIFT}::DOUBLE)::BIGINT, floor((i - place) / {licenses.SHIFT}::DOUBLE)::BIGINT - 1] END) AS band FROM h),
+        g AS (SELECT r, template, label, base, share, pairs, band, count(DISTINCT place) AS places, min(i) AS start, count(DISTINCT tells) AS told FROM v GROUP BY ALL),
+        m AS (SELECT g.*, NOT base AND places / pairs::DOUBLE >= share AND told = coalesce(needs, 0) AS may FROM g LEFT JOIN needs USING (template)),
+        c AS (SELECT DISTINCT v.r, v.template, v.band, v.i, v.place, 1 AS n FROM v JOIN m USING (r, template, band) WHERE m.may
+              UNION SELECT v.r, v.template, v.band, v.i, v.place, c.n + 1 FROM c JOIN v ON v.r = c.r AND v.template = c.template AND v.band = c.band AND v.i > c.i AND v.place > c.place),
+        k AS (SELECT r, template, band, max(n) AS chain FROM c GROUP BY ALL),
+        f AS (SELECT m.*, base AND places = pairs AS whole, CASE WHEN may THEN chain ELSE places END / pairs::DOUBLE AS covered FROM m LEFT JOIN k USING (r, template, band)),
+        n AS (SELECT *, may AND covered >= share AS noticed FROM f)
+        SELECT d.doc_id, len(any_value(d.w))::BIGINT AS n_words, count(*) FILTER (whole)::BIGINT AS n_base, min(start) FILTER (whole)::BIGINT AS first_word, max(start) FILTER (whole)::BIGINT AS last_word,
+          coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (whole)), ','), '') AS base_labels, coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (whole OR noticed)), ','), '') AS labels,
+          coalesce(max(CASE WHEN whole OR noticed THEN covered ELSE covered / 4 END), 0::DOUBLE) AS score
+        FROM d LEFT JOIN n USING (r) GROUP BY d.r, d.doc_id"""
+
+
 ORACLES: dict[str, str] = {
+    "op5_diagonal_voting": _licenses_sql(),
     "op8_chunked_records": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
              q AS (SELECT page_id, strlen(h) AS n, sha1(h) AS s, min(page_id) OVER (PARTITION BY h) AS f FROM p)

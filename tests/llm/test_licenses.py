@@ -54,3 +54,25 @@ def test_versions_are_told_apart(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in licenses.scan(docs).collect()}
     assert {t: got[k] for k, t in enumerate(texts)} == texts
+
+
+def test_repeated_and_shuffled_words_are_no_notice(spark):
+    texts = [
+        "licensed under " * 5,
+        "licensed under " * 8,
+        "released under the " * 4,
+        "of the software " * 20,
+        "licensed under apples licensed under pears licensed under the plums the gnu in general",
+        "software is furnished to do so subject to persons to whom the and to permit copies of the publish distribute merge without limitation any person obtaining",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.labels for r in licenses.scan(docs).collect()} == {""}
+
+
+def test_words_inserted_and_lost(spark):
+    notice = dict((label, words) for words, label, _ in licenses.NOTICES)["bsd-text"].split()
+    near = [*notice[:5], "both", *notice[5:9], *notice[10:15], "very", "much", *notice[15:]]
+    far = [*notice[:11], *["other"] * 12, *notice[11:]]
+    rows = [(0, " ".join(near)), (1, " ".join(["x"] * 997 + near)), (2, " ".join(far[::-1])), (3, "licensed under CC BY NC 4 0 " * 3000)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "bsd-text" in got[0].labels and "bsd-text" in got[1].labels and got[2].labels == "" and got[3].labels == "cc-by,cc-by-nc" and got[3].n_base == 3000
