@@ -71,12 +71,18 @@ def outcome_name(action: Column) -> Column:
 
 def thresholds(spec: Column) -> Column:
     """'k=v,k=v' as a map of numbers."""
-    return F.transform_values(F.str_to_map(spec, F.lit(","), F.lit("=")), lambda _, v: F.trim(v).cast("double"))
+    pairs = F.transform_keys(F.str_to_map(spec, F.lit(","), F.lit("=")), lambda k, _: F.trim(k))
+    return F.transform_values(pairs, lambda _, v: F.trim(v).cast("double"))
 
 
 def rating_to_reward(v: Column) -> Column:
     return (v - 4) / 4
 
 
-def latency_text(seconds: Column) -> Column:
-    return F.format_string("%.4g", seconds)
+def four_digits(x: Column) -> Column:
+    """A number in four significant digits, ties to even, without zeros at the end."""
+    x = x.cast("double")
+    unit = F.pow(F.lit(10.0), 3 - F.floor(F.log10(F.abs(x))))
+    even = F.when(x == 0, x).otherwise(F.rint(x * unit) / unit)
+    plain = F.regexp_replace(F.format_string("%.4g", even), r"(\.\d*?)0+(e|$)", "$1$2")
+    return F.when(x.isNotNull(), F.regexp_replace(plain, r"\.(e|$)", "$1"))

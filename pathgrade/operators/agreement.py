@@ -96,3 +96,17 @@ def report(labels: DataFrame, keys: list[str], gate: float = 0.80) -> DataFrame:
     parts = [fleiss(labels, keys).select(*keys, F.col("kappa").alias("fleiss")), alpha(labels, keys), mean]
     out = reduce(lambda a, b: a.join(b, keys), parts)
     return out.withColumn("lowest", F.least("cohen", "fleiss", "alpha")).withColumn("band", band(F.round("fleiss", 9))).withColumn("passes", F.col("alpha") >= gate)
+
+
+def semantic(left: DataFrame, right: DataFrame, item: list[str], vector: str, group: str) -> DataFrame:
+    """group, p, r, f1, band: vectors of two sides of an item matched greedily by cosine, best for best.
+
+    p is the mean over the left side's vectors of the best cosine on the right, r the reverse. An item's vectors meet
+    each other only; they are the tokens of one text.
+    """
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    sides = [t.select(*item, F.monotonically_increasing_id().alias(f"id_{n}"), F.col(vector).alias(n), F.sqrt(dot(vector, vector)).alias(f"norm_{n}")) for t, n in ((left, "a"), (right, "b"))]
+    both = sides[0].join(sides[1], item).withColumn("cos", F.try_divide(dot("a", "b"), F.col("norm_a") * F.col("norm_b")))
+    best = lambda n: both.groupBy(group, *[c for c in item if c != group], f"id_{n}").agg(F.max("cos").alias("best")).groupBy(group).agg(F.avg("best").alias({"a": "p", "b": "r"}[n]))
+    out = best("a").join(best("b"), group).withColumn("f1", F.round(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), 9))
+    return out.select(group, F.round("p", 9).alias("p"), F.round("r", 9).alias("r"), "f1", F.when(F.col("f1") >= 0.85, "strong").when(F.col("f1") >= 0.7, "acceptable").otherwise("weak").alias("band"))

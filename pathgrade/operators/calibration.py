@@ -21,6 +21,12 @@ def hotspots(labels: DataFrame, kappas: DataFrame, top: int = 3, items: int = 3)
     return spread.withColumn("item_rank", F.row_number().over(own)).where(F.col("item_rank") <= items)
 
 
+def rules_for(kappas: DataFrame, rules: DataFrame, top: int = 3) -> DataFrame:
+    """dim, rank, rule: the rubric's rules for the dimensions with the lowest agreement; dimensions without a rule drop out."""
+    ranked = kappas.withColumn("rank", F.row_number().over(Window.orderBy(F.round("kappa", 9), "dim"))).where(F.col("rank") <= top)  # a row for each dimension
+    return ranked.join(F.broadcast(rules), "dim").select("dim", "rank", "rule")  # a rubric's few rules
+
+
 def normalised(labels: DataFrame, all_of: int) -> DataFrame:
     """item, score: the mean of (label - 1) / 3 for items that have all their labels."""
     return labels.where("label is not null").groupBy("item").agg(F.count("*").alias("n"), F.avg((F.col("label") - 1) / 3).alias("score")).where(F.col("n") == all_of).select("item", "score")

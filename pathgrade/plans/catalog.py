@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import constants as K
-from ..functions import sim
 from ..functions import text as T
 from ..operators import agreement, calibration, dataset, experiment, leaderboard, metrics, poisoning, policy, privacy, rewards, trajectory, triggers
-from ..shipping import ship
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -878,7 +876,7 @@ def dp_noise(spark, d):
     return privacy.sanitise(V.items(spark, d).select("traj", "consent", "heart_rate", "spo2", "noise_db"), "traj", 1.0, 1e-5)
 
 
-# --- vectors and simulated raters --------------------------------------------------------------------------------
+# --- vectors ------------------------------------------------------------------------------------------------------
 
 
 @query(
@@ -893,28 +891,6 @@ def vector_agreement(spark, d):
     return both.select("vec_id", F.round(dot("e", "g") / F.sqrt(dot("e", "e") * dot("g", "g")), 9).alias("f1"))
 
 
-@query("persona_scores")
-def persona_scores(spark, d):
-    ship(spark)
-    return sim.annotate(V.items(spark, d))
-
-
-@query("mock_runs")
-def mock_runs(spark, d):
-    ship(spark)
-    rows = V.items(spark, d).withColumn("framework", F.explode(F.array(*[F.lit(f) for f in K.FRAMEWORKS])))
-    rows = rows.withColumn("run_index", F.explode(F.sequence(F.lit(1), F.lit(K.MOCK_RUNS))))
-    return rows.select("traj", "framework", "run_index", sim.mock_tokens_udf("traj", "framework", "run_index").alias("tokens_used"))
-
-
-@query("preference_scores")
-def preference_scores(spark, d):
-    ship(spark)
-    rows = V.read(spark, d, "conversations").where("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("sample"))
-    rows = rows.withColumn("rater", F.explode(F.array(*[F.lit(r) for r in K.PREFERENCE_RATERS]))).withColumn("dim", F.explode(F.array(*[F.lit(x) for x in K.PREFERENCE_DIMENSIONS])))
-    return rows.withColumn("label", sim.preference_score_udf("sample", "rater", "dim"))
-
-
 # --- metrics that are only described -----------------------------------------------------------------------------
 
 _WEIGHT = "CASE consent WHEN 'explicit' THEN 1e0 WHEN 'implied' THEN 0.85e0 WHEN 'ambient' THEN 0.65e0 ELSE 0e0 END"

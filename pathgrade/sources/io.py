@@ -28,10 +28,34 @@ def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def read_files(spark: SparkSession, path: str, schema: str, expected: int) -> DataFrame:
+    """One document from each file of a pattern; another number of files is an error."""
+    rows = read_documents(spark, path, schema)
+    if len(found := rows.inputFiles()) != expected:  # a listing, nothing is read
+        raise ValueError(f"{expected} files expected, {len(found)} found at {path}")
+    return rows
+
+
+def entries(documents: DataFrame, field: str) -> DataFrame:
+    """A row for each entry of a document's list."""
+    return documents.select(F.inline(field))
+
+
 def discover(spark: SparkSession, folder: str, schema: str, marker: str) -> DataFrame:
-    """Records of all JSON lines below a folder that have the marker column, and the file they are from."""
-    rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").json(folder)
-    return rows.where(F.col(marker).isNotNull()).withColumn("file", F.input_file_name())
+    """Records that have the marker column, wherever they lie below a folder, and the file they are from.
+
+    JSON lines are read line by line; documents are a list of records or an object with ``records``.
+    """
+
+    def below(pattern: str, kind: str, **options) -> DataFrame:
+        return spark.read.schema(kind).options(recursiveFileLookup=True, pathGlobFilter=pattern, **options).json(folder)
+
+    names = spark.createDataFrame([], schema).columns
+    lines = below("*.jsonl", schema).withColumn("file", F.input_file_name())
+    fields = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in spark.createDataFrame([], schema).schema.fields)
+    whole = below("*.json", f"{schema}, records ARRAY<STRUCT<{fields}>>", multiLine=True).withColumn("file", F.input_file_name())
+    inside = whole.where("records is not null").select("file", F.inline("records")).select(*names, "file")
+    return lines.unionByName(whole.where("records is null").drop("records")).unionByName(inside).where(F.col(marker).isNotNull())
 
 
 def only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -61,3 +85,9 @@ def write_csv(rows: DataFrame, path: str) -> None:
 def write_parquet(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
     w = rows.write.mode("overwrite")
     (w.partitionBy(*by) if by else w).parquet(path)
+
+
+def write_report(rows: DataFrame, path: str, name: str) -> None:
+    """A summary as one document: the number of its rows and the rows. For reports, whose rows are few."""
+    one = rows.agg(F.count("*").alias("n"), F.collect_list(F.struct(*rows.columns)).alias(name))
+    one.coalesce(1).write.mode("overwrite").json(path)

@@ -2,9 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathgrade.operators import leaderboard, metrics, policy, privacy, rewards, trajectory, triggers
-from pathgrade.functions import sim
 from pathgrade.functions import text as T
-from pathgrade.plans import catalog
 
 
 def steps(spark, runs, scenario="health_alert"):
@@ -90,23 +88,3 @@ def test_privacy(spark):
     assert free.where("heart_rate <> 70").count() == 0
     s = noisy.agg(F.avg("heart_rate").alias("m"), F.stddev("heart_rate").alias("s")).first()
     assert abs(s.m - 70) < 6 and abs(s.s - 48.4) < 5
-
-
-def test_simulated_raters():
-    import hashlib
-    import random
-
-    for item, rater in (("log-1", "ProcessPurist"), ("log-2", "OutcomeOptimist")):
-        rng = random.Random(int.from_bytes(hashlib.sha256(f"{item}:{rater}".encode()).digest()[:4], "little"))
-        assert sim.persona_scores(item, rater) == [rng.randint(a, b) for a, b in sim.K.RATER_RANGES[rater]]
-    assert sim.persona_scores("z", "ClinicalSafetyFirst", "health_alert")[2] in (3, 4)
-    assert all(1 <= sim.preference_score(f"s{k}", "HelpfulnessFirst", "harmlessness") <= 3 for k in range(20))
-
-
-def test_mock_runs_repeats_each_task_and_framework(spark):
-    rows = catalog.QUERIES["mock_runs"](spark, "/root/testdata/sf0.001").collect()
-    runs = {}
-    for r in rows:
-        runs.setdefault((r.traj, r.framework), []).append(r.run_index)
-        assert r.tokens_used == sim.mock_tokens(r.traj, r.framework, r.run_index)
-    assert runs and all(sorted(x) == [1, 2, 3] for x in runs.values())

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from pathgrade.plans import catalog
+from pathgrade.plans import catalog, extras  # noqa: F401
 from tests.session import local_session
 from tools.compare import TABLES, compare
 
