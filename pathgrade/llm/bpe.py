@@ -3,7 +3,9 @@
 Texts of up to ``long_chars`` characters are encoded where they are read. A longer one is cut into pieces that Spark
 deals over tasks; its halves' ids are then joined in a binary tree. Around each join a window of text is encoded
 again and grows until its tokens agree with the tokens of both sides at equal places; what lies between is taken from
-the window. If the window reaches both ends it is the exact encoding of the two sides.
+the window. If the window reaches both ends it is the exact encoding of the two sides. Tokens are an encoding if every
+two neighbours are the encoding of their own text, so one token at which both sides agree would be enough to join them;
+RUN of them are asked for. Where white space stands at the join no run is needed.
 
 Nulls count as empty texts. Empty texts have no ids. Repeated rows each give a row. Columns but doc_id and text are
 not read.
@@ -22,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship, tidy
+
 VOCABULARY = "word_bpe_49k.json"
 LONG_CHARS = 32_768
 PIECE_CHARS = 16_384
@@ -30,13 +34,13 @@ RUN = 16
 #: Characters on each side of a join in the first window.
 WINDOW = 128
 #: Text encoded at once in a task.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: Words of only these letters, then only these signs, have one or two words of the vocabulary; lower case and NFC
 #: keep the letters' number.
 LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", "!,.;:?"
 PLAIN = f"^[{LETTERS}]+[{SIGNS}]*$"
 #: Words that a task's process keeps with their ids, some 200 bytes each.
-KNOWN = 500_000
+KNOWN = 200_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -230,6 +234,7 @@ def encoded(
     piece_chars: int = PIECE_CHARS,
 ) -> DataFrame:
     """Encode doc_id, text; ``out`` makes rows from an encoder, doc_ids, all ids and the texts' bounds in them."""
+    ship(docs.sparkSession)
     path = path or vocabulary_path()
     rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     if long_chars < 4 * WINDOW or piece_chars < 2 * WINDOW:
@@ -239,6 +244,7 @@ def encoded(
         enc = encoder(path)
         for batch in batches(source, "text"):
             yield out(enc, batch.column("doc_id"), *enc.column(batch.column("text")))
+        tidy()
 
     def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, "text", 1):
@@ -251,11 +257,12 @@ def encoded(
 
     def encode(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in source:
+        for batch in batches(source, "text"):
             done = [enc.placed(x) for x in batch.column("text").to_pylist()]
             yield batch.append_column("ids", pa.array([i.astype("<u4").tobytes() for i, _ in done], pa.binary())).append_column(
                 "places", pa.array([p.astype("<u4").tobytes() for _, p in done], pa.binary())
             )
+        tidy()
 
     def join(table: pa.Table) -> pa.Table:
         enc = encoder(path)
@@ -310,6 +317,7 @@ def encode_documents(docs: DataFrame, **options) -> DataFrame:
 
 def decode_documents(rows: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, text: ids decoded, special tokens kept."""
+    ship(rows.sparkSession)
     path = path or vocabulary_path()
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ Learning (labelled rows only; at most TRAIN_ROWS documents, those with the small
 
 Scoring: each task runs its distinct words through the table, and only texts with finds look at contexts. Labels, lang,
 source and doc_id are no inputs of a score. Null and empty texts have no finds and get the score of such texts.
-Without labelled rows of both kinds every score is 0. Repeated rows each give a row; of repeated labels the highest
+A label other than 0 marks a text as toxic. Without labelled rows of both kinds every score is 0. Repeated rows each give a row; of repeated labels the highest
 counts. Other columns are not read.
 """
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
+from .common import materialize, ship, tidy
 
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.7
@@ -36,7 +38,6 @@ SHORTEST, LONGEST = 3, 24
 #: A beginning becomes a term if it is so many times as frequent in toxic documents, and in so many of them.
 LIFT, SUPPORT = 8.0, 0.02
 MOST_WEIGHT = 8.0
-MOST_TERMS = 128
 #: Terms of so many letters may be misspelled by one edit.
 LONG = 5
 #: Words on each side of a find.
@@ -54,20 +55,22 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
     """text, toxic of at most ``most`` labelled documents that are not held out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    known = known.groupBy(F.col("doc_id").alias("__id")).agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(most)  # so it may be broadcast
     return docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select("text", "toxic")
 
 
-def _beginnings(rows: DataFrame) -> tuple[dict[str, tuple[int, int, int]], int, int]:
+def _beginnings(rows: DataFrame, toxic: int) -> tuple[dict[str, tuple[int, int, int]], int, int]:
     """Beginnings of words ($: and their end) -> uses in toxic documents, most documents of one use, uses in others; all uses.
 
+    Only those frequent enough for the lexicon come to the driver: each is in SUPPORT of the toxic documents' uses.
+
     A use is a word and the word before it, once in a document; toxic documents that repeat one have one use of it.
     """
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other, toxic = Counter(), Counter()
-        for batch in source:
+        for batch in bpe.batches(source, "text"):
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 words = [f"{w}$"[: LONGEST + 1] for w in WORD.findall((text or "").lower())]
                 uses = set(zip(words, ["", *words], strict=False))
@@ -83,21 +86,33 @@ def _beginnings(rows: DataFrame) -> tuple[dict[str, tuple[int, int, int]], int,
         for w, n in other.items():
             for k in range(SHORTEST, len(w) + 1 if len(w) > SHORTEST else 0):
                 bare[w[:k]] += n
-        rows = [(w, v, n, 0) for (w, v), n in begin.items()] + [(w, None, 0, n) for w, n in bare.items()]
-        for k in range(0, len(rows), 100_000):
-            some = rows[k : k + 100_000]
+        other.clear()
+        toxic.clear()
+        rows = chain(((w, v, n, 0) for (w, v), n in begin.items()), ((w, None, 0, n) for w, n in bare.items()))
+        while some := list(islice(rows, 50_000)):
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], ["word", "before", "docs", "other"])
+        begin.clear()
+        bare.clear()
+        tidy()
 
     each = rows.mapInArrow(count, "word string, before string, docs long, other long").groupBy("word", "before").agg(F.sum("docs").alias("docs"), F.sum("other").alias("other"))
     by = each.groupBy("word").agg(F.count("before").alias("uses"), F.max("docs").alias("docs"), F.sum("other").alias("other")).where("uses >= 4 or word = ''")
-    got = {r["word"]: (r["uses"], r["docs"], r["other"]) for r in by.collect()}  # from a bounded sample
-    uses, _, other = got.pop("", (0, 0, 0))
-    return got, uses, other
+    by = materialize(by, "toxicity-words")
+    total = by.where("word = ''").first()
+    if total is None or not total.uses or not total.other:
+        return {}, 0, 0
+    lift = (F.col("uses") + 0.5) / total.uses / ((F.col("other") + 0.5) / total.other)
+    good = by.where((F.col("word") != "") & (F.col("uses") >= least_uses(toxic)) & (lift >= LIFT))
+    return {r["word"]: (r["uses"], r["docs"], r["other"]) for r in good.collect()}, total.uses, total.other
+
+
+def least_uses(toxic: int) -> float:
+    return max(4, SUPPORT * toxic)
 
 
 def lexicon(found: dict[str, tuple[int, int, int]], uses: int, other: int, toxic: int) -> dict[str, float]:
     """Terms, $ at the end of whole words, and their weights."""
-    least = max(4, SUPPORT * toxic)
+    least = least_uses(toxic)
     lift = lambda w: (found[w][0] + 0.5) / uses / ((found[w][2] + 0.5) / other)
     good = {w: lift(w) for w, (a, _, _) in found.items() if a >= least and lift(w) >= LIFT}
     gain = {w: found[w][0] * float(np.log(x)) for w, x in good.items()}
@@ -108,7 +123,7 @@ def lexicon(found: dict[str, tuple[int, int, int]], uses: int, other: int, toxic
     terms: dict[str, float] = {}
     gone: set[str] = set()
     for w in sorted(good, key=lambda w: (-round(gain[w], 6), -len(w), w)):
-        if w not in gone and len(terms) < MOST_TERMS:
+        if w not in gone:
             terms[w] = min(MOST_WEIGHT, float(np.log(good[w])))
             gone.update(inside[w], (w[:k] for k in range(1, len(w))))
     return terms
@@ -287,9 +302,12 @@ def _regression(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Automaton, np.ndarray] | None:
     """The automaton and the weights; None without labelled rows of both kinds."""
+    ship(docs.sparkSession)
     rows = training_rows(docs, labels)
     kinds = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    found, uses, other = _beginnings(rows)
+    if set(kinds) != {0, 1}:
+        return None
+    found, uses, other = _beginnings(rows, kinds[1])
     if not uses or not other:
         return None
     automaton = Automaton(lexicon(found, uses, other, kinds[1]))
@@ -298,6 +316,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Automaton, np.ndarray] | No
         for batch in bpe.batches(source, "text"):
             x = features(automaton, batch.column("text"))[0]
             yield pa.RecordBatch.from_arrays([pa.array(x[:, k]) for k in range(N_FEATURES)] + [batch.column("toxic")], [*(f"x{k}" for k in range(N_FEATURES)), "toxic"])
+        tidy()
 
     names = ", ".join(f"x{k} double" for k in range(N_FEATURES))
     got = rows.mapInArrow(run, f"{names}, toxic int").toPandas()  # TRAIN_ROWS rows at most
@@ -322,6 +341,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
         for batch in bpe.batches(source, "text"):
             p, n, quoted = _scores(model.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(n), pa.array(quoted)], ["doc_id", "score", "predicted", "finds", "quoted_finds"])
+        tidy()
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int, finds long, quoted_finds long")
@@ -341,5 +361,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             for part in bpe.batches(iter([named]), f"c{at}"):
                 p, _, _ = _scores(model.value, part.column(at))
                 yield part.filter(pa.array(p < threshold)).rename_columns(batch.schema.names)
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)

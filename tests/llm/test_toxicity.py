@@ -70,3 +70,11 @@ def test_no_labels_and_nothing(spark, tables, nothing):
     docs, labels = tables
     assert {(r.score, r.predicted) for r in toxicity.score(docs, labels.where("false")).collect()} == {(0.0, 0)}
     assert toxicity.score(nothing, labels).count() == 0
+
+
+def test_any_label_but_zero_is_toxic_and_one_kind_is_no_model(spark, tables):
+    docs, labels = tables
+    odd = labels.selectExpr("doc_id", "case when toxic = 1 then 7 else toxic end as toxic")
+    same = lambda l: sorted((r.doc_id, round(r.score, 9)) for r in toxicity.score(docs, l).collect())
+    assert same(odd) == same(labels)
+    assert {r.score for r in toxicity.score(docs, labels.where("toxic = 0")).collect()} == {0.0}
