@@ -1,46 +1,61 @@
 """Quality rules: base rules, and robust multivariate outliers by language and source. DataFrame operations only.
 
 Each document has a vector of transformed statistics (VECTOR). For each language and source the mean and covariance of
-the documents that pass the base rules are estimated by minimum covariance determinant: from medians and deviations,
-concentration steps take the ``kept_share`` of documents with the smallest distances and estimate anew. A group of n
-documents is then judged by the mean and covariance of a mixture, n parts its own and ``prior_rows`` parts its language's
-(a language's likewise with those of all documents), so no row count switches estimates. Each variance has a floor
-added, in units in which a difference means something, so that a statistic that is 0 almost everywhere does not make
-every other value an outlier. A document whose squared Mahalanobis distance is over ``cutoff`` is rejected.
+the documents that pass the base rules are estimated by minimum covariance determinant: of the subsets of a
+``kept_share`` of the documents, one whose covariance has the smallest determinant. Three deterministic starts (medians
+and deviations; the correlations of clipped scores; those of directions) take two concentration steps each, in which
+the documents with the smallest distances give the next estimate; the start with the smallest determinant goes on until
+its determinant no longer falls. Determinants are those of regularized covariances: each variance has a floor added, in
+units in which a difference means something, so a statistic that is 0 almost everywhere does not make the determinant 0
+and every other value an outlier.
+
+A group of n documents is then judged by the mean and covariance of a mixture, n parts its own and ``prior_rows`` parts
+its language's (a language's, the mixture of its groups', likewise with that of all documents), so no row count switches
+estimates. A document is rejected if its squared Mahalanobis distance is over the chi-square quantile that one ordinary
+document in 1 / ``tail`` exceeds, times the factor that an estimate from so many rows needs.
 
 Quantiles come from counts in fixed bins, so no group's values meet in one task and reruns agree.
 
 Null texts have no words and fail the base rules; so do empty texts. Null languages and sources are groups. Repeated
-rows count each. Without documents that pass the base rules there are no estimates and nothing more is rejected.
+rows count each. Without documents that pass the base rules there are no estimates and nothing more is rejected. The
+documents' other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import is_small, join_dimension, materialize
+from .common import ROW, is_small, join_dimension, materialize, packed_rows, unpacked_rows
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 KEPT_SHARE = 0.75
-STEPS = 4
+#: Concentration steps of every start, and at most of the one that goes on.
+FIRST_STEPS, MOST_STEPS = 2, 8
+#: Determinants that fall by a smaller share of themselves have settled (bins of distances make them no finer).
+SETTLED = 1e-3
 #: The language's estimate counts as so many rows beside a group's own: ten for each statistic.
 PRIOR_ROWS = 50
-#: Name, transformation, floor (a deviation that is always ordinary).
+#: One repeated line is no sign, however short the text, and so are the words that a sentence said twice takes.
+SAID_TWICE = 20
+#: Name, transformation, floor. Six floors from the centre are an outlier by themselves: texts 36 times as long or
+#: short, words twice as long, 6 % more symbols, four fifths of the lines duplicates, 43 % of the words in repeats.
 VECTOR = (
     ("log_words", lambda w, c, s, d, r, n: F.log(w), 0.6),
     ("mean_word", lambda w, c, s, d, r, n: F.log(c / w), 0.12),
     ("symbols", lambda w, c, s, d, r, n: F.sqrt(s / c), 0.042),
-    ("dup_lines", lambda w, c, s, d, r, n: F.sqrt(d / F.greatest(n, F.lit(1))), 0.2),
-    ("repeats", lambda w, c, s, d, r, n: F.sqrt(r / w), 0.12),
+    ("dup_lines", lambda w, c, s, d, r, n: F.sqrt(F.greatest(d - 1, F.lit(0.0)) / F.greatest(n, F.lit(1))), 0.15),
+    ("repeats", lambda w, c, s, d, r, n: F.sqrt(F.greatest(r - SAID_TWICE, F.lit(0.0)) / w), 0.11),
 )
-#: The chi-square distribution's median for five dimensions, and the cutoff: a distance of 6 ordinary deviations.
+#: The chi-square distribution's median for five dimensions, and the share of ordinary documents over the cutoff.
 MEDIAN_CHI2 = 4.351
-CUTOFF = 36.0
+TAIL = 1e-6
 #: Squared distances are counted in this many bins for each factor of e.
 BINS = 64
 P = len(VECTOR)
@@ -53,7 +68,7 @@ def _shift(i: Column) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """The rows with __w (words), __c, __s, __d, __r (the base statistics), __n (lines with a word) and __row."""
+    """The rows with __w (words), __c, __s, __d, __r (the base statistics) and __n (lines with a word)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn("__words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
     out = out.withColumn("__lines", F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)))
@@ -81,8 +96,6 @@ def statistics(docs: DataFrame) -> DataFrame:
         .withColumn("__d", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
         .withColumn("__r", repeats.cast("long"))
         .drop("__words", "__lines", "__grams", "__maybe", "__exact", "__twice")
-        # not a function of the row: a filter on the statistics stays above, and does not repeat what they are made of
-        .withColumn("__row", F.monotonically_increasing_id())
     )
 
 
@@ -94,7 +107,18 @@ def with_vector(measured: DataFrame) -> DataFrame:
     return out.withColumns({x: f(*safe) for x, (_, f, _) in zip(X, VECTOR, strict=True)})
 
 
-KEYS = ["__level", "__lang", "__src"]
+def chi_square_quantile(tail: float) -> float:
+    """The value that a chi-square number of five dimensions exceeds with this probability."""
+    over = lambda x: math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)
+    low, high = 0.0, 1000.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if over(mid) > tail else (low, mid)
+    return high
+
+
+KEYS = ["__lang", "__src"]
+STARTS = 3
 
 
 def _quantile(values: DataFrame, keys: list[str], bin_: str, share: float, top: str) -> DataFrame:
@@ -110,19 +134,20 @@ MOMENTS = [*[f"m{i}" for i in range(P)], *[f"c{i}{j}" for i, j in LOWER]]
 PARAMS = [*[f"m{i}" for i in range(P)], *[f"v{i}{j}" for i, j in LOWER]]
 
 
-def _estimate(rows: DataFrame) -> DataFrame:
+def _estimate(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Means and covariances with floors (lower triangle), of each group."""
     aggs = [F.avg(x).alias(f"m{i}") for i, x in enumerate(X)]
     aggs += [F.covar_pop(X[i], X[j]).alias(f"c{i}{j}") for i, j in LOWER]
-    est = rows.groupBy(*KEYS).agg(*aggs)
+    est = rows.groupBy(*keys).agg(*aggs)
     return est.withColumns({f"c{i}{i}": F.col(f"c{i}{i}") + F.lit(VECTOR[i][2] ** 2) for i in range(P)})
 
 
 def _inverted(est: DataFrame) -> DataFrame:
-    """Adds the inverse of the covariances' lower triangle."""
+    """Adds the inverse of the covariances' lower triangle, and the determinant's logarithm."""
     for i, j in LOWER:  # Cholesky
         inner = sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
         est = est.withColumn(f"l{i}{j}", F.sqrt(F.greatest(F.col(f"c{i}{i}") - inner, F.lit(1e-12))) if i == j else (F.col(f"c{i}{j}") - inner) / F.col(f"l{j}{j}"))
+    est = est.withColumn("log_det", 2 * sum((F.log(f"l{i}{i}") for i in range(P)), F.lit(0.0)))
     for j in range(P):  # its inverse
         for i in range(j, P):
             inner = sum((F.col(f"l{i}{k}") * F.col(f"v{k}{j}") for k in range(j, i)), F.lit(0.0))
@@ -150,56 +175,106 @@ def _bin(d2: Column) -> Column:
     return F.ceil(F.log(d2 + 1e-9) * BINS).cast("int")
 
 
-def fit(measured: DataFrame, kept_share: float = KEPT_SHARE, steps: int = STEPS, prior_rows: float = PRIOR_ROWS) -> DataFrame:
-    """lang, source -> the estimate that judges the group."""
-    rows = measured.where(~F.col("__failed")).select("lang", "source", *X)
-    levels = F.explode(
-        F.array(
-            F.struct(F.lit(0).alias("__level"), F.lit(None).cast("string").alias("__lang"), F.lit(None).cast("string").alias("__src")),
-            F.struct(F.lit(1).alias("__level"), F.col("lang").cast("string").alias("__lang"), F.lit(None).cast("string").alias("__src")),
-            F.struct(F.lit(2).alias("__level"), F.col("lang").cast("string").alias("__lang"), F.col("source").cast("string").alias("__src")),
-        )
-    )
-    keyed = materialize(rows.select(levels.alias("__key"), *X).select("__key.*", *X), "mcd-rows")
-    # the start: medians and median deviations, in bins of an eighth of a floor; all statistics at once
+def _starts(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """lang, source, start: the first estimates. Whether there are few groups."""
     each = [*KEYS, "__f"]
+    # medians and median deviations, in bins of an eighth of a floor; all statistics at once
     width = F.element_at(F.array(*[F.lit(v[2] / 8) for v in VECTOR]), F.col("__f") + 1)
-    long = keyed.select(*KEYS, F.explode(F.array(*[F.struct(F.lit(i).alias("__f"), F.col(x).alias("__v")) for i, x in enumerate(X)])).alias("__z")).select(*KEYS, "__z.*")
+    long = rows.select(*KEYS, F.explode(F.array(*[F.struct(F.lit(i).alias("__f"), F.col(x).alias("__v")) for i, x in enumerate(X)])).alias("__z")).select(*KEYS, "__z.*")
     mid = _quantile(long.withColumn("__b", F.round(F.col("__v") / width).cast("int")), each, "__b", 0.5, "__top")
     mid = materialize(mid.select(*each, (F.col("__top") * width).alias("__m")), "mcd-median")
     few = is_small(mid)
     off = join_dimension(long, mid, each, small=few).withColumn("__b", F.round(F.abs(F.col("__v") - F.col("__m")) / width).cast("int"))
-    dev = _quantile(off, each, "__b", 0.5, "__top").select(*each, (1.0 / F.greatest(F.col("__top") * width * 1.4826, width * 8)).alias("__s"))
+    dev = _quantile(off, each, "__b", 0.5, "__top").select(*each, F.greatest(F.col("__top") * width * 1.4826, width * 8).alias("__s"))
     both = join_dimension(dev, mid, each, small=few)
     at = lambda c, i: F.max(F.when(F.col("__f") == i, F.col(c)))
-    start = both.groupBy(*KEYS).agg(*[at("__m", i).alias(f"m{i}") for i in range(P)], *[at("__s", i).alias(f"v{i}{i}") for i in range(P)])
-    est = materialize(start.withColumns({f"v{i}{j}": F.lit(0.0) for i, j in LOWER if i != j}).select(*KEYS, *PARAMS), "mcd-start")
-    for _ in range(steps):
-        near = join_dimension(keyed, est, KEYS, small=few).withColumn("__b", _bin(_distance())).select(*KEYS, *X, "__b")
-        limit = materialize(_quantile(near, KEYS, "__b", kept_share, "__top").select(*KEYS, "__top"), "mcd-limit")
-        est = _inverted(_estimate(join_dimension(near, limit, KEYS, small=few).where("__b <= __top")))
-        est = materialize(est.select(*KEYS, *MOMENTS, *PARAMS[P:]), "mcd-step")
+    centre = both.groupBy(*KEYS).agg(*[at("__m", i).alias(f"m{i}") for i in range(P)], *[at("__s", i).alias(f"s{i}") for i in range(P)])
+    centre = materialize(centre, "mcd-centre")
+    # correlations of scores clipped by tanh, and of directions
+    z = [(F.col(x) - F.col(f"m{i}")) / F.col(f"s{i}") for i, x in enumerate(X)]
+    near = join_dimension(rows, centre, KEYS, small=few).select(*KEYS, *[x.alias(f"z{i}") for i, x in enumerate(z)])
+    size = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)), F.lit(1e-12)))
+    kinds = {"t": lambda i: F.tanh(f"z{i}"), "d": lambda i: F.col(f"z{i}") / size}
+    near = near.withColumns({f"{k}{i}": f(i) for k, f in kinds.items() for i in range(P)})
+    found = near.groupBy(*KEYS).agg(*[F.covar_pop(f"{k}{i}", f"{k}{j}").alias(f"{k}{i}{j}") for k in kinds for i, j in LOWER])
+    found = join_dimension(centre, found, KEYS, small=few)
+    # a correlation of something that does not vary is 0; nine tenths of it keep the matrix well conditioned
+    rho = lambda k, i, j: F.lit(0.0) if k is None else 0.9 * F.coalesce(F.try_divide(F.col(f"{k}{i}{j}"), F.sqrt(F.col(f"{k}{i}{i}") * F.col(f"{k}{j}{j}"))), F.lit(0.0))
+    cov = lambda k, i, j: (F.col(f"s{i}") * F.col(f"s{i}") if i == j else rho(k, i, j) * F.col(f"s{i}") * F.col(f"s{j}")).alias(f"c{i}{j}")
+    starts = [F.struct(F.lit(n).alias("__start"), *[cov(k, i, j) for i, j in LOWER]) for n, k in enumerate((None, *kinds))]
+    est = found.select(*KEYS, *[f"m{i}" for i in range(P)], F.explode(F.array(*starts)).alias("__e")).select(*KEYS, "__e.__start", *[f"m{i}" for i in range(P)], *[f"__e.c{i}{j}" for i, j in LOWER])
+    return materialize(_inverted(est).select(*KEYS, "__start", *MOMENTS, *PARAMS[P:], "log_det"), "mcd-start"), few
+
+
+def _concentrate(rows: DataFrame, est: DataFrame, keys: list[str], kept_share: float, few: bool) -> DataFrame:
+    """One step: the ``kept_share`` of each group's rows with the smallest distances gives the next estimate."""
+    near = join_dimension(rows, est, KEYS, small=few).withColumn("__b", _bin(_distance())).select(*keys, *X, "__b")
+    limit = materialize(_quantile(near, keys, "__b", kept_share, "__top").select(*keys, "__top"), "mcd-limit")
+    est = _inverted(_estimate(join_dimension(near, limit, keys, small=few).where("__b <= __top"), keys))
+    return materialize(est.select(*keys, *MOMENTS, *PARAMS[P:], "log_det"), "mcd-step")
+
+
+def mcd(rows: DataFrame, kept_share: float = KEPT_SHARE) -> tuple[DataFrame, bool]:
+    """lang, source -> mean, covariance, its inverse and log determinant of the subset found; whether there are few groups."""
+    est, few = _starts(rows)
+    own = [*KEYS, "__start"]
+    for _ in range(FIRST_STEPS):
+        est = _concentrate(rows, est, own, kept_share, few)
+    names = [*MOMENTS, *PARAMS[P:]]
+    best = est.groupBy(*KEYS).agg(F.min(F.struct(F.round("log_det", 6).alias("det"), "__start", F.struct(*names, "log_det").alias("e"))).alias("b"))
+    est = materialize(best.select(*KEYS, "b.e.*"), "mcd-best")
+    for _ in range(MOST_STEPS):
+        after = _concentrate(rows, est, KEYS, kept_share, few)
+        falls = join_dimension(est.select(*KEYS, "log_det"), after.select(*KEYS, F.col("log_det").alias("new")), KEYS, small=few)
+        est_or_after = join_dimension(after, est.select(*KEYS, F.struct(*names, "log_det").alias("old")), KEYS, small=few)
+        better = F.col("log_det") < F.col("old.log_det")
+        est = materialize(est_or_after.select(*KEYS, *[F.when(better, F.col(c)).otherwise(F.col("old")[c]).alias(c) for c in (*names, "log_det")]), "mcd-better")
+        if falls.where(F.col("log_det") - F.col("new") > SETTLED).isEmpty():
+            break
+    return est, few
+
+
+def _pooled(est: DataFrame, keys: list[str]) -> DataFrame:
+    """The mixture of estimates (column e) by rows, by keys."""
+    rows = F.sum("e.rows")
+    mean = est.groupBy(*keys).agg(rows.alias("rows"), *[(F.sum(F.col("e.rows") * F.col(f"e.m{i}")) / rows).alias(f"m{i}") for i in range(P)], *[
+        (F.sum(F.col("e.rows") * (F.col(f"e.c{i}{j}") + F.col(f"e.m{i}") * F.col(f"e.m{j}"))) / rows).alias(f"c{i}{j}") for i, j in LOWER
+    ])
+    mean = mean.where("rows > 0").withColumns({f"c{i}{j}": F.col(f"c{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") for i, j in LOWER})
+    return mean.select(*keys, F.struct("rows", *MOMENTS).alias("e"))
+
+
+def fit(measured: DataFrame, kept_share: float = KEPT_SHARE, prior_rows: float = PRIOR_ROWS, tail: float = TAIL) -> DataFrame:
+    """lang, source -> the estimate that judges the group, and its cutoff."""
+    group = [F.col("lang").cast("string").alias("__lang"), F.col("source").cast("string").alias("__src")]
+    rows = materialize(measured.where(~F.col("__failed")).select(*group, *X), "mcd-rows")
+    est, few = mcd(rows, kept_share)
     # the subset's covariance is too small: it is scaled by the distances' median (never below the floors' own scale)
-    near = join_dimension(keyed, est, KEYS, small=few).withColumn("__b", _bin(_distance()))
+    near = join_dimension(rows, est, KEYS, small=few).withColumn("__b", _bin(_distance()))
     mid = _quantile(near, KEYS, "__b", 0.5, "__top").select(*KEYS, F.greatest(F.lit(1.0), F.exp(F.col("__top") / BINS) / MEDIAN_CHI2).alias("scale"), "__rows")
     est = join_dimension(est, mid, KEYS, small=few).withColumns({f"c{i}{j}": F.col(f"c{i}{j}") * F.col("scale") for i, j in LOWER})
     est = materialize(est.select(*KEYS, F.struct(F.col("__rows").cast("double").alias("rows"), *MOMENTS).alias("e")), "mcd-final")
     # each language and source mixes its own estimate with its language's, and that with the one of all documents
-    found = measured.select(F.col("lang").cast("string").alias("__lang"), F.col("source").cast("string").alias("__src")).distinct()
-    for level, on in ((2, ["__lang", "__src"]), (1, ["__lang"]), (0, [])):
-        own = est.where(F.col("__level") == level).select(*on, F.col("e").alias(f"e{level}"))
-        found = join_dimension(found, own, on, "left", few) if on else found.join(F.broadcast(own), F.lit(True), "left")
-    found = materialize(found.withColumn("e", _mixed("e1", "e0", prior_rows)).withColumn("e", _mixed("e2", "e", prior_rows)).select("__lang", "__src", "e.*"), "mcd-mixed")
-    return materialize(_inverted(found).select("__lang", "__src", *PARAMS), "mcd-groups")
-
-
-def judge(measured: DataFrame, groups: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    language = materialize(_pooled(est, ["__lang"]), "mcd-language")
+    every = _pooled(language, [])
+    found = materialize(measured.select(*group).distinct(), "mcd-found")
+    found = join_dimension(found, est.withColumnRenamed("e", "e2"), KEYS, "left", few)
+    found = join_dimension(found, language.withColumnRenamed("e", "e1"), ["__lang"], "left", few)
+    found = found.join(F.broadcast(every.withColumnRenamed("e", "e0")), F.lit(True), "left")  # one row
+    found = found.withColumn("e", _mixed("e1", "e0", prior_rows)).withColumn("e", _mixed("e2", "e", prior_rows))
+    n = F.coalesce(F.col("e2.rows"), F.lit(0.0)) + F.lit(float(max(prior_rows, P + 1)))
+    found = found.withColumn("cutoff", F.lit(chi_square_quantile(tail)) * (n * n - 1) / (n * (n - P)))
+    found = materialize(found.select("__lang", "__src", "cutoff", "e.*"), "mcd-mixed")
+    return materialize(_inverted(found).select("__lang", "__src", *PARAMS, "cutoff"), "mcd-groups")
+
+
+def judge(measured: DataFrame, groups: DataFrame) -> DataFrame:
     """Adds __distance (squared; null without an estimate) and __kept."""
     rows = measured.withColumn("__lang", F.col("lang").cast("string")).withColumn("__src", F.col("source").cast("string"))
     rows = join_dimension(rows, groups, ["__lang", "__src"], "left")
     rows = rows.withColumn("__distance", _distance())
-    kept = ~F.col("__failed") & ~F.coalesce(F.col("__distance") > cutoff, F.lit(False))
-    return rows.withColumn("__kept", kept).drop("__lang", "__src", *PARAMS)
+    kept = ~F.col("__failed") & ~F.coalesce(F.col("__distance") > F.col("cutoff"), F.lit(False))
+    return rows.withColumn("__kept", kept).drop("__lang", "__src", *PARAMS, "cutoff")
 
 
 def quality(docs: DataFrame, **options) -> DataFrame:
@@ -221,7 +296,8 @@ def quality(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows that are kept, with their own columns. Texts are measured twice, and not shuffled."""
-    narrow = materialize(statistics(docs.select("text", "lang", "source")).drop("text"), "quality-statistics")
-    groups = fit(with_vector(narrow), **options)
-    return judge(with_vector(statistics(docs)), groups).where("__kept and __row >= 0").select(*docs.columns)
+    """The rows that are kept, with their own columns. Texts are measured once, beside their rows, and not shuffled."""
+    whole, names = packed_rows(docs)
+    rows = with_vector(materialize(statistics(docs.select(whole, "text", "lang", "source")).drop("text"), "quality-statistics"))
+    groups = fit(rows.drop(ROW), **options)
+    return unpacked_rows(judge(rows, groups).where("__kept"), names)

@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+import numpy as np
+
 from pathgrade.llm import quality
 
 TEXTS = ["a b c a b c a b c", "x\ny\nx\n \n \nx", "#$% | <b> &", "one two three one two three", "a b a b a b", "é è ê", "", None, "w " * 80, "a  b\tc d\u0085e"]
@@ -32,8 +34,56 @@ def test_outliers_go_and_clean_stay(spark):
     rows = spark.range(600).selectExpr("id as doc_id", "case when id % 60 = 7 then concat_ws(' ', transform(sequence(1, 90), i -> concat(md5(concat(id, i)), '#$%'))) else concat_ws(' ', transform(sequence(1, int(80 + id % 40)), i -> substr(md5(concat(id, ':', i)), 1, int(3 + (id + i) % 5)))) end as text", "'en' as lang", "concat('s', id % 2) as source")
     got = {r.doc_id: r.kept for r in quality.quality(rows).collect()}
     assert all(kept == (k % 60 != 7) for k, kept in got.items())
-    kept = quality.keep_good(rows.withColumn("__w", rows.doc_id))
-    assert kept.columns == ["doc_id", "text", "lang", "source", "__w"] and kept.count() == 590
+    names = ["__w", "scale", "m0", "v00", "__row_of_docs", "cutoff"]
+    kept = quality.keep_good(rows.withColumns({n: rows.doc_id for n in names}))
+    assert kept.columns == ["doc_id", "text", "lang", "source", *names] and kept.count() == 590
+    assert all(r[n] == r.doc_id for r in kept.collect() for n in names)
+
+
+def robust(x, floors, share=0.75):
+    """The best of many random starts, each concentrated until it settles: log determinant, mean, covariance."""
+    rng, best = np.random.default_rng(3), None
+    h = int(np.ceil(share * len(x)))
+    for _ in range(200):
+        own = rng.choice(len(x), 12, replace=False)
+        for _ in range(30):
+            m, c = x[own].mean(0), np.cov(x[own].T, bias=True) + np.diag(floors**2)
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            own = np.argsort(d, kind="stable")[:h]
+        m, c = x[own].mean(0), np.cov(x[own].T, bias=True) + np.diag(floors**2)
+        det = np.linalg.slogdet(c)[1]
+        best = min(best or (det, m, c), (det, m, c), key=lambda z: z[0])
+    return best
+
+
+def test_smallest_determinant(spark):
+    """Correlated statistics with a fifth of the rows elsewhere: no search of random starts finds a smaller determinant."""
+    rng = np.random.default_rng(8)
+    floors = np.array([f for _, _, f in quality.VECTOR])
+    mix = rng.standard_normal((5, 5)) * floors
+    x = rng.standard_normal((800, 5)) @ mix.T * 3 + 4
+    x[:160] = rng.standard_normal((160, 5)) * floors * 0.2 + 4 + 30 * floors * np.sign(mix.sum(1))
+    frame = spark.createDataFrame([("en", "s", *map(float, r)) for r in x], "__lang string, __src string, " + ", ".join(f"{c} double" for c in quality.X))
+    est = quality.mcd(frame)[0].first()
+    det, mean, cov = robust(x, floors)
+    assert est["log_det"] <= det + 0.05 and np.allclose([est[f"m{i}"] for i in range(5)], mean, atol=0.3 * floors.max())
+    got = np.array([[est[f"c{max(i, j)}{min(i, j)}"] for j in range(5)] for i in range(5)])
+    assert abs(np.linalg.slogdet(got)[1] - est["log_det"]) < 1e-6
+
+
+def test_cutoff():
+    """Five dimensions: known quantiles of the chi-square distribution."""
+    assert abs(quality.chi_square_quantile(0.05) - 11.0705) < 1e-3 and abs(quality.chi_square_quantile(0.001) - 20.515) < 1e-3
+
+
+def test_mostly_repeated_short_lines_are_rejected(spark):
+    """Both pass the base rules."""
+    word = lambda a, b: "".join(chr(97 + (a * 7 + b * 11 + k * (a + 3 * b)) % 26) for k in range(3 + (a + b) % 5))
+    rows = [(k, "\n".join(" ".join(word(k, 9 * line + i) for i in range(9)) for line in range(12)), "en", "s") for k in range(400)]
+    menu = "\n".join(["home about"] * 60 + [" ".join(word(7, 5 * line + i) for i in range(8)) for line in range(4)])
+    rows.append((1000, menu, "en", "s"))
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[1000].kept and sum(r.kept for r in got.values()) >= 396
 
 
 def test_small_source_is_judged_by_its_own_documents(spark):
