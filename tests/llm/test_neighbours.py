@@ -30,3 +30,9 @@ def test_few_and_none(spark):
     e = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.rank, r.vec_id) for r in neighbours.nearest(e).orderBy("rank").collect()] == [(1, 2), (2, 1)]
     assert neighbours.nearest(e.where("false")).count() == 0
+
+
+def test_repeated_ids_and_extreme_sizes(spark):
+    e = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (7, [1e200, 1e200]), (9, [-3e-200, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in neighbours.nearest(e).collect())
+    assert got == [(0, 1, 7, 0.707107), (0, 1, 7, 0.707107), (0, 2, 0, 0.0), (0, 2, 0, 0.0), (0, 3, 9, -1.0), (0, 3, 9, 0.0)] or got == [(0, 1, 7, 0.707107), (0, 1, 7, 0.707107), (0, 2, 0, 0.0), (0, 2, 0, 0.0), (0, 3, 9, -1.0), (0, 3, 9, -0.0)]
