@@ -1,11 +1,13 @@
 """Token-id files of fixed-width bit packing.
 
 A file holds the ids of consecutive documents in ascending doc_id order. Each id takes the fewest bits that hold the
-vocabulary's largest id. Ids lie in blocks of BLOCK; the offsets of the blocks and of the documents stand in front, so
+vocabulary's largest id. Ids lie in blocks of BLOCK; the offsets of the blocks and of the documents stand behind them, so
 one block, or one document, can be read without the rest.
 
-Layout, little-endian: ``PGIDS1``, u16 width, u32 ids in a block, u64 documents, u64 ids, then for each document u8
-(1: it has a number), i64 doc_id, u64 first id; for each block u64 first byte, counted from the first block; blocks.
+Layout, little-endian: the blocks; for each document u8 (1: it has a number), i64 doc_id, u64 first id; for each block
+u64 first byte; at the end u16 width, u32 ids in a block, u64 documents, u64 ids, ``PGIDS2``. Blocks are written as they
+fill, and a task goes on in a new file after FILE_IDS ids or FILE_DOCS documents, so its memory does not grow with what
+it writes.
 
 Null texts count as empty, so a document has at least its end id. Null doc_ids come first, then equal doc_ids in the
 order of their texts. Empty tables make no file and no rows. Columns but doc_id and text are not read.
@@ -25,14 +27,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bpe, files
-from .common import materialize, work_path
+from .common import materialize, ship, tidy, work_path
 
-MAGIC = b"PGIDS1"
-HEAD = struct.Struct("<6sHIQQ")
+MAGIC = b"PGIDS2"
+TAIL = struct.Struct("<HIQQ6s")
 DOC = np.dtype([("has", "u1"), ("id", "<i8"), ("first", "<u8")])
 BLOCK = 65_536
 END_ID = 2
-MANIFEST = "shard int, path string, n_docs long, n_ids long"
+#: A file ends after so many ids or documents.
+FILE_IDS, FILE_DOCS = 1 << 26, 1 << 20
+#: The part of a text by which equal doc_ids are dealt; whole texts order them.
+DEALT_CHARS = 64
+MANIFEST = "shard int, nth int, path string, n_docs long, n_ids long"
 
 
 def width_of(vocabulary_size: int) -> int:
@@ -55,13 +61,19 @@ def unpack(data: bytes, width: int, n: int) -> np.ndarray:
 
 
 class Writer:
-    """Packs documents' ids as they come; the packed blocks are all that it keeps."""
+    """Packs documents' ids as they come into one file; it keeps an open block, the offsets and the documents' starts."""
 
-    def __init__(self, width: int, block: int = BLOCK):
+    def __init__(self, path: str, width: int, block: int = BLOCK):
         self.width, self.block = width, block
         self.docs: list[np.ndarray] = []
-        self.blocks: list[bytes] = []
-        self.n_ids, self.open = 0, np.zeros(0, np.uint32)
+        self.offsets: list[int] = []
+        self.n_docs = self.n_ids = 0
+        self.open = np.zeros(0, np.uint32)
+        self.out = files.open_out(path)
+
+    def _put(self, ids: np.ndarray) -> None:
+        self.offsets.append(self.out.tell())
+        self.out.write(pack(ids, self.width))
 
     def add(self, keys: list[int | None], ids: np.ndarray, bounds: np.ndarray) -> None:
         rows = np.zeros(len(keys), DOC)
@@ -69,22 +81,25 @@ class Writer:
         rows["id"] = [k or 0 for k in keys]
         rows["first"] = bounds[:-1] + self.n_ids
         self.docs.append(rows)
+        self.n_docs += len(keys)
         self.n_ids += len(ids)
         self.open = np.concatenate([self.open, ids])
         full = len(self.open) // self.block * self.block
-        self.blocks += [pack(self.open[k : k + self.block], self.width) for k in range(0, full, self.block)]
+        for k in range(0, full, self.block):
+            self._put(self.open[k : k + self.block])
         self.open = self.open[full:]
 
-    def save(self, path: str) -> int:
-        blocks = [*self.blocks, pack(self.open, self.width)] if len(self.open) else self.blocks
-        docs = np.concatenate([np.zeros(0, DOC), *self.docs])
-        with files.open_out(path) as out:
-            out.write(HEAD.pack(MAGIC, self.width, self.block, len(docs), self.n_ids))
-            out.write(docs.tobytes())
-            out.write((np.cumsum([0, *map(len, blocks)])[:-1]).astype("<u8").tobytes())
-            for b in blocks:
-                out.write(b)
-        return len(docs)
+    @property
+    def full(self) -> bool:
+        return self.n_ids >= FILE_IDS or self.n_docs >= FILE_DOCS
+
+    def close(self) -> None:
+        if len(self.open):
+            self._put(self.open)
+        self.out.write(np.concatenate([np.zeros(0, DOC), *self.docs]).tobytes())
+        self.out.write(np.array(self.offsets, "<u8").tobytes())
+        self.out.write(TAIL.pack(self.width, self.block, self.n_docs, self.n_ids, MAGIC))
+        self.out.close()
 
 
 class Reader:
@@ -92,15 +107,13 @@ class Reader:
 
     def __init__(self, path: str):
         self.file = files.open_in(path)
-        magic, self.width, self.block, n_docs, self.n_ids = HEAD.unpack(self.file.read_at(HEAD.size, 0))
+        end = self.file.size() - TAIL.size
+        self.width, self.block, n_docs, self.n_ids, magic = TAIL.unpack(self.file.read_at(TAIL.size, max(0, end)))
         if magic != MAGIC:
             raise ValueError(f"{path} is no file of packed ids")
         n_blocks = -(-self.n_ids // self.block)
-        at = HEAD.size
-        self.docs = np.frombuffer(self.file.read_at(n_docs * DOC.itemsize, at), DOC)
-        at += n_docs * DOC.itemsize
-        self.offsets = np.frombuffer(self.file.read_at(8 * n_blocks, at), "<u8")
-        self.data = at + 8 * n_blocks
+        self.offsets = np.frombuffer(self.file.read_at(8 * n_blocks, end - 8 * n_blocks), "<u8")
+        self.docs = np.frombuffer(self.file.read_at(n_docs * DOC.itemsize, end - 8 * n_blocks - n_docs * DOC.itemsize), DOC)
         self.lasts = np.append(self.docs["first"][1:], np.uint64(self.n_ids)).astype(np.int64)
 
     def ids(self, first: int, last: int) -> np.ndarray:
@@ -111,7 +124,7 @@ class Reader:
         out = []
         for k in range(a, b + 1):
             n = min(self.block, self.n_ids - k * self.block)
-            out.append(unpack(self.file.read_at(-(-n * self.width // 8), self.data + int(self.offsets[k])), self.width, n))
+            out.append(unpack(self.file.read_at(-(-n * self.width // 8), int(self.offsets[k])), self.width, n))
         return np.concatenate(out)[first - a * self.block : last - a * self.block]
 
     def document(self, k: int) -> np.ndarray:
@@ -121,29 +134,41 @@ class Reader:
 def write(docs: DataFrame, path: str | None = None, vocabulary: str | None = None, end_id: int = END_ID, block: int = BLOCK) -> DataFrame:
     """Write doc_id, text as files in ascending order; the manifest (MANIFEST and first: ids in all files before)."""
     spark = docs.sparkSession
+    ship(spark)
     vocabulary = vocabulary or bpe.vocabulary_path()
     path = path or work_path(spark, "ids")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = bpe.encoder(vocabulary)
-        out = Writer(width_of(enc.size), block)
+        enc, shard = bpe.encoder(vocabulary), TaskContext.get().partitionId()
+        width, nth, out, name = width_of(enc.size), 0, None, ""
+        kinds = pa.schema([("shard", pa.int32()), ("nth", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+        line = lambda: pa.RecordBatch.from_pylist([{"shard": shard, "nth": nth, "path": name, "n_docs": out.n_docs, "n_ids": out.n_ids}], kinds)
         for batch in bpe.batches(source, "text"):
+            if out is None:
+                name = f"{path}/{shard:07d}-{nth:05d}-{uuid.uuid4().hex}.ids"
+                out = Writer(name, width, block)
             ids, at = enc.column(batch.column("text"))
             n = len(at) - 1
             out.add(batch.column("doc_id").to_pylist(), np.insert(ids, at[1:], end_id), at + np.arange(n + 1))
-        if out.docs:
-            shard = TaskContext.get().partitionId()
-            name = f"{path}/{shard:07d}-{uuid.uuid4().hex}.ids"
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "path": name, "n_docs": out.save(name), "n_ids": out.n_ids}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            if out.full:
+                out.close()
+                yield line()
+                nth, out = nth + 1, None
+        if out is not None:
+            out.close()
+            yield line()
+        tidy()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    by_id = F.col("doc_id").asc_nulls_first()
+    # equal and null doc_ids are dealt by the beginnings of their texts
+    ordered = rows.repartitionByRange(parts, by_id, F.substring("text", 1, DEALT_CHARS)).sortWithinPartitions(by_id, "text")
     manifest = materialize(ordered.mapInArrow(run, MANIFEST), "ids-manifest")
     # a row for each file, not for each document
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("shard", "nth").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("first", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
@@ -169,5 +194,6 @@ def read(manifest: DataFrame) -> DataFrame:
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
+    ship(manifest.sparkSession)
     n = max(1, min(manifest.count(), 10_000))
-    return manifest.repartition(n, "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.repartition(n, "shard", "nth").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
