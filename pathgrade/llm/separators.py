@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bpe, files
-from .common import materialize, work_path
+from .common import materialize, ship, tidy, work_path
 
 #: <|endoftext|> of the vocabulary; the string itself is ordinary text when documents are encoded.
 END_ID = 49_407
 WIDTH = 2
 BLOCK_BYTES = 1 << 20
+#: Blocks whose summaries one task scans.
+GROUP_BLOCKS = 1024
 
 
 def write_flat(docs: DataFrame, path: str | None = None, vocabulary: str | None = None, end_id: int = END_ID, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
@@ -34,6 +36,7 @@ def write_flat(docs: DataFrame, path: str | None = None, vocabulary: str | None
 
     The second table says which document was written where in the order, not where its tokens are.
     """
+    ship(docs.sparkSession)
     vocabulary = vocabulary or bpe.vocabulary_path()
     path = path or work_path(docs.sparkSession, "flat")
 
@@ -51,6 +54,7 @@ def write_flat(docs: DataFrame, path: str | None = None, vocabulary: str | None
             nth += n
         if out:
             out.close()
+        tidy()
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     order = materialize(rows.mapInArrow(run, f"file string, nth long, doc_id {dict(rows.dtypes)['doc_id']}"), "flat-order")
@@ -59,6 +63,7 @@ def write_flat(docs: DataFrame, path: str | None = None, vocabulary: str | None
 
 def count_tokens(paths: DataFrame, end_id: int = END_ID, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """file, nth (from 0), start (in ids from the file's first), n_tokens (without the end id), closed."""
+    ship(paths.sparkSession)
     if block_bytes % width:
         raise ValueError("block_bytes must be a multiple of width")
 
@@ -82,14 +87,16 @@ def count_tokens(paths: DataFrame, end_id: int = END_ID, width: int = WIDTH, blo
 
     blocks = paths.select("file").distinct().mapInArrow(sizes, "file string, block long")
     found = materialize(blocks.repartition("file", "block").mapInArrow(scan, "file string, block long, stop long, ends array<long>"), "flat-blocks")
-    # the prefix scan: how many end ids, and which was the last, before each block of its file
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = found.select(
-        "file",
-        "ends",
-        F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("nth0"),
-        F.coalesce(F.max(F.array_max("ends")).over(before), F.lit(-1)).alias("last0"),
-    )
+    # the prefix scan: how many end ids, and which was the last, before each block of its file. Only summaries are
+    # scanned, over groups of blocks and then within them, so a large file is no single task.
+    short = found.select("file", "block", F.size("ends").cast("long").alias("n"), F.coalesce(F.array_max("ends"), F.lit(-1)).alias("last"), F.floor(F.col("block") / GROUP_BLOCKS).alias("grp"))
+    before = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda w: (F.coalesce(F.sum("n").over(w), F.lit(0)).alias("nth0"), F.coalesce(F.max("last").over(w), F.lit(-1)).alias("last0"))
+    groups = short.groupBy("file", "grp").agg(F.sum("n").alias("n"), F.max("last").alias("last")).select("file", "grp", *earlier(before(["file"], "grp")))
+    groups = groups.withColumnsRenamed({"nth0": "gn", "last0": "gl"})
+    within = short.select("file", "block", "grp", *earlier(before(["file", "grp"], "block"))).join(groups, ["file", "grp"])
+    within = within.select("file", "block", (F.col("nth0") + F.col("gn")).alias("nth0"), F.greatest("last0", "gl").alias("last0"))
+    prefix = found.join(within, ["file", "block"])
     inner = prefix.select("file", "nth0", "last0", "ends").where(F.size("ends") > 0)
     closed = inner.select(
         "file",

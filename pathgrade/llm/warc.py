@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .common import materialize, work_path
+from .common import join_dimension, materialize, ship, work_path
 
 CHUNK_BYTES = 256 << 10
 REVISIT_FROM = 0
+LONGEST_HEADER = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -48,7 +49,7 @@ def decide(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
     # of each payload that more than one row has, the first page; a payload of one row needs no partner
     first = rows.where(F.col("payload_bytes") >= revisit_from).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = materialize(first, "warc-first")
-    out = rows.join(first, "sha1", "left")
+    out = join_dimension(rows, first, ["sha1"], "left")  # pages of one payload, however many, stay or are dealt
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return out.select("page_id", "url", "html", "payload_bytes", "sha1", refers.alias("refers_to"))
 
@@ -77,6 +78,7 @@ def chunks(decided: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
 
 def write(pages: DataFrame, path: str | None = None, chunk_bytes: int = CHUNK_BYTES, revisit_from: int = REVISIT_FROM) -> DataFrame:
     """Write archives; returns the table of their paths."""
+    ship(pages.sparkSession)
     path = path or work_path(pages.sparkSession, "warc")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,6 +119,8 @@ class _Stream:
     def head(self) -> list[str] | None:
         """The lines before the next empty line; None at the end."""
         while (k := self.buffer.find(b"\r\n\r\n")) < 0:
+            if len(self.buffer) > LONGEST_HEADER:
+                raise ValueError("a header does not end")
             if not self._more():
                 if self.buffer.strip():
                     raise ValueError("the archive ends within a header")
@@ -135,6 +139,8 @@ class _Stream:
 def read_chunks(paths: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_bytes: bool = False) -> DataFrame:
     """Rows of path, record (nth in the archive), chunk, page_id, url, record_type, refers_to, bytes_so_far, digest_so_far, last, bytes."""
 
+    ship(paths.sparkSession)
+
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         for batch in source:
