@@ -73,7 +73,21 @@ def _licenses_sql() -> str:
         FROM d LEFT JOIN n USING (r) GROUP BY d.r, d.doc_id"""
 
 
+def _jaccard_sql(words: int = jaccard.SHINGLE_WORDS, percent: int = jaccard.PERCENT) -> str:
+    """Shingles joined to shingles, and all that links reach."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{letters.upper()}', '{letters}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {words - 2}), lambda i: array_to_string(w[i:i + {words - 1}], ' '))) END AS g FROM d),
+        e AS (SELECT r, unnest(g) AS x FROM s),
+        c AS (SELECT a.r AS p, b.r AS q, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.r <> b.r GROUP BY ALL),
+        l AS (SELECT p, q FROM c JOIN s a ON a.r = p JOIN s b ON b.r = q WHERE 100 * n >= {percent} * (len(a.g) + len(b.g) - n)),
+        t AS (SELECT r AS a, r AS b FROM s UNION SELECT t.a, l.q FROM t JOIN l ON l.p = t.b)
+        SELECT a.doc_id, len(any_value(a.g))::BIGINT AS n_shingles, min(b.doc_id) AS component_id FROM t JOIN s a ON a.r = t.a JOIN s b ON b.r = t.b GROUP BY a.r, a.doc_id"""
+
+
 ORACLES: dict[str, str] = {
+    "op10_prefix_tree": _jaccard_sql(),
     "op5_diagonal_voting": _licenses_sql(),
     "op8_chunked_records": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
