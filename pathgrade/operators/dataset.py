@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,6 +35,12 @@ def exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.groupBy(F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("digest")).agg(F.min(key).alias("first_id"), F.count("*").alias("copies"))
 
 
+def is_complete(filled: list[str], ranges: dict[str, tuple[float, float]]) -> Column:
+    """Whether a record has all of these texts and all of these numbers within their ranges."""
+    parts = [F.col(c).isNotNull() & (F.length(c) > 0) for c in filled] + [F.col(c).between(a, b) for c, (a, b) in ranges.items()]
+    return reduce(lambda x, y: x & y, (F.coalesce(p, F.lit(False)) for p in parts))
+
+
 def orphans(rows: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
     """Rows that refer to nothing."""
     return rows.join(known, on, "left_anti")

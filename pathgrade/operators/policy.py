@@ -50,6 +50,13 @@ def several_agents(logs: DataFrame) -> DataFrame:
     return logs.withColumn("choice", choice).withColumns({"route": route, "multi_action": F.col("choice.action"), "multi_confidence": F.col("choice.confidence"), "handoff_quality": handoff}).drop("choice")
 
 
+def as_steps(routed: DataFrame, keys: list[str]) -> DataFrame:
+    """Several agents' decision as three steps: the orchestrator, the specialist, the action."""
+    step = lambda k, node, action: F.struct(F.lit(k).alias("step_index"), node.alias("node"), action.alias("action"))
+    steps = F.array(step(0, F.lit("orchestrate"), F.lit("")), step(1, F.col("route"), F.lit("")), step(2, F.lit("act"), F.col("multi_action")))
+    return routed.select(*keys, F.inline(steps))
+
+
 def one_agent(logs: DataFrame) -> DataFrame:
     """The baseline: no specialist for privacy, no look at consent before a geofence."""
     s = F.col("scenario")

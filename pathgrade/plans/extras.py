@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..operators import agreement, calibration, dataset, facts, frameworks, trajectory, validity
+from ..functions import text as T
+from ..operators import agreement, calibration, dataset, facts, frameworks, metrics, policy, trajectory, triggers, validity
 from . import views as V
-from .catalog import _LAYERED, GAPS, LABELS, LAYERS, MSTEPS, _COMBINED, REWARDS, alpha_sql, cohen_sql, combined, fleiss_sql, labels, names_sql, query, r9, rewarded, scored
+from .catalog import _CALIBRATED, _COMBINED, _LAYERED, GAPS, LABELS, LAYERS, MSTEPS, MULTI, REWARDS, alpha_sql, anchor_gold, cohen_sql, combined, fleiss_sql, labels, names_sql, query, r9, rewarded, scored
 
 # --- framework runs ----------------------------------------------------------------------------------------------
 
@@ -346,3 +347,112 @@ def semantic_agreement(spark, d):
     """Two raters' rationales as bags of vectors, sixteen neighbours to an item: each vector's best match on the other side."""
     e = V.read(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"), F.floor(F.col("vec_id") / 16).alias("grp"))
     return agreement.semantic(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 <> 0"), ["label", "grp"], "e", "label")
+
+
+# --- a log's whole case, routes, places, phases --------------------------------------------------------------------
+
+
+@query(
+    "case_file",
+    """SELECT traj, scenario, consent, blocked, round(facts, 9) AS facts, round(total, 9) AS quality, round(tool, 9) AS tool, round(success, 9) AS success, leak, triggers > 0 AS triggered, triggers, first_trigger FROM (
+         SELECT c.*, i.consent, i.consent = 'revoked' OR (c.scenario = 'privacy_sensitive' AND i.consent = 'ambient') AS blocked,
+           (0.70e0 + CASE WHEN len(s) = 0 THEN 1e0 ELSE len(list_filter(s, lambda x: len(list_intersect(regexp_split_to_array(lower(x), '\\s+'), words)) > 0)) / len(s)::DOUBLE END + 0.75e0) / 3 AS facts, triggers, first_trigger
+         FROM f_combined c JOIN f_items i USING (traj) JOIN (
+           SELECT traj, list_filter(list_transform(regexp_split_to_array(arg_max(observation, step_index), '[.!?]'), lambda x: trim(x)), lambda x: length(x) > 0) AS s,
+             list_distinct(list_filter(regexp_split_to_array(lower(string_agg(event_type || ' ' || observation, ' ' ORDER BY step_index)), '\\s+'), lambda w: w <> '')) AS words,
+             sum(CASE WHEN confidence < 0.7 OR action NOT IN ('', 'log', 'escalate_to_emergency') THEN 1 ELSE 0 END)::BIGINT AS triggers,
+             min(CASE WHEN confidence < 0.7 OR action NOT IN ('', 'log', 'escalate_to_emergency') THEN step_index END) AS first_trigger
+           FROM (SELECT * REPLACE (CASE WHEN action = 'escalate_to_emergency' THEN 'log_and_monitor' ELSE action END AS action) FROM f_steps) GROUP BY traj) USING (traj))""",
+    (*_LAYERED, V.ITEMS, MSTEPS, _COMBINED),
+)
+def case_file(spark, d):
+    """Gate, grounding of the last observation in all that was seen, review triggers and scores, a row for each log."""
+    s = V.steps(spark, d)
+    shown = triggers.with_trigger(s.withColumn("action", F.when(F.col("action") == K.ESCALATION, "log_and_monitor").otherwise(F.col("action"))))
+    seen = shown.groupBy("traj").agg(
+        F.max_by("observation", "step_index").alias("last"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step_index", F.concat_ws(" ", "event_type", "observation").alias("t")))), lambda x: x["t"]), " ").alias("all"),
+        F.count("trigger_type").alias("triggers"),
+        F.min(F.when(F.col("trigger_type").isNotNull(), F.col("step_index"))).alias("first_trigger"),
+    )
+    rows = combined(spark, d).join(V.items(spark, d).select("traj", "consent"), "traj").join(seen, "traj")
+    facts_score = metrics.facts(F.col("last"), T.word_set(F.col("all")))
+    out = rows.select("traj", "scenario", "consent", policy.capture_gate()["blocked"].alias("blocked"), facts_score.alias("facts"), F.col("total").alias("quality"), "tool", "success", "leak", (F.col("triggers") > 0).alias("triggered"), "triggers", "first_trigger")
+    return r9(out, "facts", "quality", "tool", "success")
+
+
+@query(
+    "routed_steps",
+    "SELECT traj, unnest([0, 1, 2]) AS step_index, unnest(['orchestrate', route, 'act']) AS node, unnest(['', '', multi_action]) AS action FROM f_multi",
+    (V.ITEMS, MULTI),
+)
+def routed_steps(spark, d):
+    """The orchestrator's step, the specialist's and the action, as a trajectory."""
+    return policy.as_steps(policy.several_agents(V.items(spark, d)), ["traj"])
+
+
+_COMPLETE_ITEMS = "f_complete AS (SELECT * FROM f_gaps WHERE (dim, item) IN (SELECT (dim, item) FROM f_gaps WHERE label IS NOT NULL GROUP BY dim, item HAVING count(DISTINCT rater) = 5))"
+
+
+@query("fleiss_overall", f"SELECT round(avg(kappa), 9) AS kappa FROM {fleiss_sql('f_complete')}", (V.ANNOTATIONS, GAPS, _COMPLETE_ITEMS))
+def fleiss_overall(spark, d):
+    return r9(agreement.fleiss(agreement.complete(labels(spark, d, False), ["dim"], 5), ["dim"]).agg(F.avg("kappa").alias("kappa")), "kappa")
+
+
+@query("worst_scenario", "SELECT scenario, round(m, 9) AS mean_total FROM (SELECT scenario, avg(total) AS m FROM f_layers GROUP BY scenario) ORDER BY round(m, 9), scenario LIMIT 1", _LAYERED)
+def worst_scenario(spark, d):
+    means = r9(trajectory.scenario_report(scored(spark, d)), "mean_total")
+    return means.orderBy("mean_total", "scenario").limit(1).select("scenario", "mean_total")
+
+
+@query(
+    "disagreement_grid",
+    f"""SELECT topic, {', '.join(f"round(coalesce(max(CASE WHEN dim = '{x}' THEN m END), 0e0), 9) AS {x}" for x in K.DIMENSIONS)} FROM (
+          SELECT topic, dim, coalesce(avg(sd), 0e0) AS m FROM (SELECT f_items.scenario AS topic, dim, item, stddev_samp(label) AS sd FROM f_gaps JOIN f_items ON traj = item WHERE NOT (scenario = 'ambient_noise' AND dim = 'goal_alignment') GROUP BY ALL) GROUP BY ALL) GROUP BY topic""",
+    (V.ANNOTATIONS, GAPS, V.ITEMS),
+)
+def disagreement_grid(spark, d):
+    """A topic by dimension grid; a cell that no rating fills is 0."""
+    rows = labels(spark, d, False).join(V.items(spark, d).select(F.col("traj").alias("item"), F.col("scenario").alias("topic")), "item")
+    rows = rows.where(~((F.col("topic") == "ambient_noise") & (F.col("dim") == "goal_alignment")))
+    grid = calibration.disagreement(rows).groupBy("topic").pivot("dim", list(K.DIMENSIONS)).agg(F.first("disagreement")).fillna(0.0)
+    return r9(grid, *K.DIMENSIONS)
+
+
+@query(
+    "calibration_lift",
+    f"""SELECT dim, round(a.alpha, 9) AS before, round(b.alpha, 9) AS after, round(b.alpha - a.alpha, 9) AS lift FROM {alpha_sql('f_labels', 'ordinal')} a JOIN {alpha_sql('f_after', 'ordinal')} b USING (dim)""",
+    (
+        *_CALIBRATED,
+        "f_after AS (SELECT l.item, l.dim, l.rater, greatest(1, least(4, round_even(0.82e0 * coalesce(g.gold, round_even(m.mean_gold, 0), 2) + (1 - 0.82e0) * l.label, 0)::INTEGER)) AS label FROM f_labels l LEFT JOIN f_anchor_gold g ON g.item = l.item AND g.dim = l.dim LEFT JOIN f_mean_gold m ON m.dim = l.dim)",
+    ),
+)
+def calibration_lift(spark, d):
+    """Agreement by dimension before and after calibration."""
+    before = labels(spark, d)
+    after = calibration.pulled(before, anchor_gold(spark, d)).withColumnRenamed("calibrated", "label")
+    a = agreement.alpha(before, ["dim"]).withColumnRenamed("alpha", "before").join(agreement.alpha(after, ["dim"]).withColumnRenamed("alpha", "after"), "dim")
+    return a.select("dim", F.round("before", 9).alias("before"), F.round("after", 9).alias("after"), F.round(F.col("after") - F.col("before"), 9).alias("lift"))
+
+
+@query(
+    "outcomes",
+    f"""SELECT outcome_name, count(*) AS n, sum(CASE WHEN valid THEN 1 ELSE 0 END)::BIGINT AS located, sum(heard)::BIGINT AS heard FROM (
+          SELECT {_case("ground_truth", K.OUTCOMES)} AS outcome_name, abs(lat) <= 90 AND abs(lon) <= 180 AND NOT (lat = 0 AND lon = 0) AS valid,
+                 len(list_filter(keywords, lambda w: contains(lower('Meeting about THERAPY, ' || scenario), w))) AS heard
+          FROM (SELECT *, {V.number_sql("traj", "'lat'")} % 201 - 100 AS lat, {V.number_sql("traj", "'lon'")} % 401 - 200 AS lon FROM f_items)) GROUP BY outcome_name""",
+    (V.ITEMS,),
+)
+def outcomes(spark, d):
+    """By what an action brings about: logs, places that are on earth, and keywords heard in what was said."""
+    rows = V.items(spark, d).withColumns({"lat": (V.number(F.col("traj"), "lat") % 201 - 100).cast("double"), "lon": (V.number(F.col("traj"), "lon") % 401 - 200).cast("double")})
+    said = F.concat(F.lit("Meeting about THERAPY, "), F.col("scenario"))
+    rows = rows.select(T.outcome_name(F.col("ground_truth")).alias("outcome_name"), T.valid_place(F.col("lat"), F.col("lon")).alias("valid"), F.size(T.keywords_in(said, F.col("keywords"))).alias("heard"))
+    return rows.groupBy("outcome_name").agg(F.count("*").alias("n"), F.sum(F.col("valid").cast("int")).alias("located"), F.sum("heard").alias("heard"))
+
+
+@query("complete_documents", "SELECT lang, count(*) AS n, sum(CASE WHEN text IS NOT NULL AND length(text) > 0 AND source IS NOT NULL AND n_chars BETWEEN 1 AND 100000 THEN 1 ELSE 0 END)::BIGINT AS complete FROM documents GROUP BY lang")
+def complete_documents(spark, d):
+    """Documents with all that a record needs, and a length within range."""
+    ok = dataset.is_complete(["text", "source"], {"n_chars": (1, 100_000)})
+    return V.read(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum(ok.cast("int")).alias("complete"))

@@ -88,3 +88,27 @@ def test_privacy(spark):
     assert free.where("heart_rate <> 70").count() == 0
     s = noisy.agg(F.avg("heart_rate").alias("m"), F.stddev("heart_rate").alias("s")).first()
     assert abs(s.m - 70) < 6 and abs(s.s - 48.4) < 5
+
+
+def test_windowed_counts_of_a_stream(spark, tmp_path):
+    from pathgrade.streaming.triggers import counts
+
+    kinds = "ts timestamp, action string, confidence double"
+    first = [("2024-01-01 10:05:00", "search", 0.4), ("2024-01-01 10:50:00", "search", 0.4), ("2024-01-01 10:55:00", "search", 0.9), ("2024-01-01 11:30:00", "delete", 0.9)]
+    spark.createDataFrame(first, "ts string, action string, confidence double").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kinds).parquet(str(tmp_path / "in"))
+    q = counts(stream).writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    got = {(str(r.window.start), r.trigger_type): r.n for r in spark.sql("select * from windows").collect()}
+    # the last file's time is 11:30, so the hour from 10 is closed and that from 11 is open
+    assert got == {("2024-01-01 10:00:00", "confidence_below_threshold"): 2}
+
+
+def test_routes_and_complete_records(spark):
+    from pathgrade.operators import dataset
+
+    logs = spark.createDataFrame([("a", "calendar_reminder", "explicit", 60.0, 99.0, 40.0, ["x"])], "traj string, scenario string, consent string, heart_rate double, spo2 double, noise_db double, keywords array<string>")
+    steps = policy.as_steps(policy.several_agents(logs), ["traj"]).orderBy("step_index").collect()
+    assert [(r.node, r.action) for r in steps] == [("orchestrate", ""), ("action_step", ""), ("act", "surface_reminder")]
+    rows = spark.createDataFrame([("x", 5), ("", 5), (None, 5), ("x", None), ("x", 200)], "text string, n int")
+    assert [r.ok for r in rows.select(dataset.is_complete(["text"], {"n": (1, 100)}).alias("ok")).collect()] == [True, False, False, False, False]
