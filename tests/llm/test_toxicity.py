@@ -78,3 +78,10 @@ def test_any_label_but_zero_is_toxic_and_one_kind_is_no_model(spark, tables):
     same = lambda l: sorted((r.doc_id, round(r.score, 9)) for r in toxicity.score(docs, l).collect())
     assert same(odd) == same(labels)
     assert {r.score for r in toxicity.score(docs, labels.where("toxic = 0")).collect()} == {0.0}
+
+
+def test_held_out_rows_of_the_given_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.score(docs, labels).join(labels.where("toxic is not null"), "doc_id").where("held_out").groupBy("toxic", "predicted").count().collect()
+    n = {(r.toxic, r.predicted): r["count"] for r in rows}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.005 * n[0, 0]
