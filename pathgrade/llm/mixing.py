@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import join_dimension, materialize
+from .common import ROW, join_dimension, materialize, packed_rows, unpacked_rows
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -39,9 +39,9 @@ def words_of(text: Column) -> Column:
 
 
 def with_sizes(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The rows, with their size and their hash."""
+    """The rows, with their size and their hash; only whole repeats of doc_id and text share a hash."""
     size = words_of(F.col("text"))
-    return docs.withColumn("__size", size).withColumn("__hash", F.xxhash64(F.lit(seed), "doc_id", "__size"))
+    return docs.withColumn("__size", size).withColumn("__hash", F.xxhash64(F.lit(seed), "doc_id", "text"))
 
 
 def _log_factorial(x: str) -> str:
@@ -121,8 +121,8 @@ def plan(sized: DataFrame, block_words: int = BLOCK_WORDS, levels: int = LEVELS,
     sources = sources.withColumn("passes", F.when(F.col("words") > 0, F.floor(take / F.col("words"))).otherwise(0).cast("long"))
     sources = sources.withColumn("part", take - F.col("passes") * F.col("words")).withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("words") / block_words)).cast("long"))
     sources = materialize(sources, "mix-sources")
-    rows = join_dimension(sized.where("__size > 0").select("source", "__size", "__hash"), sources.select("source", "n_blocks", "part"), ["source"])
-    blocks = rows.groupBy("source", F.pmod("__hash", "n_blocks").alias("block")).agg(F.sum("__size").alias("block_words"), F.first("part").alias("part"))
+    rows = join_dimension(sized.where("__size > 0").select("source", "__size", "__hash"), sources.select("source", "source_no", "n_blocks", "part"), ["source"])
+    blocks = rows.groupBy("source", "source_no", F.pmod("__hash", "n_blocks").alias("block")).agg(F.sum("__size").alias("block_words"), F.first("part").alias("part"))
     # prefix sums over a source's blocks, in groups of blocks so that no task gets a whole source
     blocks = blocks.withColumn("grp", F.floor(F.col("block") / GROUP_BLOCKS))
     blocks = materialize(blocks, "mix-blocks")
@@ -135,7 +135,7 @@ def plan(sized: DataFrame, block_words: int = BLOCK_WORDS, levels: int = LEVELS,
         .withColumn("before", F.col("w0") + F.coalesce(F.sum("block_words").over(own), F.lit(0)))
         .withColumn("position", F.col("n0") + F.coalesce(F.count("block").over(own), F.lit(0)))
         .withColumn("part", F.greatest(F.lit(0), F.least(F.col("block_words"), F.col("part") - F.col("before"))))
-        .select("source", "block", "position", "part")
+        .select("source", "source_no", "block", "position", "part")
     )
     blocks = materialize(blocks, "mix-drawn")
     counted = blocks.groupBy("source").agg(F.count("*").alias("live"), F.sum((F.col("part") > 0).cast("long")).alias("parts"))
@@ -151,11 +151,12 @@ def plan(sized: DataFrame, block_words: int = BLOCK_WORDS, levels: int = LEVELS,
 
 def draw(sized: DataFrame, sources: DataFrame, blocks: DataFrame, whole_documents: bool = False, seed: int = SEED) -> DataFrame:
     """The rows with __source_size, __target and __draws: copy, shard, words, place for each time the mix takes one."""
-    dim = sources.select("source", F.col("words").alias("__source_size"), F.col("target").alias("__target"), F.col("passes").alias("__passes"), F.col("n_blocks").alias("__n"), F.col("live").alias("__live"), F.col("ends").alias("__ends"))
+    dim = sources.select("source", F.col("source_no").alias("__no"), F.col("words").alias("__source_size"), F.col("target").alias("__target"), F.col("parts").alias("__parts"), F.col("n_blocks").alias("__n"), F.col("live").alias("__live"), F.col("ends").alias("__ends"))
     rows = join_dimension(sized, dim, ["source"]).withColumn("__block", F.pmod("__hash", "__n"))
-    at = blocks.select(F.col("source").alias("__bs"), F.col("block").alias("__bb"), F.col("position").alias("__position"), F.col("part").alias("__part"))
-    rows = rows.join(at, rows["source"].eqNullSafe(at["__bs"]) & (rows["__block"] == at["__bb"]), "left").drop("__bs", "__bb")
-    own = Window.partitionBy("source", "__block").orderBy("__hash", "doc_id", "__size")
+    # the blocks' key is the window's too, and never null: rows are shuffled once
+    at = blocks.select(F.col("source_no").alias("__no"), F.col("block").alias("__block"), F.col("position").alias("__position"), F.col("part").alias("__part"))
+    rows = rows.join(at, ["__no", "__block"], "left")
+    own = Window.partitionBy("__no", "__block").orderBy("__hash", "doc_id", "__size")
     before = F.coalesce(F.sum("__size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("__before", before)
     some = F.greatest(F.lit(0), F.least(F.col("__size"), F.coalesce("__part", F.lit(0)) - F.col("__before")))
@@ -163,30 +164,37 @@ def draw(sized: DataFrame, sources: DataFrame, blocks: DataFrame, whole_document
         some = F.when(some * 2 >= F.col("__size"), F.col("__size")).otherwise(0)
     rows = rows.withColumn("__some", some.cast("long"))
     place = lambda copy: F.xxhash64(F.lit(seed + 1), "doc_id", "__hash", copy)
-    copies = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("__passes")),
+    # a block's draws are those of its turns (pass, place) that a shard's run of the source's turns covers
+    drawn = F.coalesce(F.element_at("__ends", -1), F.lit(0))
+    passes = F.floor((drawn - 1 - F.col("__position")) / F.greatest(F.col("__live"), F.lit(1)))  # of the block's last draw; -1: none
+    whole = F.floor((drawn - F.col("__parts")) / F.greatest(F.col("__live"), F.lit(1)))  # passes before the last, which takes parts
+    turns = F.when((F.col("__size") > 0) & F.col("__position").isNotNull() & (passes >= 0), F.sequence(F.lit(0).cast("long"), passes)).otherwise(F.array().cast("array<bigint>"))
+    draws = F.transform(
+        turns,
         lambda c: F.struct(
             c.cast("int").alias("copy"),
             F.size(F.filter("__ends", lambda e: e <= c * F.col("__live") + F.col("__position"))).alias("shard"),
-            F.when(c < F.col("__passes"), F.col("__size")).otherwise(F.col("__some")).alias("words"),
+            F.when(c < whole, F.col("__size")).otherwise(F.col("__some")).alias("words"),
             place(c).alias("place"),
         ),
     )
-    rows = rows.withColumn("__draws", F.filter(F.when(F.col("__size") > 0, copies).otherwise(F.array()), lambda d: d["words"] > 0))
-    return rows.drop("__passes", "__n", "__live", "__ends", "__block", "__position", "__part", "__before", "__some")
+    rows = rows.withColumn("__draws", F.filter(draws, lambda d: d["words"] > 0))
+    return rows.drop("__parts", "__no", "__n", "__live", "__ends", "__block", "__position", "__part", "__before", "__some")
 
 
-def mixture(docs: DataFrame, whole_documents: bool = False, **options) -> DataFrame:
-    """A row for each draw: the document's columns, copy, shard, words, place. Shard after shard, each in the order of its places.
+def mixture(docs: DataFrame, whole_documents: bool = False, labels: bool = True, **options) -> DataFrame:
+    """A row for each draw: the document's columns and, with ``labels``, __copy, __shard, __words, __place. Shard after shard, each in the order of its places.
 
     The rows are dealt by ranges of shard and place, so a large shard is cut over tasks.
     """
-    sized = with_sizes(docs)
+    whole, names = packed_rows(docs)
+    sized = with_sizes(docs.select(whole, "doc_id", "source", "text")).drop("text")
     narrow = materialize(sized.select("doc_id", "source", "__size", "__hash"), "mix-sizes")
     sources, blocks = plan(narrow, **options)
-    rows = draw(sized, sources, blocks, whole_documents)
-    rows = rows.select(*docs.columns, F.explode("__draws").alias("__d")).select(*docs.columns, F.col("__d.copy").alias("__copy"), F.col("__d.shard").alias("__shard"), F.col("__d.words").alias("__words"), F.col("__d.place").alias("__place"))
-    return rows.repartitionByRange("__shard", "__place").sortWithinPartitions("__shard", "__place")
+    rows = draw(sized, sources, blocks, whole_documents).select(ROW, F.explode("__draws").alias("__d"))
+    order = ["__d.shard", "__d.place"]
+    more = [F.col("__d")[c].alias(f"__{c}") for c in ("copy", "shard", "words", "place")] if labels else []
+    return unpacked_rows(rows.repartitionByRange(*order).sortWithinPartitions(*order), names, *more)
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
