@@ -31,7 +31,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents in the mixture's proportions; one that is drawn twice has two rows."""
-    return mixing.mixture(docs, whole_documents=True).select(*docs.columns)
+    return mixing.mixture(docs, whole_documents=True, labels=False)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
