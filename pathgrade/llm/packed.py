@@ -89,10 +89,6 @@ class Writer:
             self._put(self.open[k : k + self.block])
         self.open = self.open[full:]
 
-    @property
-    def full(self) -> bool:
-        return self.n_ids >= FILE_IDS or self.n_docs >= FILE_DOCS
-
     def close(self) -> None:
         if len(self.open):
             self._put(self.open)
@@ -131,7 +127,7 @@ class Reader:
         return self.ids(int(self.docs["first"][k]), int(self.lasts[k]))
 
 
-def write(docs: DataFrame, path: str | None = None, vocabulary: str | None = None, end_id: int = END_ID, block: int = BLOCK) -> DataFrame:
+def write(docs: DataFrame, path: str | None = None, vocabulary: str | None = None, end_id: int = END_ID, block: int = BLOCK, file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS) -> DataFrame:
     """Write doc_id, text as files in ascending order; the manifest (MANIFEST and first: ids in all files before)."""
     spark = docs.sparkSession
     ship(spark)
@@ -145,14 +141,14 @@ def write(docs: DataFrame, path: str | None = None, vocabulary: str | None = Non
         width, nth, out, name = width_of(enc.size), 0, None, ""
         kinds = pa.schema([("shard", pa.int32()), ("nth", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
         line = lambda: pa.RecordBatch.from_pylist([{"shard": shard, "nth": nth, "path": name, "n_docs": out.n_docs, "n_ids": out.n_ids}], kinds)
-        for batch in bpe.batches(source, "text"):
+        for batch in bpe.batches(source, "text", min(bpe.BATCH_BYTES, file_ids)):
             if out is None:
                 name = f"{path}/{shard:07d}-{nth:05d}-{uuid.uuid4().hex}.ids"
                 out = Writer(name, width, block)
             ids, at = enc.column(batch.column("text"))
             n = len(at) - 1
             out.add(batch.column("doc_id").to_pylist(), np.insert(ids, at[1:], end_id), at + np.arange(n + 1))
-            if out.full:
+            if out.n_ids >= file_ids or out.n_docs >= file_docs:
                 out.close()
                 yield line()
                 nth, out = nth + 1, None

@@ -61,7 +61,7 @@ def write_flat(docs: DataFrame, path: str | None = None, vocabulary: str | None
     return order.select("file").distinct(), order
 
 
-def count_tokens(paths: DataFrame, end_id: int = END_ID, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def count_tokens(paths: DataFrame, end_id: int = END_ID, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, group_blocks: int = GROUP_BLOCKS) -> DataFrame:
     """file, nth (from 0), start (in ids from the file's first), n_tokens (without the end id), closed."""
     ship(paths.sparkSession)
     if block_bytes % width:
@@ -89,7 +89,7 @@ def count_tokens(paths: DataFrame, end_id: int = END_ID, width: int = WIDTH, blo
     found = materialize(blocks.repartition("file", "block").mapInArrow(scan, "file string, block long, stop long, ends array<long>"), "flat-blocks")
     # the prefix scan: how many end ids, and which was the last, before each block of its file. Only summaries are
     # scanned, over groups of blocks and then within them, so a large file is no single task.
-    short = found.select("file", "block", F.size("ends").cast("long").alias("n"), F.coalesce(F.array_max("ends"), F.lit(-1)).alias("last"), F.floor(F.col("block") / GROUP_BLOCKS).alias("grp"))
+    short = found.select("file", "block", F.size("ends").cast("long").alias("n"), F.coalesce(F.array_max("ends"), F.lit(-1)).alias("last"), F.floor(F.col("block") / group_blocks).alias("grp"))
     before = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
     earlier = lambda w: (F.coalesce(F.sum("n").over(w), F.lit(0)).alias("nth0"), F.coalesce(F.max("last").over(w), F.lit(-1)).alias("last0"))
     groups = short.groupBy("file", "grp").agg(F.sum("n").alias("n"), F.max("last").alias("last")).select("file", "grp", *earlier(before(["file"], "grp")))

@@ -85,6 +85,9 @@ def test_packed_files(spark, enc, edges, nothing, tmp_path):
     first = packed.Reader(manifest.orderBy("shard").first().path)
     assert first.document(0).tolist() == [*plain(enc, order[0][1]), packed.END_ID]
     assert packed.read(packed.write(nothing)).count() == 0
+    # files that end early give the same rows
+    many = packed.write(edges, f"file://{tmp_path}/many", block=1000, file_ids=3000, file_docs=2)
+    assert many.count() > manifest.count() and [tuple(r) for r in packed.read(many).orderBy("start").collect()] == want
 
 
 def test_separator_scan(spark, enc, edges, nothing):
@@ -99,6 +102,6 @@ def test_documents_span_blocks(spark, tmp_path):
     (tmp_path / "x.tokens").write_bytes(ids.tobytes())
     (tmp_path / "empty.tokens").write_bytes(b"")
     paths = spark.createDataFrame([(f"file://{tmp_path}/{n}.tokens",) for n in ("x", "empty")], "file string")
-    for block in (2, 4, 6, 1000):
-        rows = separators.count_tokens(paths, end_id=9, block_bytes=block).orderBy("nth").collect()
+    for block, group in ((2, 1), (2, 3), (4, 2), (6, 1024), (1000, 1)):
+        rows = separators.count_tokens(paths, end_id=9, block_bytes=block, group_blocks=group).orderBy("nth").collect()
         assert [(r.nth, r.start, r.n_tokens, r.closed) for r in rows] == [(0, 0, 2, True), (1, 3, 0, True), (2, 4, 7, True), (3, 12, 2, False)]
