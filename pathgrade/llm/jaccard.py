@@ -29,10 +29,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import bpe
-from .common import components, is_small, join_dimension, join_ids, join_uneven, materialize, ship, tidy
+from .common import ROW, components, is_small, join_dimension, join_ids, join_uneven, materialize, packed_rows, ship, tidy, unpacked_rows
 from .prefix_tree import links, needed
 from .shingles import mix, shingle_set, word_hashes
 
@@ -537,12 +536,21 @@ def groups(docs: DataFrame, percent: int = PERCENT, words: int = SHINGLE_WORDS)
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """Of each group one row: of those with the smallest doc_id (null last) the first by its text's digest; rows without a group stay."""
-    digest = F.unhex(F.md5(F.col("text")))
+    whole, names = packed_rows(docs)
+    digest = F.unhex(F.md5("text"))
+    key = lambda t, more="": [F.col(f"{t}doc_id").alias(f"{more}doc_id"), F.col(f"{t}digest").alias(f"{more}digest")]
     found = _members(docs.select("doc_id", "text", digest.alias("digest")), **options)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), F.col("doc_id"), F.col("digest"))).alias("first")
-    kept = found.groupBy(F.coalesce("component", "row").alias("group")).agg(first, F.max("component").isNull().alias("__lone"))
-    kept = kept.select(F.col("first.doc_id").alias("__kept"), F.col("first.digest").alias("__digest"), "__lone").distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")) & digest.eqNullSafe(F.col("__digest")))
-    # of whole rows that repeat one stays, but for those without a group
-    own = Window.partitionBy("__kept", "__digest", F.when(F.col("__lone"), F.monotonically_increasing_id()).otherwise(0)).orderBy("__kept")
-    return out.withColumn("__nth", F.row_number().over(own)).where(F.col("__nth") == 1).select(*docs.columns)
+    kept = found.where("component is not null").groupBy("component").agg(first)
+    kept = materialize(kept.select(*key("first.", "k_"), F.lit(True).alias("kept")), "jaccard-kept")
+    # what goes; and what stays once though its row is repeated. Both are mostly few, and texts then are not shuffled
+    grouped = found.where("component is not null").groupBy("doc_id", "digest").agg(F.count("*").alias("times"))
+    same = F.col("doc_id").eqNullSafe(F.col("k_doc_id")) & F.col("digest").eqNullSafe(F.col("k_digest"))
+    marked = grouped.join(kept, same, "left").where("kept is null or times > 1")
+    marked = materialize(marked.select(*key("", "k_"), F.col("kept").alias("k_kept")), "jaccard-marked")
+    rows = docs.select(whole, "doc_id", digest.alias("digest"))
+    rows = join_ids(rows, marked, same, "left")
+    # one of the repeated rows: a task keeps one of each before the shuffle
+    repeated = rows.where("k_kept").groupBy("doc_id", "digest").agg(F.min_by(ROW, F.xxhash64(ROW)).alias(ROW))
+    unmarked = rows.where(F.col("k_kept").isNull() & F.col("k_digest").isNull())
+    return unpacked_rows(unmarked.select(ROW).unionByName(repeated.select(ROW)), names)
