@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,13 +53,33 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/pathgrade/{name}-{uuid.uuid4().hex}"
 
 
+_scratch: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def only_last_stays(spark: SparkSession) -> Iterator[None]:
+    """Of the tables that are materialized inside, all but the last are deleted at the end. It must need none of them."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        own = _scratch.pop()
+        for path in own[:-1]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if own and _scratch:
+            _scratch[-1].append(own[-1])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import ROW, components, is_small, join_dimension, join_ids, join_uneven, materialize, packed_rows, ship, tidy, unpacked_rows
+from .common import ROW, components, is_small, join_dimension, join_ids, join_uneven, materialize, only_last_stays, packed_rows, ship, tidy, unpacked_rows
 from .prefix_tree import links, needed
 from .shingles import mix, shingle_set, word_hashes
 
@@ -501,8 +501,13 @@ def _linked_classes(docs: DataFrame, reps: DataFrame, frequent, words: int, perc
 
 
 def _members(docs: DataFrame, percent: int = PERCENT, words: int = SHINGLE_WORDS) -> DataFrame:
-    """Of docs (doc_id, text and others) doc_id, n, the others, and component: one of the component's rows, null for a row alone."""
+    """Of docs (doc_id, text and others) doc_id, n, row, the others, and component: one of the component's rows, null for a row alone."""
     ship(docs.sparkSession)
+    with only_last_stays(docs.sparkSession):
+        return _found_members(docs, percent, words)
+
+
+def _found_members(docs: DataFrame, percent: int, words: int) -> DataFrame:
     more = [c for c in docs.columns if c not in ("doc_id", "text")]
     frequent = frequent_shingles(docs, words)
     rows = materialize(describe(docs, frequent, words, percent).withColumn("row", F.monotonically_increasing_id()), "jaccard-rows")

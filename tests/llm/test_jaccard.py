@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -151,3 +152,11 @@ def test_keep_one_by_group_where_ids_repeat_or_are_null(spark):
     assert len(c) == 1 and c[0] in (text("c"), text("c") + " more")
     want = [(1, text("a")), (2, text("b")), (None, c[0]), (3, text("d")), (3, text("e")), (4, ""), (4, ""), (None, None)]
     assert sorted(map(str, kept)) == sorted(map(str, want))
+
+
+def test_intermediate_tables_go(spark):
+    root = common.shared_root(spark).removeprefix("file://") + "/pathgrade"
+    os.makedirs(root, exist_ok=True)
+    before = set(os.listdir(root))
+    assert jaccard.groups(spark.createDataFrame(fixture(), "doc_id long, text string")).count() == len(fixture())
+    assert {n.rsplit("-", 1)[0] for n in set(os.listdir(root)) - before} == {"jaccard-members", "jaccard-smallest"}
