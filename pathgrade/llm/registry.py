@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, licenses, mixing, neighbours, packed, quality, separators, toxicity, warc
+from . import bpe, collocations, jaccard, licenses, mixing, neighbours, packed, quality, separators, toxicity, warc
 from .common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,7 @@ QUERIES: dict[str, Query] = {
     "op8_chunked_records": _query("pages", warc.page_records),
     "op9_mcd_outliers": _query("documents", quality.quality),
     "op10_prefix_tree": _query("documents", jaccard.groups),
+    "op11_rabin_karp_phrases": _query("documents", collocations.collocations),
 }
 
 _BASE32 = " || ".join(
@@ -86,7 +87,28 @@ def _jaccard_sql(words: int = jaccard.SHINGLE_WORDS, percent: int = jaccard.PERC
         SELECT a.doc_id, len(any_value(a.g))::BIGINT AS n_shingles, min(b.doc_id) AS component_id FROM t JOIN s a ON a.r = t.a JOIN s b ON b.r = t.b GROUP BY a.r, a.doc_id"""
 
 
+def _collocations_sql() -> str:
+    """All n-grams counted as text."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+        WITH p AS (SELECT lang, regexp_extract_all(x, '[^\\x20\\x09]+') AS w FROM (
+               SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{letters.upper()}', '{letters}'), '[.,;:!?\\x0A-\\x0D]')) AS x FROM documents)),
+        g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (SELECT unnest(range(1, {collocations.LONGEST + 1})) AS m))),
+        f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= {collocations.LEAST}),
+        n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+        c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2),
+        k AS (SELECT *, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+        s AS (SELECT k.lang, k.phrase, k.a, k.k, x.a AS l, y.a AS r, ((2000000::HUGEINT * k.a) // (x.a + y.a))::BIGINT AS score
+              FROM k JOIN f x ON x.lang = k.lang AND x.phrase = k.x JOIN f y ON y.lang = k.lang AND y.phrase = k.y),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        i AS (SELECT lang, array_to_string(w[i:i + z - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT lang, w, a, z, unnest(range(1, m - z + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS z FROM c)) GROUP BY ALL),
+        t AS (SELECT b.* FROM b LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR 100 * longer::HUGEINT < {collocations.KEPT_PERCENT} * b.a::HUGEINT),
+        o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM t)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= {collocations.MOST}"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_rabin_karp_phrases": _collocations_sql(),
     "op10_prefix_tree": _jaccard_sql(),
     "op5_diagonal_voting": _licenses_sql(),
     "op8_chunked_records": f"""
