@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, collocations, jaccard, licenses, mixing, neighbours, packed, quality, separators, toxicity, warc
+from . import bpe, collocations, jaccard, languages, licenses, mixing, negatives, neighbours, packed, quality, separators, toxicity, warc
 from .common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,8 @@ QUERIES: dict[str, Query] = {
     "op9_mcd_outliers": _query("documents", quality.quality),
     "op10_prefix_tree": _query("documents", jaccard.groups),
     "op11_rabin_karp_phrases": _query("documents", collocations.collocations),
+    "op13_hyperdimensional_profiles": _query("documents", languages.predict),
+    "op12_kronecker_negatives": _query("embeddings", lambda e: negatives.mine(e, negatives.shifted_label())),
 }
 
 _BASE32 = " || ".join(
@@ -107,7 +109,22 @@ def _collocations_sql() -> str:
         SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= {collocations.MOST}"""
 
 
+def _negatives_sql() -> str:
+    """All anchors against all rows."""
+    return f"""
+        WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor({negatives.SCALE} * x::DOUBLE)) AS e FROM embeddings
+               WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.r AS a, a.vec_id AS anchor_id, a.label = b.label AS same, b.r AS b, b.vec_id AS id, list_dot_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+        p AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, id)::INTEGER AS nth FROM s WHERE same QUALIFY nth <= {negatives.POSITIVES}),
+        n AS (SELECT p.anchor_id, p.id AS positive_id, p.nth AS positive_rank, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score,
+                     row_number() OVER (PARTITION BY p.a, p.nth ORDER BY s.score DESC, s.id)::INTEGER AS rank
+              FROM p JOIN s ON s.a = p.a AND NOT s.same AND {negatives.LEAST_PERCENT} * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score, positive_rank FROM n WHERE rank <= {negatives.NEGATIVES}"""
+
+
 ORACLES: dict[str, str] = {
+    "op13_hyperdimensional_profiles": _query("documents", languages.predict),
+    "op12_kronecker_negatives": _negatives_sql(),
     "op11_rabin_karp_phrases": _collocations_sql(),
     "op10_prefix_tree": _jaccard_sql(),
     "op5_diagonal_voting": _licenses_sql(),
