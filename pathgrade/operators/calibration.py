@@ -81,3 +81,8 @@ def disagreement(ratings: DataFrame, group: str = "topic") -> DataFrame:
     """Mean over samples of the raters' deviation, by group and dimension."""
     per = ratings.groupBy(group, "dim", "item").agg(F.stddev_samp("label").alias("sd"))
     return per.groupBy(group, "dim").agg(F.coalesce(F.avg("sd"), F.lit(0.0)).alias("disagreement"))
+
+
+def disagreement_grid(ratings: DataFrame, dims: list[str], group: str = "topic") -> DataFrame:
+    """A row for each group and a column for each dimension; a cell that no rating fills is 0."""
+    return disagreement(ratings, group).groupBy(group).pivot("dim", dims).agg(F.first("disagreement")).fillna(0.0, dims)

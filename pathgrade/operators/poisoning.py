@@ -68,22 +68,3 @@ def label_confidence(labels: DataFrame, classes: int = 4, smoothing: float = 0.1
     votes = labels.where("label is not null").groupBy("item", F.greatest(F.lit(1), F.least(F.lit(classes), F.col("label"))).alias("label")).agg(F.count("*").alias("v"))
     best = votes.groupBy("item").agg(F.max(F.struct("v", (-F.col("label")).alias("l"))).alias("b"), F.sum("v").alias("n"))
     return best.select("item", (-F.col("b.l")).alias("given"), ((F.col("b.v") + smoothing) / (F.col("n") + classes * smoothing)).alias("confidence"))
-
-
-def label_issues(labels: DataFrame, classes: int = 4, smoothing: float = 0.1) -> DataFrame:
-    """Items whose votes make another class confident: item, given, likely (null: no class is confident), issue.
-
-    A class is confident if its smoothed share reaches the mean share of the items that are given it (less a millionth);
-    of several the one with the largest share is likely, the lowest of equals.
-    """
-    kinds = range(1, classes + 1)
-    votes = labels.where("label is not null").groupBy("item").agg(*[F.sum((F.greatest(F.lit(1), F.least(F.lit(classes), F.col("label"))) == k).cast("int")).alias(f"v{k}") for k in kinds])
-    n = sum((F.col(f"v{k}") for k in kinds), F.lit(0))
-    p = votes.select("item", *[((F.col(f"v{k}") + smoothing) / (n + classes * smoothing)).alias(f"p{k}") for k in kinds])
-    shares = F.array(*[F.col(f"p{k}") for k in kinds])
-    p = p.withColumn("given", F.array_position(shares, F.array_max(shares)).cast("int"))
-    limits = p.agg(*[F.avg(F.when(F.col("given") == k, F.col(f"p{k}"))).alias(f"t{k}") for k in kinds])
-    j = p.crossJoin(F.broadcast(limits))  # one row
-    over = [F.when(F.col(f"p{k}") >= F.col(f"t{k}") - 1e-6, F.struct(F.col(f"p{k}").alias("p"), F.lit(-k).alias("k"))) for k in kinds]
-    j = j.withColumn("likely", -F.array_max(F.array(*over))["k"])
-    return j.select("item", "given", "likely", F.coalesce(F.col("likely") != F.col("given"), F.lit(False)).alias("issue"))

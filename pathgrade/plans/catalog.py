@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from .. import constants as K
 from ..functions import text as T
-from ..operators import agreement, calibration, dataset, experiment, leaderboard, metrics, poisoning, policy, privacy, rewards, trajectory, triggers
+from ..operators import agreement, calibration, dataset, experiment, labelnoise, leaderboard, metrics, poisoning, policy, privacy, rewards, trajectory, triggers
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -486,16 +486,58 @@ def label_self_confidence(spark, d):
 
 
 _SHARES = "[" + ", ".join(f"p{k}" for k in range(1, 5)) + "]"
-_ISSUES = f"""f_votes AS (SELECT item, {', '.join(f"sum(CASE WHEN label = {k} THEN 1 ELSE 0 END) AS v{k}" for k in range(1, 5))} FROM f_gaps WHERE label IS NOT NULL GROUP BY item),
-    f_shares AS (SELECT item, {', '.join(f"(v{k} + 0.1e0) / (v1 + v2 + v3 + v4 + 0.4e0) AS p{k}" for k in range(1, 5))} FROM f_votes),
-    f_given AS (SELECT *, list_position({_SHARES}, list_max({_SHARES})) AS given FROM f_shares),
-    f_likely AS (SELECT item, given, list_max([{', '.join(f"CASE WHEN p{k} >= t{k} - 1e-6 THEN {{'p': p{k}, 'k': -{k}}} END" for k in range(1, 5))}]) AS best
-                 FROM f_given, (SELECT {', '.join(f"avg(p{k}) FILTER (given = {k}) AS t{k}" for k in range(1, 5))} FROM f_given))"""
+_KINDS = range(1, 5)
+_PS = f"[{', '.join(f'p{k}' for k in _KINDS)}]"
 
 
-@query("label_issue_mask", "SELECT item, given, -best.k AS likely, coalesce(-best.k <> given, false) AS issue FROM f_likely", (V.ANNOTATIONS, GAPS, _ISSUES))
+def noise_sql(source: str) -> str:
+    """Confident learning from the definition, on rows (dim, item, given, p1 to p4): f_issues."""
+    sure = ", ".join(f"CASE WHEN p{k} >= greatest(t{k}, 2e-6) - 1e-6 THEN {k} END" for k in _KINDS)
+    whole = lambda x, row, column: f"""round_even({x}, 0) + CASE WHEN row_number() OVER (PARTITION BY {row} ORDER BY {x} - round_even({x}, 0) DESC, {column} DESC) <= abs(off) THEN sign(off) ELSE 0 END"""
+    off = lambda x, row: f"round_even(sum({x}) OVER (PARTITION BY {row}), 0) - sum(round_even({x}, 0)) OVER (PARTITION BY {row}) AS off"
+    return f"""f_sure AS (SELECT s.*, list_filter([{sure}], lambda k: k IS NOT NULL) AS sure FROM {source} s JOIN (SELECT dim, {', '.join(f"avg(p{k}) FILTER (given = {k}) AS t{k}" for k in _KINDS)} FROM {source} GROUP BY dim) USING (dim)),
+    f_guess AS (SELECT *, CASE WHEN len(sure) > 1 THEN list_position({_PS}, list_max({_PS})) ELSE sure[1] END::INTEGER AS likely FROM f_sure),
+    f_cells AS (SELECT dim, given::INTEGER AS given, likely::INTEGER AS likely FROM (SELECT DISTINCT dim FROM {source}), (SELECT unnest(range(1, 5)) AS given), (SELECT unnest(range(1, 5)) AS likely)),
+    f_joint AS (SELECT c.dim, c.given, c.likely, greatest(count(g.item), CASE WHEN c.given = c.likely THEN 1 ELSE 0 END) AS n FROM f_cells c LEFT JOIN f_guess g ON g.dim = c.dim AND g.given = c.given AND g.likely = c.likely GROUP BY c.dim, c.given, c.likely),
+    f_scaled AS (SELECT *, {off("x", "dim, given")} FROM (SELECT j.*, n / sum(n) OVER (PARTITION BY dim, given)::DOUBLE * coalesce(size, 0) AS x FROM f_joint j LEFT JOIN (SELECT dim, given, count(*) AS size FROM {source} GROUP BY ALL) USING (dim, given))),
+    f_whole AS (SELECT dim, given, likely, {whole("x", "dim, given", "likely")} AS n FROM f_scaled),
+    f_kept AS (SELECT *, {off("x", "dim, likely")} FROM (SELECT *, CASE WHEN given = likely THEN greatest(n, 1e0) ELSE greatest(0e0, n - max(CASE WHEN given = likely THEN greatest(1 - n, 0e0) END) OVER w / greatest(sum(CASE WHEN n <> 0 THEN 1 ELSE 0 END) OVER w - 1, 1)) END AS x FROM f_whole WINDOW w AS (PARTITION BY dim, given))),
+    f_prune AS (SELECT dim, given, likely, {whole("x", "dim, likely", "given")} AS n FROM f_kept),
+    f_margin AS (SELECT g.dim, g.item, g.given, p.likely, p.n::BIGINT AS n, {_PS}[p.likely] - {_PS}[g.given] AS margin, count(*) OVER (PARTITION BY g.dim, g.given, p.likely) AS size FROM f_guess g JOIN f_prune p ON p.dim = g.dim AND p.given = g.given AND p.likely <> p.given AND p.n > 0),
+    f_cut AS (SELECT dim, given, likely, list_sort(list(margin), 'DESC')[least(any_value(n), count(*))] AS least FROM f_margin WHERE size > 1 GROUP BY dim, given, likely),
+    f_pruned AS (SELECT DISTINCT dim, item FROM f_margin JOIN f_cut USING (dim, given, likely) WHERE margin >= least),
+    f_issues AS (SELECT g.*, p.item IS NOT NULL AS pruned FROM f_guess g LEFT JOIN f_pruned p ON p.dim = g.dim AND p.item = g.item)"""
+
+
+_VOTES = f"""f_votes AS (SELECT dim, item, {', '.join(f"sum(CASE WHEN label = {k} THEN 1 ELSE 0 END) AS v{k}" for k in _KINDS)} FROM f_gaps WHERE label IS NOT NULL GROUP BY dim, item),
+    f_shares AS (SELECT dim, item, {', '.join(f"(v{k} + 0.1e0) / (v1 + v2 + v3 + v4 + 0.4e0) AS p{k}" for k in _KINDS)}, list_position([v1, v2, v3, v4], greatest(v1, v2, v3, v4))::INTEGER AS given FROM f_votes)"""
+
+
+@query(
+    "label_issue_mask",
+    f"SELECT dim, item, given, likely, pruned, pruned AND {_PS}[given] + 1e-6 < list_max({_PS}) AS issue FROM f_issues",
+    (V.ANNOTATIONS, GAPS, _VOTES, noise_sql("f_shares")),
+)
 def label_issue_mask(spark, d):
-    return poisoning.label_issues(labels(spark, d, False))
+    """By dimension: items that the noise rates of the raters' votes prune. The given class is the most voted one, so none stays an issue."""
+    rows = labelnoise.probabilities(labels(spark, d, False), by=("dim",))
+    return labelnoise.noise_rate_issues(rows, by=("dim",))
+
+
+_FIRST = f"""f_first AS (SELECT s.dim, s.item, g.label AS given, {', '.join(f"p{k}" for k in _KINDS)} FROM f_shares s JOIN (SELECT dim, item, label FROM f_gaps WHERE rater = '{K.RATERS[0]}' AND label IS NOT NULL) g USING (dim, item))"""
+
+
+@query(
+    "rater_label_issues",
+    f"SELECT dim, item, given, likely, pruned, pruned AND {_PS}[given] + 1e-6 < list_max({_PS}) AS issue FROM f_issues",
+    (V.ANNOTATIONS, GAPS, _VOTES, _FIRST, noise_sql("f_first")),
+)
+def rater_label_issues(spark, d):
+    """One rater's labels against what the panel's votes make probable: those that the noise rates say are wrong."""
+    rows = labels(spark, d, False)
+    given = rows.where((F.col("rater") == K.RATERS[0]) & F.col("label").isNotNull()).select("dim", "item", F.col("label").alias("given"))
+    panel = labelnoise.probabilities(rows, by=("dim",)).drop("given")
+    return labelnoise.noise_rate_issues(panel.join(given, ["dim", "item"]), by=("dim",))
 
 
 @query(
@@ -616,7 +658,9 @@ def _has_sql(text: str, words) -> str:
     return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
 
 
-_TRIGGER = f"""f_trigger AS (SELECT event_id, traj, most, kind, domain FROM (SELECT *,
+def trigger_sql(frame: str, source: str, output: str) -> str:
+    """The four checks of each step; the most severe one that fires, the first of equals."""
+    return f"""{frame} AS (SELECT * FROM (SELECT *,
       greatest(coalesce(s1, -1), coalesce(s2, -1), coalesce(s3, -1), coalesce(s4, -1)) AS most,
       CASE greatest(coalesce(s1, -1), coalesce(s2, -1), coalesce(s3, -1), coalesce(s4, -1)) WHEN -1 THEN NULL WHEN s1 THEN '{K.TRIGGERS[0]}' WHEN s2 THEN '{K.TRIGGERS[1]}' WHEN s3 THEN '{K.TRIGGERS[2]}' WHEN s4 THEN '{K.TRIGGERS[3]}' END AS kind
     FROM (SELECT *, CASE WHEN domain IN ('medical', 'legal') THEN 2 WHEN domain IS NOT NULL THEN 1 END AS s4 FROM (
@@ -624,13 +668,16 @@ _TRIGGER = f"""f_trigger AS (SELECT event_id, traj, most, kind, domain FROM (SEL
         CASE WHEN {_has_sql('action', K.SAFETY_KEYWORDS)} THEN CASE WHEN {_has_sql('action', K.CRITICAL_SAFETY)} THEN 3 WHEN {_has_sql('action', K.HIGH_SAFETY)} THEN 2 ELSE 1 END END AS s2,
         CASE WHEN action <> '' AND action NOT IN ({names_sql(K.KNOWN_TOOLS)}) THEN 1 END AS s3,
         CASE WHEN {_has_sql('said', K.DOMAIN_KEYWORDS['medical'])} THEN 'medical' WHEN {_has_sql('said', K.DOMAIN_KEYWORDS['legal'])} THEN 'legal' WHEN {_has_sql('said', K.DOMAIN_KEYWORDS['financial'])} THEN 'financial' END AS domain
-      FROM (SELECT *, action || ' ' || output AS said FROM (SELECT *, CASE event_id % 7 WHEN 0 THEN 'bpm high' WHEN 1 THEN 'audit due' WHEN 2 THEN 'payment ok' ELSE 'fine' END AS output FROM f_steps))))))"""
+      FROM (SELECT *, action || ' ' || lower({output}) AS said FROM {source})))))"""
+
+
+#: What a step put out: a domain's words now and then.
+OUTPUT = "CASE event_id % 7 WHEN 0 THEN 'bpm high' WHEN 1 THEN 'audit due' WHEN 2 THEN 'payment ok' ELSE 'fine' END"
+_TRIGGER = trigger_sql("f_trigger", "f_steps", OUTPUT)
 
 
 def triggered(spark: SparkSession, d: str) -> DataFrame:
-    m = F.col("event_id") % 7
-    s = V.steps(spark, d).withColumn("output", F.when(m == 0, "bpm high").when(m == 1, "audit due").when(m == 2, "payment ok").otherwise("fine"))
-    return triggers.with_trigger(s, output="output")
+    return triggers.with_trigger(V.steps(spark, d).withColumn("output", F.expr(OUTPUT)), output="output")
 
 
 @query(

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
-from ..operators import agreement, calibration, dataset, facts, frameworks, metrics, policy, trajectory, triggers, validity
+from ..operators import agreement, calibration, casefile, dataset, facts, frameworks, metrics, policy, trajectory, triggers, validity
 from . import views as V
-from .catalog import _CALIBRATED, _COMBINED, _LAYERED, GAPS, LABELS, LAYERS, MSTEPS, MULTI, REWARDS, alpha_sql, anchor_gold, cohen_sql, combined, fleiss_sql, labels, names_sql, query, r9, rewarded, scored
+from .catalog import _CALIBRATED, _COMBINED, _LAYERED, GAPS, OUTPUT, LABELS, LAYERS, MSTEPS, MULTI, REWARDS, alpha_sql, anchor_gold, cohen_sql, combined, fleiss_sql, labels, names_sql, query, r9, rewarded, scored, trigger_sql
 
 # --- framework runs ----------------------------------------------------------------------------------------------
 
@@ -158,14 +158,13 @@ def preference_summary(spark, d):
 
 _PIA_DIMS = {"step_quality": "planning", "goal_alignment": "goal", "error_recovery": "recovery"}
 _PIA_LONG = f"""f_pialong AS (SELECT split_part(traj, ':', 1) AS pair, traj AS item, rater, {_case("dim", _PIA_DIMS)} AS dim, score AS label FROM f_ann
-      WHERE dim IN ({names_sql(_PIA_DIMS)}) AND NOT (dim = 'error_recovery' AND {V.number_sql("traj", "'er'")} % 2 = 0)),
+      WHERE dim IN ({names_sql(_PIA_DIMS)})),
     f_pairdim AS (SELECT pair || '|' || dim AS dim, item, rater, label FROM f_pialong)"""
 
 
 def pia_labels(spark: SparkSession, d: str) -> DataFrame:
-    """pair, dim, item, rater, label: a user's days as the agents of a pair; half of them have no recovery to rate."""
+    """pair, dim, item, rater, label: a user's days as the agents of a pair."""
     rows = V.annotations(spark, d).where(F.col("dim").isin(*_PIA_DIMS))
-    rows = rows.where(~((F.col("dim") == "error_recovery") & (V.number(F.col("traj"), "er") % 2 == 0)))
     name = F.create_map(*[F.lit(x) for kv in _PIA_DIMS.items() for x in kv])[F.col("dim")]
     return rows.select(F.split_part("traj", F.lit(":"), F.lit(1)).alias("pair"), F.col("traj").alias("item"), "rater", name.alias("dim"), F.col("score").alias("label"))
 
@@ -352,33 +351,42 @@ def semantic_agreement(spark, d):
 # --- a log's whole case, routes, places, phases --------------------------------------------------------------------
 
 
+#: What a step saw, as sentences: its event, its level, what it put out.
+SAW = f"event_type || ' . level' || cast(floor(confidence * 10) AS int) || ' . ' || {OUTPUT}"
+_CASE_STEPS = f"f_casesteps AS (SELECT * REPLACE ({SAW} AS observation) FROM f_steps)"
+_CASE = """f_case AS (
+    SELECT traj, len(list_filter(s, lambda x: len(list_intersect(regexp_split_to_array(lower(x), '\\s+'), w)) > 0)) / len(s)::DOUBLE AS search, fired, critical, safety, first_step, first_type FROM (
+      SELECT traj, list_filter(list_transform(regexp_split_to_array(arg_max(observation, step_index), '[.!?]'), lambda x: trim(x)), lambda x: length(x) > 0) AS s,
+        list_filter(regexp_split_to_array(lower(coalesce(string_agg(observation, ' ') FILTER (step_index < n_steps - 1), any_value(observation))), '\\s+'), lambda x: x <> '') AS w,
+        count(kind) AS fired, count(*) FILTER (kind IS NOT NULL AND most = 3) AS critical, count(*) FILTER (kind = 'safety_adjacent_action') AS safety,
+        min(step_index) FILTER (kind IS NOT NULL)::INTEGER AS first_step, arg_min(kind, step_index) FILTER (kind IS NOT NULL) AS first_type
+      FROM f_casetrigger GROUP BY traj))"""
+
+
 @query(
     "case_file",
-    """SELECT traj, scenario, consent, blocked, round(facts, 9) AS facts, round(total, 9) AS quality, round(tool, 9) AS tool, round(success, 9) AS success, leak, triggers > 0 AS triggered, triggers, first_trigger FROM (
-         SELECT c.*, i.consent, i.consent = 'revoked' OR (c.scenario = 'privacy_sensitive' AND i.consent = 'ambient') AS blocked,
-           (0.70e0 + CASE WHEN len(s) = 0 THEN 1e0 ELSE len(list_filter(s, lambda x: len(list_intersect(regexp_split_to_array(lower(x), '\\s+'), words)) > 0)) / len(s)::DOUBLE END + 0.75e0) / 3 AS facts, triggers, first_trigger
-         FROM f_combined c JOIN f_items i USING (traj) JOIN (
-           SELECT traj, list_filter(list_transform(regexp_split_to_array(arg_max(observation, step_index), '[.!?]'), lambda x: trim(x)), lambda x: length(x) > 0) AS s,
-             list_distinct(list_filter(regexp_split_to_array(lower(string_agg(event_type || ' ' || observation, ' ' ORDER BY step_index)), '\\s+'), lambda w: w <> '')) AS words,
-             sum(CASE WHEN confidence < 0.7 OR action NOT IN ('', 'log', 'escalate_to_emergency') THEN 1 ELSE 0 END)::BIGINT AS triggers,
-             min(CASE WHEN confidence < 0.7 OR action NOT IN ('', 'log', 'escalate_to_emergency') THEN step_index END) AS first_trigger
-           FROM (SELECT * REPLACE (CASE WHEN action = 'escalate_to_emergency' THEN 'log_and_monitor' ELSE action END AS action) FROM f_steps) GROUP BY traj) USING (traj))""",
-    (*_LAYERED, V.ITEMS, MSTEPS, _COMBINED),
+    """SELECT traj, scenario, i.consent, i.consent = 'revoked' OR (c.scenario = 'privacy_sensitive' AND i.consent = 'ambient') AS blocked,
+         CASE WHEN i.consent = 'revoked' THEN 'revoked' WHEN i.consent = 'ambient' THEN CASE WHEN c.scenario = 'privacy_sensitive' THEN 'ambient consent in a private setting' ELSE 'ambient: less trust' END ELSE 'consent: ' || i.consent END AS reason,
+         round(search, 9) AS search, round((0.70e0 + search + 0.75e0) / 3, 9) AS facts, round(total, 9) AS quality, round(tool, 9) AS tool, round(success, 9) AS success, leak,
+         fired > 0 AS triggered, fired::INTEGER AS triggers, critical::INTEGER AS critical, safety::INTEGER AS safety, first_step, first_type
+       FROM f_combined c JOIN (SELECT traj, consent FROM f_items) i USING (traj) JOIN f_case USING (traj)""",
+    (*_LAYERED, V.ITEMS, MSTEPS, _COMBINED, _CASE_STEPS, trigger_sql("f_casetrigger", "f_casesteps", "observation"), _CASE),
 )
 def case_file(spark, d):
-    """Gate, grounding of the last observation in all that was seen, review triggers and scores, a row for each log."""
-    s = V.steps(spark, d)
-    shown = triggers.with_trigger(s.withColumn("action", F.when(F.col("action") == K.ESCALATION, "log_and_monitor").otherwise(F.col("action"))))
-    seen = shown.groupBy("traj").agg(
-        F.max_by("observation", "step_index").alias("last"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step_index", F.concat_ws(" ", "event_type", "observation").alias("t")))), lambda x: x["t"]), " ").alias("all"),
-        F.count("trigger_type").alias("triggers"),
-        F.min(F.when(F.col("trigger_type").isNotNull(), F.col("step_index"))).alias("first_trigger"),
+    """Gate, grounding of the last observation in those before it, review triggers and scores, a row for each log."""
+    seen = V.steps(spark, d).withColumn("observation", F.expr(SAW))
+    logs = combined(spark, d).join(V.items(spark, d).select("traj", "consent"), "traj")
+    rows = casefile.case_files(seen, logs, ["traj"])
+    of = lambda ok: F.size(F.filter("fired", ok))
+    out = rows.select(
+        *["traj", "scenario", "consent", "blocked", "reason", F.col("facts.search").alias("search"), F.col("facts.overall").alias("facts"), F.col("total").alias("quality"), "tool", "success", "leak"],
+        *[F.col("hitl_triggered").alias("triggered"), F.col("hitl_count").alias("triggers")],
+        of(lambda x: x["severity"] == "critical").alias("critical"),
+        of(lambda x: x["trigger_type"] == K.TRIGGERS[1]).alias("safety"),
+        F.get("fired", F.lit(0))["step_index"].alias("first_step"),
+        F.get("fired", F.lit(0))["trigger_type"].alias("first_type"),
     )
-    rows = combined(spark, d).join(V.items(spark, d).select("traj", "consent"), "traj").join(seen, "traj")
-    facts_score = metrics.facts(F.col("last"), T.word_set(F.col("all")))
-    out = rows.select("traj", "scenario", "consent", policy.capture_gate()["blocked"].alias("blocked"), facts_score.alias("facts"), F.col("total").alias("quality"), "tool", "success", "leak", (F.col("triggers") > 0).alias("triggered"), "triggers", "first_trigger")
-    return r9(out, "facts", "quality", "tool", "success")
+    return r9(out, "search", "facts", "quality", "tool", "success")
 
 
 @query(
@@ -408,15 +416,13 @@ def worst_scenario(spark, d):
 @query(
     "disagreement_grid",
     f"""SELECT topic, {', '.join(f"round(coalesce(max(CASE WHEN dim = '{x}' THEN m END), 0e0), 9) AS {x}" for x in K.DIMENSIONS)} FROM (
-          SELECT topic, dim, coalesce(avg(sd), 0e0) AS m FROM (SELECT f_items.scenario AS topic, dim, item, stddev_samp(label) AS sd FROM f_gaps JOIN f_items ON traj = item WHERE NOT (scenario = 'ambient_noise' AND dim = 'goal_alignment') GROUP BY ALL) GROUP BY ALL) GROUP BY topic""",
+          SELECT topic, dim, coalesce(avg(sd), 0e0) AS m FROM (SELECT f_items.scenario AS topic, dim, item, stddev_samp(label) AS sd FROM f_gaps JOIN f_items ON traj = item GROUP BY ALL) GROUP BY ALL) GROUP BY topic""",
     (V.ANNOTATIONS, GAPS, V.ITEMS),
 )
 def disagreement_grid(spark, d):
     """A topic by dimension grid; a cell that no rating fills is 0."""
     rows = labels(spark, d, False).join(V.items(spark, d).select(F.col("traj").alias("item"), F.col("scenario").alias("topic")), "item")
-    rows = rows.where(~((F.col("topic") == "ambient_noise") & (F.col("dim") == "goal_alignment")))
-    grid = calibration.disagreement(rows).groupBy("topic").pivot("dim", list(K.DIMENSIONS)).agg(F.first("disagreement")).fillna(0.0)
-    return r9(grid, *K.DIMENSIONS)
+    return r9(calibration.disagreement_grid(rows, list(K.DIMENSIONS)), *K.DIMENSIONS)
 
 
 @query(

@@ -48,15 +48,6 @@ def test_curve_and_area(spark):
     assert at[0.0] == (1.0, 1.0) and at[1.0] == (0.0, 0.0) and at[0.9] == (0.5, pytest.approx(1 / 3)) and at[0.5][0] == 1.0
 
 
-def test_issues_need_another_confident_class(spark):
-    rows = [("a", r, 1) for r in "12345"] + [("b", r, 2) for r in "12345"] + [("c", r, 1 if r in "123" else 2) for r in "12345"] + [("d", "1", None)]
-    got = {r.item: (r.given, r.likely, r.issue) for r in poisoning.label_issues(spark.createDataFrame(rows, "item string, rater string, label int")).collect()}
-    assert got == {"a": (1, 1, False), "b": (2, 2, False), "c": (1, None, False)}
-    rows += [("e", "1", 2), ("e", "2", 1), ("e", "3", 3), ("e", "4", 4)] + [("f", "1", 4)]
-    got = {r.item: r.issue for r in poisoning.label_issues(spark.createDataFrame(rows, "item string, rater string, label int")).collect()}
-    assert set(got) == set("abcef")
-
-
 def test_leaks_of_steps(spark):
     steps = spark.createDataFrame([("t", 0, 2, "", "mail me: a.b@example.com"), ("t", 1, 2, "send_alert", None), ("u", 0, 1, "send_alert", "calm")], "traj string, step_index int, n_steps int, action string, observation string")
     got = {r.traj: (r.success, r.tool, r.leak) for r in metrics.success_and_tools(metrics.metric_steps(steps, F.lit("send_alert")), ["traj"], leak_in="observation").collect()}

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from pathgrade.plans import catalog, extras  # noqa: F401
+from pathgrade.plans import catalog, extras, integrity  # noqa: F401  these add to the catalog
 from tests.session import local_session
 from tools.compare import TABLES, compare
 
