@@ -1,10 +1,9 @@
-"""Text functions: leaks, overlaps, topics, what models answer."""
+"""Text functions: leaks, overlaps, topics, places, numbers as text."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as S
 
 from .. import constants as K
 
@@ -40,31 +39,18 @@ def keywords_in(text: Column, words: Column) -> Column:
     return F.filter(words, lambda w: low.contains(w))
 
 
-def answer_json(text: Column, schema: S.StructType) -> Column:
-    """The object in a model's answer: the whole text, else a fenced block, else the first flat braces."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    flat = F.regexp_extract(text, r"(\{[^{}]*\})", 1)
-    first = schema.fields[0].name
-    tries = [F.from_json(F.when(t.startswith("{"), t), schema) for t in (F.trim(text), fenced, flat)]
-    return F.coalesce(*[F.when(t[first].isNotNull(), t) for t in tries])
-
-
-def parsed_score(raw: Column) -> Column:
-    """What is no number counts as 2; then 1 to 4."""
-    return F.greatest(F.lit(1), F.least(F.lit(4), F.coalesce(raw.try_cast("int"), F.lit(2))))
-
-
-def padded_rationale(text: Column, least: int = 40) -> Column:
-    text = F.coalesce(text, F.lit(""))
-    return F.when(F.length(text) < least, F.rpad(text, least, ".")).otherwise(text)
-
-
 def valid_place(lat: Column, lon: Column) -> Column:
     """A place on earth that is not the null island."""
     bad = F.isnan(lat) | F.isnan(lon) | (F.abs(lat) > 90) | (F.abs(lon) > 180) | ((lat == 0) & (lon == 0))
     return lat.isNotNull() & lon.isNotNull() & ~bad
 
 
+def place_or(lat: Column, lon: Column, other_lat: Column, other_lon: Column) -> Column:
+    """lat, lon, kept: the place if it is valid, else the other one (a scenario's centre)."""
+    ok = valid_place(lat, lon)
+    return F.struct(F.when(ok, lat).otherwise(other_lat).alias("lat"), F.when(ok, lon).otherwise(other_lon).alias("lon"), ok.alias("kept"))
+
+
 def outcome_name(action: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in K.OUTCOMES.items() for x in kv])[action]
 
@@ -75,10 +61,6 @@ def thresholds(spec: Column) -> Column:
     return F.transform_values(pairs, lambda _, v: F.trim(v).cast("double"))
 
 
-def rating_to_reward(v: Column) -> Column:
-    return (v - 4) / 4
-
-
 def four_digits(x: Column) -> Column:
     """A number in four significant digits, ties to even, without zeros at the end."""
     x = x.cast("double")

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..annotation_schema import annotation
-from ..operators import neardup, schema_rules
+from ..functions import answers
+from ..functions import text as T
+from ..operators import neardup, poisoning, privacy, quarantine, schema_rules
 from . import views as V
-from .catalog import names_sql, query
+from .catalog import _COMBINED, _LAYERED, _SUSPICION, INJECTED, LABELS, MSTEPS, injected, query, r9
 
 # --- near copies -------------------------------------------------------------------------------------------------
 
@@ -110,3 +112,179 @@ def annotation_violations(spark, d):
 )
 def violation_counts(spark, d):
     return schema_rules.violation_counts(annotation_records(spark, d), annotation(REF))
+
+
+# --- what models answer ------------------------------------------------------------------------------------------
+
+#: An answer's JSON, and how it is told; of the last three one is cut off, one is a list, one has an object within.
+_SAID = "trim(substring(regexp_replace(text, '[^A-Za-z ]', ''), 1, length(text) % 60))"
+_JSON = f"""'{{"step_quality": ' || n % 7 || ', "privacy_compliance": "' || n % 5 || '", "goal_alignment": ' || n % 4 || '.5, "error_recovery": null, "rationale": " ' || {_SAID} || '"}}'"""
+
+
+def model_answers(spark: SparkSession, d: str) -> DataFrame:
+    """conv_id, turn, answer: assistants' turns as what a judging model might say about them."""
+    rows = V.read(spark, d, "conversations").where("role = 'assistant' and text is not null").withColumn("n", F.length("text")).withColumn("json", F.expr(_JSON))
+    json = F.col("json")
+    told = [
+        F.concat(F.lit("  "), json, F.lit("\n")),
+        F.concat(F.lit("Sure:\n```json\n"), json, F.lit("\n```\nDone.")),
+        F.concat(F.lit("I think "), json, F.lit(" is right.")),
+        F.substring(json, 1, 30),
+        F.lit("[1, 2]"),
+        F.lit('So:\n```\n{"step_quality": 9, "x": {"y": 1}, "rationale": true}\n```'),
+    ]
+    return rows.select("conv_id", "turn", F.element_at(F.array(*told), F.col("n") % 6 + 1).alias("answer"))
+
+
+_CUT = "greatest(1, least(4, {}))"
+
+
+@query(
+    "model_answers",
+    f"""SELECT conv_id, turn, CASE k WHEN 0 THEN 'whole' WHEN 1 THEN 'block' WHEN 2 THEN 'braces' WHEN 4 THEN 'whole' WHEN 5 THEN 'block' END AS found,
+          CASE WHEN k < 3 THEN {_CUT.format('n % 7')} WHEN k = 5 THEN 4 END::INTEGER AS step_quality, CASE WHEN k < 3 THEN {_CUT.format('n % 5')} WHEN k = 5 THEN 2 END::INTEGER AS privacy_compliance,
+          CASE WHEN k < 3 THEN {_CUT.format('n % 4')} WHEN k = 5 THEN 2 END::INTEGER AS goal_alignment, CASE WHEN k IN (0, 1, 2, 5) THEN 2 END::INTEGER AS error_recovery,
+          CASE WHEN k < 3 THEN CASE WHEN length(said) < 40 THEN rpad(said, 40, '.') ELSE said END WHEN k = 5 THEN rpad('True', 40, '.') END AS rationale,
+          CASE k WHEN 3 THEN 'no JSON object' WHEN 4 THEN 'not an object' END AS error,
+          CASE WHEN k < 3 THEN (n % 7 - 4) / 4e0 END AS reward, CASE WHEN k < 3 THEN least(1, n % 4 + 0.5e0) ELSE 0.7e0 END AS goal, CASE WHEN k < 3 THEN (least(1, n % 7) + least(1, n % 4 + 0.5e0)) / 2 ELSE 0.7e0 END AS ensemble
+        FROM (SELECT conv_id, turn, length(text) AS n, length(text) % 6 AS k, trim(substring(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, length(text) % 60)) AS said FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)""",
+)
+def model_answers_query(spark, d):
+    """Scores, rationale, reward and the judge's mean from answers in which the object must be found first."""
+    value = answers.answer(F.col("answer"))["value"]
+    rows = model_answers(spark, d).select("conv_id", "turn", answers.scored(F.col("answer"), K.DIMENSIONS).alias("s"), answers.reward(value, "step_quality").alias("reward"), answers.judged(value, ("step_quality", "goal_alignment"), K.JUDGE_OFFLINE).alias("j"))
+    return rows.select("conv_id", "turn", "s.*", "reward", F.col("j.goal_alignment").alias("goal"), "j.ensemble")
+
+
+# --- logs that fail ----------------------------------------------------------------------------------------------
+
+
+def raw_logs(spark: SparkSession, d: str) -> DataFrame:
+    """log_id, record: trajectories as JSON; some are cut off, some have no step, some a confidence over 1."""
+    odd = F.col("user_id") % 10
+    s = V.steps(spark, d).withColumn("confidence", F.when((odd == 2) & (F.col("step_index") == 0), 1.5).otherwise(F.col("confidence")))
+    step = F.struct("step_index", "action", "observation", "confidence")
+    rows = s.groupBy("traj", "user_id", "scenario", "consent").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    log = F.struct(F.col("scenario").alias("scenario_type"), F.col("consent").alias("consent_model"), V.pick(K.ACTIONS, V.number(F.col("traj"), "gt") % 8).alias("ground_truth_action"), F.when(odd == 3, F.array()).otherwise(F.col("steps")).alias("trajectory"))
+    text = F.to_json(log)
+    return rows.select(F.col("traj").alias("log_id"), F.when(odd == 1, F.left(text, F.length(text) - 5)).otherwise(text).alias("record"))
+
+
+_ERRORS = f"""f_errors AS (SELECT *, CASE WHEN cut THEN 'parse' WHEN strange OR high OR bare THEN 'schema' END AS stage, CASE WHEN cut THEN '$' WHEN strange THEN '$.scenario_type' WHEN high THEN '$.trajectory[0].confidence' WHEN bare THEN '$.trajectory' END AS path,
+      CASE WHEN cut THEN 'json' WHEN strange THEN 'enum' WHEN high THEN 'maximum' WHEN bare THEN 'minItems' END AS rule, CASE WHEN cut THEN 1 WHEN strange OR high OR bare THEN strange::INTEGER + high::INTEGER + bare::INTEGER END AS problems
+    FROM (SELECT *, user_id % 10 = 1 AS cut, scenario = '{V.OTHER}' AS strange, user_id % 10 = 2 AS high, user_id % 10 = 3 AS bare FROM f_combined))"""
+_FAILING = (*_LAYERED, MSTEPS, _COMBINED, _ERRORS)
+
+
+@query(
+    "log_scores",
+    "SELECT traj AS log_id, "
+    + ", ".join(f"CASE WHEN stage IS NULL THEN {x} END AS {n}" for n, x in (("n", "n"), ("success", "round(success, 9)"), ("tool", "round(tool, 9)"), ("leak", "leak"), ("intent", "intent"), ("planning", "planning"), ("tool_calls", "round(tool_calls, 9)"), ("recovery", "round(recovery, 9)"), ("outcome", "outcome"), ("total", "round(total, 9)"), ("overall", "round(overall, 9)")))
+    + ", stage, path, rule, problems FROM f_errors",
+    _FAILING,
+)
+def log_scores(spark, d):
+    """A row for each raw log: its scores, or why it has none."""
+    rows = quarantine.evaluated(raw_logs(spark, d))
+    rows = rows.select("log_id", *quarantine.SCORES, *[F.col(f"error.{c}").alias(c) for c in ("stage", "path", "rule")], F.col("error.n").alias("problems"))
+    return r9(rows, "success", "tool", "tool_calls", "recovery", "total", "overall")
+
+
+@query("log_errors", "SELECT stage, regexp_replace(path, '\\[\\d+\\]', '[]') AS path, rule, count(*) AS n FROM f_errors WHERE stage IS NOT NULL GROUP BY ALL", _FAILING)
+def log_errors(spark, d):
+    return quarantine.error_counts(quarantine.examined(raw_logs(spark, d)))
+
+
+# --- raters that are injected, and the curve of finding them ---------------------------------------------------------
+
+_SWEEP = f"""f_sweep AS (SELECT k * (1.01e0 / 499) AS threshold, coalesce(count(*) FILTER (bot AND suspicion >= k * (1.01e0 / 499)) / nullif(count(*) FILTER (bot), 0)::DOUBLE, 0) AS tpr, coalesce(count(*) FILTER (NOT bot AND suspicion >= k * (1.01e0 / 499)) / nullif(count(*) FILTER (NOT bot), 0)::DOUBLE, 0) AS fpr
+    FROM (SELECT unnest(range(500)) AS k), (SELECT suspicion, rater LIKE 'bot%' AS bot FROM {_SUSPICION.format('f_injected')}) GROUP BY k)"""
+
+
+def sweep(spark: SparkSession, d: str) -> DataFrame:
+    return poisoning.sweep(poisoning.suspicion(injected(spark, d)).withColumn("bot", F.col("rater").startswith("bot").cast("int")), "suspicion", "bot")
+
+
+@query("detection_sweep", "SELECT round(threshold, 9) AS threshold, round(tpr, 9) AS tpr, round(fpr, 9) AS fpr FROM f_sweep", (V.ANNOTATIONS, LABELS, INJECTED, _SWEEP))
+def detection_sweep(spark, d):
+    """500 thresholds over the raters' suspicion."""
+    return r9(sweep(spark, d), "threshold", "tpr", "fpr")
+
+
+@query(
+    "detection_area",
+    "SELECT round(coalesce(sum((fpr - f) * (tpr + t) / 2), 0), 9) AS auc FROM (SELECT tpr, fpr, lag(tpr) OVER w AS t, lag(fpr) OVER w AS f FROM f_sweep WINDOW w AS (ORDER BY threshold DESC))",
+    (V.ANNOTATIONS, LABELS, INJECTED, _SWEEP),
+)
+def detection_area(spark, d):
+    return r9(poisoning.trapezoid(sweep(spark, d)), "auc")
+
+
+_SPARSE = """f_sparse AS (SELECT conv_id AS item, 'step_quality' AS dim, least(4, delegation_quality) AS label FROM f_roles UNION ALL SELECT conv_id, 'privacy_compliance', CASE WHEN authority_appropriate THEN 4 ELSE 1 END FROM f_roles
+    UNION ALL SELECT conv_id, 'error_recovery', handoff_quality FROM f_roles WHERE handoff_quality IS NOT NULL)"""
+
+
+@query(
+    "poison_dense",
+    """SELECT item, dim, CASE dim WHEN 'step_quality' THEN least(4, r + 1) WHEN 'privacy_compliance' THEN greatest(1, r - 1) ELSE greatest(1, least(4, r)) END::INTEGER AS label FROM (
+         SELECT i.item, d.dim, round_even(coalesce(avg(label), 2.5), 0)::INTEGER AS r FROM (SELECT DISTINCT conv_id AS item FROM f_roles) i CROSS JOIN (SELECT unnest(['step_quality', 'privacy_compliance', 'goal_alignment', 'error_recovery']) AS dim) d LEFT JOIN f_sparse s ON s.item = i.item AND s.dim = d.dim GROUP BY i.item, d.dim)""",
+    (V.ROLES, _SPARSE),
+)
+def poison_dense(spark, d):
+    """Injected labels of conversations that nobody rated in every dimension: each item has each dimension."""
+    r = V.roles(spark, d)
+    of = lambda dim, label: F.struct(F.lit(dim).alias("dim"), label.cast("int").alias("label"))
+    cells = F.array(of("step_quality", F.least(F.lit(4), "delegation_quality")), of("privacy_compliance", F.when(F.col("authority_appropriate"), 4).otherwise(1)), of("error_recovery", F.col("handoff_quality")))
+    rows = r.select(F.col("conv_id").alias("item"), F.col("agent_role").alias("rater"), F.inline(cells)).where("label is not null").withColumn("injected", F.lit(False))
+    return poisoning.inject(rows, ["bot"]).where("injected").select("item", "dim", "label")
+
+
+# --- private summaries of streams ----------------------------------------------------------------------------------
+
+BOUNDS = {"value": (0.0, 100.0), "level": (20.0, 80.0)}
+EPSILON, DELTA = 1.0, 1e-5
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    return V.steps(spark, d).select("traj", "step_index", "event_type", "value", (F.col("confidence") * 100).alias("level"))
+
+
+@query(
+    "clipped_stream",
+    f"""SELECT traj, count(*) AS n, round(avg(greatest(0e0, least(100e0, value))), 6) AS value, round(avg(greatest(20e0, least(80e0, confidence * 100))), 6) AS level,
+          round(100 * sqrt(2 * ln(1.25e0 / {DELTA})) / {EPSILON} / count(*), 9) AS sigma_value, round(60 * sqrt(2 * ln(1.25e0 / {DELTA})) / {EPSILON} / count(*), 9) AS sigma_level FROM f_steps GROUP BY traj""",
+    (V.STEPS,),
+)
+def clipped_stream(spark, d):
+    """What a session's private summary is made of: means of clipped values and the noise due to them."""
+    rows = privacy.clipped_means(_stream(spark, d), "traj", BOUNDS, EPSILON, DELTA)
+    return r9(rows, "sigma_value", "sigma_level").withColumns({c: F.round(c, 6) for c in BOUNDS})
+
+
+@query("private_grounding")
+def private_grounding(spark, d):
+    """Whether what a trajectory reports is grounded in its stream's private summary (noise: no SQL)."""
+    stream = _stream(spark, d)
+    band = lambda c, low, high: F.get(F.array(F.lit("low"), F.lit("middle"), F.lit("high")), F.greatest(F.lit(0), F.least(F.lit(2), F.floor((F.col(c) - low) / (high - low) * 3))).cast("int"))
+    last = stream.groupBy("traj").agg(F.max_by("value", "step_index").alias("value"), F.max_by("level", "step_index").alias("level"))
+    said = F.concat_ws(". ", *[F.concat(F.lit(f"now {c}-"), band(c, *BOUNDS[c])) for c in BOUNDS])
+    return privacy.private_grounding(last.select("traj", said.alias("said")), privacy.stream_summary(stream, "traj", BOUNDS, EPSILON, DELTA), "traj", "said", BOUNDS)
+
+
+# --- places ------------------------------------------------------------------------------------------------------
+
+_CENTRES = {s: (10.0 * k - 20, 30.0 * k - 60) for k, s in enumerate(V.SCENARIO_OF)}
+_PLACE = "value * 2 - 60"
+
+
+@query(
+    "places",
+    f"""SELECT event_id, CASE WHEN ok THEN lat ELSE clat END AS lat, CASE WHEN ok THEN lon ELSE clon END AS lon, ok AS kept FROM (SELECT *, abs(lat) <= 90 AND abs(lon) <= 180 AND NOT (lat = 0 AND lon = 0) AS ok FROM (
+         SELECT event_id, {_PLACE} AS lat, step_index * 50e0 AS lon, CASE scenario {' '.join(f"WHEN '{s}' THEN {x}::DOUBLE" for s, (x, _) in _CENTRES.items())} END AS clat, CASE scenario {' '.join(f"WHEN '{s}' THEN {y}::DOUBLE" for s, (_, y) in _CENTRES.items())} END AS clon FROM f_steps))""",
+    (V.STEPS,),
+)
+def places(spark, d):
+    """Events' places; one that is not on earth is its scenario's centre."""
+    centre = lambda k: F.create_map(*[F.lit(x) for s, c in _CENTRES.items() for x in (s, c[k])])[F.col("scenario")]
+    rows = V.steps(spark, d).select("event_id", T.place_or(F.expr(_PLACE), F.col("step_index") * 50.0, centre(0), centre(1)).alias("p"))
+    return rows.select("event_id", "p.*")

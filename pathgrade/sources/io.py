@@ -41,21 +41,41 @@ def entries(documents: DataFrame, field: str) -> DataFrame:
     return documents.select(F.inline(field))
 
 
-def discover(spark: SparkSession, folder: str, schema: str, marker: str) -> DataFrame:
-    """Records that have the marker column, wherever they lie below a folder, and the file they are from.
+def discover(spark: SparkSession, folder: str, schema: str, marker: str, below_only: bool = False) -> DataFrame:
+    """Records that have the marker column, wherever they lie below a folder, the file they are from, and their place.
 
-    JSON lines are read line by line; documents are a list of records or an object with ``records``.
+    JSON lines are read line by line; documents are a list of records or an object with ``records``. ``place`` orders
+    all records: by the parts of the file's path, then as they stand in it, however the files are cut for reading.
+    ``below_only``: files of the folder itself do not count.
     """
+    meta = "_metadata.file_path", "_metadata.file_block_start"
 
     def below(pattern: str, kind: str, **options) -> DataFrame:
-        return spark.read.schema(kind).options(recursiveFileLookup=True, pathGlobFilter=pattern, **options).json(folder)
+        rows = spark.read.schema(kind).options(recursiveFileLookup=True, pathGlobFilter=pattern, **options).json(folder)
+        # within a block of a file the rows' numbers rise as the lines do
+        return rows.select("*", F.col(meta[0]).alias("file"), F.col(meta[1]).alias("block")).withColumn("row", F.monotonically_increasing_id())
 
     names = spark.createDataFrame([], schema).columns
-    lines = below("*.jsonl", schema).withColumn("file", F.input_file_name())
     fields = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in spark.createDataFrame([], schema).schema.fields)
-    whole = below("*.json", f"{schema}, records ARRAY<STRUCT<{fields}>>", multiLine=True).withColumn("file", F.input_file_name())
-    inside = whole.where("records is not null").select("file", F.inline("records")).select(*names, "file")
-    return lines.unionByName(whole.where("records is null").drop("records")).unionByName(inside).where(F.col(marker).isNotNull())
+    lines = below("*.jsonl", schema).withColumn("nth", F.lit(0))
+    whole = below("*.json", f"{schema}, records ARRAY<STRUCT<{fields}>>", multiLine=True)
+    inside = whole.where("records is not null").select("file", "block", "row", F.posexplode("records").alias("nth", "r")).select(*[F.col("r")[n].alias(n) for n in names], "file", "block", "row", "nth")
+    rows = lines.unionByName(whole.where("records is null").drop("records").withColumn("nth", F.lit(0))).unionByName(inside)
+    if below_only:
+        root = F.lit(spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/"))
+        rows = rows.where(F.regexp_replace(F.regexp_replace("file", "^[a-z0-9]+:/*/", "/"), "/[^/]*$", "") != root)
+    place = F.struct(F.split("file", "/").alias("path"), "block", "row", "nth")
+    return rows.where(F.col(marker).isNotNull()).select(*names, "file", place.alias("place"))
+
+
+def first_seen(found: DataFrame, key: str, place: str = "place") -> DataFrame:
+    """Of the records of each key the one that comes first; records whose key is null or empty do not count.
+
+    An aggregate, not a window: what a task has read is one record for each key before it is shuffled.
+    """
+    rows = found.where(F.col(key).isNotNull() & (F.length(key) > 0))
+    more = [c for c in rows.columns if c != place]
+    return rows.groupBy(F.col(key).alias("__key")).agg(F.min_by(F.struct(*more), place).alias("__first")).select("__first.*")
 
 
 def only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -52,3 +52,53 @@ def test_leaks_of_steps(spark):
     steps = spark.createDataFrame([("t", 0, 2, "", "mail me: a.b@example.com"), ("t", 1, 2, "send_alert", None), ("u", 0, 1, "send_alert", "calm")], "traj string, step_index int, n_steps int, action string, observation string")
     got = {r.traj: (r.success, r.tool, r.leak) for r in metrics.success_and_tools(metrics.metric_steps(steps, F.lit("send_alert")), ["traj"], leak_in="observation").collect()}
     assert got == {"t": (0.5, 1.0, True), "u": (1.0, 1.0, False)}
+
+
+def test_injected_raters_rate_every_item_in_every_dimension(spark):
+    rows = [("a", "step_quality", "r1", 4), ("a", "step_quality", "r2", 3), ("a", "privacy_compliance", "r1", 1), ("b", "error_recovery", "r1", 1), ("b", "error_recovery", "r2", None), ("c", "goal_alignment", "r1", None)]
+    got = poisoning.inject(spark.createDataFrame(rows, "item string, dim string, rater string, label int"), ["x", "y"])
+    assert got.where("injected is null").count() == len(rows)
+    for name in "xy":
+        own = {(r.item, r.dim): r.label for r in got.where(F.col("rater") == name).collect()}
+        # a mean of 3.5 is rounded to 4, as one of 2.5 to 2
+        assert own == {
+            ("a", "step_quality"): 4, ("a", "privacy_compliance"): 1, ("a", "goal_alignment"): 2, ("a", "error_recovery"): 2,
+            ("b", "step_quality"): 3, ("b", "privacy_compliance"): 1, ("b", "goal_alignment"): 2, ("b", "error_recovery"): 1,
+            ("c", "step_quality"): 3, ("c", "privacy_compliance"): 1, ("c", "goal_alignment"): 2, ("c", "error_recovery"): 2,
+        }
+
+
+def test_sweep_and_area(spark):
+    import numpy as np
+
+    scores = [(0.0, 0), (1.0, 1), (0.5, 1), (0.5, 0), (0.25, 0), (1.01 * 7 / 499, 0), (0.9, 1)]
+    got = sorted(poisoning.sweep(spark.createDataFrame(scores, "s double, t int"), "s", "t").collect(), key=lambda r: r.threshold)
+    x, t = np.array([s for s, _ in scores]), np.array([t for _, t in scores])
+    at = np.linspace(0.0, 1.01, 500)
+    tpr, fpr = (np.array([((x >= k) & (t == c)).sum() / (t == c).sum() for k in at]) for c in (1, 0))
+    assert np.allclose([r.threshold for r in got], at) and np.allclose([r.tpr for r in got], tpr) and np.allclose([r.fpr for r in got], fpr)
+    area = poisoning.trapezoid(spark.createDataFrame(got)).first().auc
+    assert abs(area - np.trapezoid(tpr[::-1], fpr[::-1])) < 1e-12
+    none = poisoning.sweep(spark.createDataFrame([(0.5, 1)], "s double, t int"), "s", "t")
+    assert none.agg(F.max("fpr")).first()[0] == 0.0 and none.agg(F.max("tpr")).first()[0] == 1.0
+
+
+def test_private_summaries(spark):
+    from pathgrade.operators import privacy
+
+    nan = float("nan")
+    rows = [("s", 500.0), ("s", -3.0), ("s", None), ("s", nan), ("t", 40.0), ("u", None)] + [(f"k{k}", 50.0) for k in range(1500)]
+    df = spark.createDataFrame(rows, "session string, v double")
+    bounds = {"v": (0.0, 100.0)}
+    exact = {r.session: r for r in privacy.clipped_means(df, "session", bounds, 2.0, 1e-5).collect()}
+    assert (exact["s"].n, exact["s"].v) == (4, 50.0) and abs(exact["s"].sigma_v - privacy.sigma(50.0, 2.0, 1e-5)) < 1e-9
+    assert exact["u"].v is None and exact["u"].sigma_v is None and exact["t"].sigma_v == privacy.sigma(100.0, 2.0, 1e-5)
+    once, again = ({r.session: r.v for r in privacy.stream_summary(df.repartition(n), "session", bounds, 2.0, 1e-5).collect()} for n in (1, 4))
+    assert once == again
+    noise = [v - 50 for k, v in once.items() if k.startswith("k")]
+    spread = (sum(x * x for x in noise) / len(noise)) ** 0.5
+    assert abs(spread / privacy.sigma(100.0, 2.0, 1e-5) - 1) < 0.08
+    told = spark.createDataFrame([("a", "now v-low. v-high then!"), ("b", "now v-high"), ("c", ""), ("d", "nothing known")], "session string, said string")
+    summary = spark.createDataFrame([("a", 1, 3.0), ("b", 1, 990.0), ("c", 1, 5.0)], "session string, n long, v double")
+    got = {r.session: (r.ppg, r.passes) for r in privacy.private_grounding(told, summary, "session", "said", bounds).collect()}
+    assert got == {"a": (0.5, False), "b": (1.0, True), "c": (1.0, True), "d": (0.0, False)}

@@ -71,15 +71,6 @@ def test_text_and_metrics(spark):
     assert [r.l for r in ms.select(metrics.latency(F.col("m"), 100.0).alias("l")).collect()] == [1.0, 0.5, 0.0]
 
 
-def test_answers(spark):
-    from pyspark.sql import types as S
-
-    schema = S.StructType([S.StructField("score", S.StringType()), S.StructField("why", S.StringType())])
-    t = spark.createDataFrame([('{"score": 3}',), ('Sure:\n```json\n{"score": 4}\n```',), ('so {"score": "x"} ok',), ("none",)], "a string")
-    got = [r.s for r in t.select(T.parsed_score(T.answer_json(F.col("a"), schema)["score"]).alias("s")).collect()]
-    assert got == [3, 4, 2, 2]
-
-
 def test_privacy(spark):
     assert abs(privacy.sigma(10.0, 1.0, 1e-5) - 48.448) < 1e-3
     rows = spark.createDataFrame([(k, "revoked" if k % 2 else "explicit", 70.0, "x") for k in range(2000)], "k long, consent string, heart_rate double, other string")

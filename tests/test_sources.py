@@ -79,3 +79,36 @@ def test_sinks(spark, tmp_path):
     io.write_report(rows, f"{tmp_path}/report", "entries")
     report = io.read_documents(spark, f"{tmp_path}/report", "n LONG, entries ARRAY<STRUCT<k: STRING, n: INT, v: DOUBLE>>").first()
     assert report.n == 2 and sorted(e.k for e in report.entries) == ["a", "b"]
+
+
+def test_first_seen_over_files(spark, tmp_path):
+    """Duplicates keep the record of the first file by its path's parts, and the first line in it, however files are cut."""
+    line = lambda a, who: json.dumps({"annotation_id": a, "persona_name": who, "rationale": "r" * 300}) + "\n"
+    files = {
+        "top.jsonl": line("x1", "top"),
+        "a-b/z.jsonl": line("x1", "a-b") + line("x2", "a-b"),
+        "a/m.jsonl": "".join(line(f"m{k % 50}", f"m{k}") for k in range(200)) + line("x2", "a/m") + line("", "no id"),
+        "a/n.json": json.dumps({"records": [{"annotation_id": "x3", "persona_name": "n0"}, {"annotation_id": "x3", "persona_name": "n1"}, {"annotation_id": "m7", "persona_name": "n2"}]}),
+        "a/o.json": json.dumps([{"annotation_id": "x4", "persona_name": "o0"}, {"annotation_id": "x4", "persona_name": "o1"}, {"annotation_id": None, "persona_name": "o2"}]),
+        "b/c/p.jsonl": line("x4", "late") + line("x5", "p") + json.dumps({"unrelated": 1}) + "\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    schema = "annotation_id STRING, persona_name STRING, rationale STRING"
+    expected = {f"m{k}": f"m{k}" for k in range(50)} | {"x2": "a/m", "x1": "a-b", "x3": "n0", "x4": "o0", "x5": "p"}
+    size = "spark.sql.files.maxPartitionBytes"
+    was = spark.conf.get(size)
+    try:
+        for most in ("128m", "7k", "1k"):
+            spark.conf.set(size, most)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+            found = io.discover(spark, str(tmp_path), schema, "annotation_id", below_only=True)
+            got = {r.annotation_id: r.persona_name for r in io.first_seen(found.repartition(5), "annotation_id").collect()}
+            assert got == expected, most
+            every = io.discover(spark, str(tmp_path), schema, "annotation_id")
+            assert {r.persona_name for r in every.collect()} >= {"top", "a-b"}
+            assert io.first_seen(every, "annotation_id").where("annotation_id = 'x1'").first().file.endswith("a-b/z.jsonl")
+    finally:
+        spark.conf.set(size, was)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
