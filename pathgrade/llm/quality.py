@@ -9,9 +9,10 @@ its determinant no longer falls. Determinants are those of regularized covarianc
 units in which a difference means something, so a statistic that is 0 almost everywhere does not make the determinant 0
 and every other value an outlier.
 
-A group of n documents is then judged by the mean and covariance of a mixture, n parts its own and ``prior_rows`` parts
-its language's (a language's, the mixture of its groups', likewise with that of all documents), so no row count switches
-estimates. A document is rejected if its squared Mahalanobis distance is over the chi-square quantile that one ordinary
+A group of n documents is then judged by a mean and a covariance that are n parts its own and ``prior_rows`` parts its
+language's (those of a language, pooled from its other groups, are mixed likewise with those of all documents), so no row
+count switches estimates. How far the two means lie apart does not widen the covariance: a few rows far from their language are
+outliers, many are a source with ways of its own. A document is rejected if its squared Mahalanobis distance is over the chi-square quantile that one ordinary
 document in 1 / ``tail`` exceeds, times the factor that an estimate from so many rows needs.
 
 Quantiles come from counts in fixed bins, so no group's values meet in one task and reruns agree.
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ROW, is_small, join_dimension, materialize, packed_rows, unpacked_rows
+from .common import ROW, is_small, join_dimension, materialize, only_last_stays, packed_rows, unpacked_rows
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
@@ -40,8 +41,8 @@ KEPT_SHARE = 0.75
 FIRST_STEPS, MOST_STEPS = 2, 8
 #: Determinants that fall by a smaller share of themselves have settled (bins of distances make them no finer).
 SETTLED = 1e-3
-#: The language's estimate counts as so many rows beside a group's own: ten for each statistic.
-PRIOR_ROWS = 50
+#: The language's estimate counts as so many rows beside a group's own: two for each statistic.
+PRIOR_ROWS = 10
 #: One repeated line is no sign, however short the text, and so are the words that a sentence said twice takes.
 SAID_TWICE = 20
 #: Name, transformation, floor. Six floors from the centre are an outlier by themselves: texts 36 times as long or
@@ -63,10 +64,6 @@ X = [f"__x{i}" for i in range(P)]
 LOWER = [(i, j) for i in range(P) for j in range(i + 1)]
 
 
-def _shift(i: Column) -> Column:
-    return F.shiftright(i, 32)
-
-
 def statistics(docs: DataFrame) -> DataFrame:
     """The rows with __w (words), __c, __s, __d, __r (the base statistics) and __n (lines with a word)."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -156,14 +153,26 @@ def _inverted(est: DataFrame) -> DataFrame:
 
 
 def _mixed(own: str, wide: str, prior_rows: float) -> Column:
-    """The moments of a mixture of two estimates by rows; of one if the other is null."""
+    """The moments between those of two estimates, by rows; those of one if the other is null.
+
+    ``rows`` becomes the number of rows whose mean would be as sure as the mixture's.
+    """
     a, b = F.col(own), F.col(wide)
     w = a["rows"] / (a["rows"] + F.lit(float(prior_rows)))
-    parts = [(w * a[f"m{i}"] + (1 - w) * b[f"m{i}"]).alias(f"m{i}") for i in range(P)]
-    for i, j in LOWER:
-        apart = (a[f"m{i}"] - b[f"m{i}"]) * (a[f"m{j}"] - b[f"m{j}"])
-        parts.append((w * a[f"c{i}{j}"] + (1 - w) * b[f"c{i}{j}"] + w * (1 - w) * apart).alias(f"c{i}{j}"))
-    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.struct(a["rows"].alias("rows"), *parts))
+    parts = [(w * a[c] + (1 - w) * b[c]).alias(c) for c in MOMENTS]
+    sure = 1 / (w * w / a["rows"] + (1 - w) * (1 - w) / b["rows"])
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.struct(sure.alias("rows"), *parts))
+
+
+def _without(all_: str, own: str) -> Column:
+    """A pooled estimate less one of its parts; null if nothing is left."""
+    a, b = F.col(all_), F.col(own)
+    rows = a["rows"] - b["rows"]
+    mean = [(a["rows"] * a[f"m{i}"] - b["rows"] * b[f"m{i}"]) / rows for i in range(P)]
+    square = lambda e, i, j: e["rows"] * (e[f"c{i}{j}"] + e[f"m{i}"] * e[f"m{j}"])
+    parts = [m.alias(f"m{i}") for i, m in enumerate(mean)]
+    parts += [((square(a, i, j) - square(b, i, j)) / rows - mean[i] * mean[j]).alias(f"c{i}{j}") for i, j in LOWER]
+    return F.when(b.isNull(), a).when(rows > 0.5, F.struct(rows.alias("rows"), *parts))
 
 
 def _distance() -> Column:
@@ -209,7 +218,7 @@ def _starts(rows: DataFrame) -> tuple[DataFrame, bool]:
 def _concentrate(rows: DataFrame, est: DataFrame, keys: list[str], kept_share: float, few: bool) -> DataFrame:
     """One step: the ``kept_share`` of each group's rows with the smallest distances gives the next estimate."""
     near = join_dimension(rows, est, KEYS, small=few).withColumn("__b", _bin(_distance())).select(*keys, *X, "__b")
-    limit = materialize(_quantile(near, keys, "__b", kept_share, "__top").select(*keys, "__top"), "mcd-limit")
+    limit = _quantile(near, keys, "__b", kept_share, "__top").select(*keys, "__top")
     est = _inverted(_estimate(join_dimension(near, limit, keys, small=few).where("__b <= __top"), keys))
     return materialize(est.select(*keys, *MOMENTS, *PARAMS[P:], "log_det"), "mcd-step")
 
@@ -224,14 +233,14 @@ def mcd(rows: DataFrame, kept_share: float = KEPT_SHARE) -> tuple[DataFrame, boo
     best = est.groupBy(*KEYS).agg(F.min(F.struct(F.round("log_det", 6).alias("det"), "__start", F.struct(*names, "log_det").alias("e"))).alias("b"))
     est = materialize(best.select(*KEYS, "b.e.*"), "mcd-best")
     for _ in range(MOST_STEPS):
-        after = _concentrate(rows, est, KEYS, kept_share, few)
-        falls = join_dimension(est.select(*KEYS, "log_det"), after.select(*KEYS, F.col("log_det").alias("new")), KEYS, small=few)
-        est_or_after = join_dimension(after, est.select(*KEYS, F.struct(*names, "log_det").alias("old")), KEYS, small=few)
-        better = F.col("log_det") < F.col("old.log_det")
-        est = materialize(est_or_after.select(*KEYS, *[F.when(better, F.col(c)).otherwise(F.col("old")[c]).alias(c) for c in (*names, "log_det")]), "mcd-better")
-        if falls.where(F.col("log_det") - F.col("new") > SETTLED).isEmpty():
+        after = _concentrate(rows, est.select(*KEYS, *names, "log_det"), KEYS, kept_share, few)
+        both = join_dimension(after, est.select(*KEYS, F.struct(*names, "log_det").alias("old")), KEYS, small=few)
+        better, fell = F.col("log_det") < F.col("old.log_det"), F.col("old.log_det") - F.col("log_det") > SETTLED
+        both = both.select(*KEYS, fell.alias("fell"), *[F.when(better, F.col(c)).otherwise(F.col("old")[c]).alias(c) for c in (*names, "log_det")])
+        est = materialize(both, "mcd-better")
+        if est.where("fell").isEmpty():
             break
-    return est, few
+    return est.drop("fell"), few
 
 
 def _pooled(est: DataFrame, keys: list[str]) -> DataFrame:
@@ -245,7 +254,12 @@ def _pooled(est: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fit(measured: DataFrame, kept_share: float = KEPT_SHARE, prior_rows: float = PRIOR_ROWS, tail: float = TAIL) -> DataFrame:
-    """lang, source -> the estimate that judges the group, and its cutoff."""
+    """lang, source -> the estimate that judges the group, and its cutoff. Only this table stays of those written."""
+    with only_last_stays(measured.sparkSession):
+        return _fit(measured, kept_share, prior_rows, tail)
+
+
+def _fit(measured: DataFrame, kept_share: float, prior_rows: float, tail: float) -> DataFrame:
     group = [F.col("lang").cast("string").alias("__lang"), F.col("source").cast("string").alias("__src")]
     rows = materialize(measured.where(~F.col("__failed")).select(*group, *X), "mcd-rows")
     est, few = mcd(rows, kept_share)
@@ -261,8 +275,11 @@ def fit(measured: DataFrame, kept_share: float = KEPT_SHARE, prior_rows: float =
     found = join_dimension(found, est.withColumnRenamed("e", "e2"), KEYS, "left", few)
     found = join_dimension(found, language.withColumnRenamed("e", "e1"), ["__lang"], "left", few)
     found = found.join(F.broadcast(every.withColumnRenamed("e", "e0")), F.lit(True), "left")  # one row
-    found = found.withColumn("e", _mixed("e1", "e0", prior_rows)).withColumn("e", _mixed("e2", "e", prior_rows))
-    n = F.coalesce(F.col("e2.rows"), F.lit(0.0)) + F.lit(float(max(prior_rows, P + 1)))
+    # one after the other: each expression refers to columns, not to the expression before
+    found = materialize(found.select("__lang", "__src", "e2", "e0", _without("e1", "e2").alias("e1")), "mcd-others")
+    found = materialize(found.select("__lang", "__src", "e2", _mixed("e1", "e0", prior_rows).alias("e")), "mcd-wide")
+    found = materialize(found.select("__lang", "__src", _mixed("e2", "e", prior_rows).alias("e")), "mcd-blend")
+    n = F.greatest(F.col("e.rows"), F.lit(2.0 * P))
     found = found.withColumn("cutoff", F.lit(chi_square_quantile(tail)) * (n * n - 1) / (n * (n - P)))
     found = materialize(found.select("__lang", "__src", "cutoff", "e.*"), "mcd-mixed")
     return materialize(_inverted(found).select("__lang", "__src", *PARAMS, "cutoff"), "mcd-groups")

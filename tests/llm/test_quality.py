@@ -98,3 +98,78 @@ def test_small_source_is_judged_by_its_own_documents(spark):
     )
     got = {r.doc_id: r.kept for r in quality.quality(rows).collect()}
     assert {k for k, kept in got.items() if not kept} == {611, 622}
+
+
+def verdicts(groups, prior=quality.PRIOR_ROWS):
+    """(lang, source) -> vectors of documents that pass the base rules: squared distance and cutoff of each, from the definition."""
+    floors = np.array([f for _, _, f in quality.VECTOR])
+    own = {}
+    for key, x in groups.items():
+        _, m, c = robust(x, floors)
+        d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+        own[key] = (len(x), m, c * max(1.0, np.sort(d)[int(np.ceil(0.5 * len(x))) - 1] / quality.MEDIAN_CHI2))
+
+    def pooled(parts):
+        n = sum(k for k, _, _ in parts)
+        m = sum(k * m for k, m, _ in parts) / n
+        return n, m, sum(k * (c + np.outer(mean, mean)) for k, mean, c in parts) / n - np.outer(m, m)
+
+    def mixed(a, b):
+        w = a[0] / (a[0] + prior)
+        return 1 / (w * w / a[0] + (1 - w) ** 2 / b[0]), w * a[1] + (1 - w) * b[1], w * a[2] + (1 - w) * b[2]
+
+    every = pooled([pooled([e for (k, _), e in own.items() if k == lang]) for lang in {k for k, _ in own}])
+    out = {}
+    for (lang, source), x in groups.items():
+        others = [e for (k, s), e in own.items() if k == lang and s != source]
+        n, m, c = mixed(own[lang, source], mixed(pooled(others), every) if others else every)
+        n = max(n, 10)
+        cutoff = quality.chi_square_quantile(quality.TAIL) * (n * n - 1) / (n * (n - 5))
+        out[lang, source] = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m), cutoff
+    return out
+
+
+def test_verdicts_from_the_definition(spark):
+    """Three sources of two languages: estimate, mixture, distance and cutoff on arrays give the same rows to keep."""
+    rng = np.random.default_rng(12)
+    rows, vectors = [], {}
+    for lang, source, n, size in (("en", "a", 300, 6), ("en", "b", 120, 9), ("de", "a", 200, 7)):
+        for k in range(n):
+            junk = k % 20 == 3
+            letters = lambda m: "".join(chr(97 + x) for x in rng.integers(0, 26, m))
+            words = [letters(max(1, int(rng.poisson(size)))) + ("#$" if junk and rng.random() < 0.6 else "") for _ in range(int(60 + rng.integers(0, 200)))]
+            lines = [" ".join(words[i : i + 12]) for i in range(0, len(words), 12)]
+            if k % 7 == 0:
+                lines += lines[:1]
+            text = "\n".join(lines)
+            w, c, s, d, r, failed = brute(text)
+            if not failed:
+                x = [np.log(w), np.log(c / w), np.sqrt(s / c), np.sqrt(max(d - 1, 0) / max(len(lines), 1)), np.sqrt(max(r - quality.SAID_TWICE, 0) / w)]
+                vectors.setdefault((lang, source), []).append((len(rows), x))
+            rows.append((len(rows), text, lang, source))
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    found = verdicts({k: np.array([x for _, x in v]) for k, v in vectors.items()})
+    checked = gone = 0
+    for key, v in vectors.items():
+        d, cutoff = found[key]
+        for (doc_id, _), distance in zip(v, d):
+            if not 0.8 < distance / cutoff < 1.25:  # subsets of bins and of sorted rows differ a little
+                assert got[doc_id].kept == (distance <= cutoff), (key, distance, cutoff, got[doc_id].distance)
+                checked, gone = checked + 1, gone + (distance > cutoff)
+    assert checked > 550 and gone >= 25 and checked > 0.95 * sum(map(len, vectors.values()))
+
+
+def test_sources_that_are_all_junk(spark):
+    """A few rows of junk are outliers of their language; two dozen are a source with ways of its own, as the README says."""
+    word = "substr(md5(concat(id, ':', i)), 1, int(3 + (id + i) % 5))"
+    clean = f"concat_ws(' ', transform(sequence(1, int(80 + id % 40)), i -> {word}))"
+    junk = f"concat_ws(' ', transform(sequence(1, 90), i -> concat({word}, '#$%')))"
+    sizes = {"de": 1, "en": 2, "es": 5, "fr": 24}
+    rows = spark.range(4 * 200).selectExpr("id as doc_id", f"{clean} as text", "element_at(array('de', 'en', 'es', 'fr'), int(1 + id % 4)) as lang", "if(id % 8 < 4, 'a', 'b') as source")
+    for k, (lang, n) in enumerate(sizes.items()):
+        more = spark.range(10_000 + 100 * k, 10_000 + 100 * k + n).selectExpr("id as doc_id", f"{junk} as text", f"'{lang}' as lang", "'junk' as source")
+        rows = rows.unionByName(more)
+    got = {r.doc_id: r for r in quality.quality(rows).collect()}
+    assert all(r.kept for k, r in got.items() if k < 10_000)
+    kept = [sum(r.kept for k, r in got.items() if k >= 10_000 and (k - 10_000) // 100 == n) for n in range(4)]
+    assert kept == [0, 0, 0, 24], kept
