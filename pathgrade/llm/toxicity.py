@@ -60,6 +60,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
     return docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select("text", "toxic")
 
 
+def _beginnings_of(w: str) -> Iterator[str]:
+    """Of a word with its end mark those beginnings that may be terms: of SHORTEST to LONGEST letters, and the whole word, however long."""
+    if len(w) > SHORTEST:
+        yield from (w[:k] for k in range(SHORTEST, min(len(w) - 1, LONGEST) + 1))
+        yield w
+
+
 def _beginnings(rows: DataFrame, toxic: int) -> tuple[dict[str, tuple[int, int, int]], int, int]:
     """Beginnings of words ($: and their end) -> uses in toxic documents, most documents of one use, uses in others; all uses.
 
@@ -72,7 +79,7 @@ def _beginnings(rows: DataFrame, toxic: int) -> tuple[dict[str, tuple[int, int,
         other, toxic = Counter(), Counter()
         for batch in bpe.batches(source, "text"):
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                words = [f"{w}$"[: LONGEST + 1] for w in WORD.findall((text or "").lower())]
+                words = [f"{w}$" for w in WORD.findall((text or "").lower())]
                 uses = set(zip(words, ["", *words], strict=False))
                 if label:
                     toxic.update(uses)
@@ -81,11 +88,11 @@ def _beginnings(rows: DataFrame, toxic: int) -> tuple[dict[str, tuple[int, int,
         begin, bare = Counter(), Counter({"": sum(other.values())})
         for (w, v), n in toxic.items():
             begin["", f"{w} {v}"] += n
-            for k in range(SHORTEST, len(w) + 1 if len(w) > SHORTEST else 0):
-                begin[w[:k], v] = max(begin[w[:k], v], n)
+            for b in _beginnings_of(w):
+                begin[b, v] = max(begin[b, v], n)
         for w, n in other.items():
-            for k in range(SHORTEST, len(w) + 1 if len(w) > SHORTEST else 0):
-                bare[w[:k]] += n
+            for b in _beginnings_of(w):
+                bare[b] += n
         other.clear()
         toxic.clear()
         rows = chain(((w, v, n, 0) for (w, v), n in begin.items()), ((w, None, 0, n) for w, n in bare.items()))
