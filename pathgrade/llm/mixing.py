@@ -12,7 +12,9 @@ All draws are functions of a seed and of the rows' values, so reruns agree. The
 part: the last document's first words (``whole_documents``: the whole document or none of it, whichever comes nearer).
 
 Null texts have size 0 and are never taken; a null source is a source, the last one. Repeated rows are documents of
-their own. An empty table gives no rows. Sources are held in one array at each node of the tree.
+their own: equal rows (doc_id, source, text) are counted and numbered, and the numbers spread them over the blocks. Only
+``mixture`` with repeats, whose other columns may differ, numbers those of one hash in one task. An empty table gives no
+rows. Sources are held in one array at each node of the tree.
 """
 
 from __future__ import annotations
@@ -44,6 +46,18 @@ def with_sizes(docs: DataFrame, seed: int = SEED) -> DataFrame:
     return docs.withColumn("__size", size).withColumn("__hash", F.xxhash64(F.lit(seed), "doc_id", "text"))
 
 
+def numbered(narrow: DataFrame) -> DataFrame:
+    """Rows (doc_id, source, __size, __hash) with __nth, the number of a repeat: equal rows are counted and made anew, so
+    that however many there are no task gathers them."""
+    counted = narrow.groupBy(*narrow.columns).agg(F.count("*").alias("__n"))
+    return counted.select(*narrow.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("__nth"))
+
+
+def spread() -> Column:
+    """A row's own hash: repeats go to blocks of their own."""
+    return F.when(F.col("__nth") == 0, F.col("__hash")).otherwise(F.xxhash64("__hash", "__nth"))
+
+
 def _log_factorial(x: str) -> str:
     """ln x! for x >= 0: Stirling's series at x + 8."""
     y = f"({x} + 8D)"
@@ -117,12 +131,12 @@ def plan(sized: DataFrame, block_words: int = BLOCK_WORDS, levels: int = LEVELS,
     """The sources (what they give, how their draws fall on shards) and the blocks (which words of them are drawn)."""
     sources = sized.groupBy("source").agg(F.sum("__size").alias("words"))
     sources = targets(sources, **options)
-    take = F.least(F.floor(F.col("target") + 0.5).cast("long"), F.col("words") * 2)
+    take = F.least(F.floor(F.col("target") + 0.5).cast("long"), F.floor(F.col("words") * options.get("most", MOST)).cast("long"))
     sources = sources.withColumn("passes", F.when(F.col("words") > 0, F.floor(take / F.col("words"))).otherwise(0).cast("long"))
     sources = sources.withColumn("part", take - F.col("passes") * F.col("words")).withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("words") / block_words)).cast("long"))
     sources = materialize(sources, "mix-sources")
-    rows = join_dimension(sized.where("__size > 0").select("source", "__size", "__hash"), sources.select("source", "source_no", "n_blocks", "part"), ["source"])
-    blocks = rows.groupBy("source", "source_no", F.pmod("__hash", "n_blocks").alias("block")).agg(F.sum("__size").alias("block_words"), F.first("part").alias("part"))
+    rows = join_dimension(sized.where("__size > 0").select("source", "__size", spread().alias("__own")), sources.select("source", "source_no", "n_blocks", "part"), ["source"])
+    blocks = rows.groupBy("source", "source_no", F.pmod("__own", "n_blocks").alias("block")).agg(F.sum("__size").alias("block_words"), F.first("part").alias("part"))
     # prefix sums over a source's blocks, in groups of blocks so that no task gets a whole source
     blocks = blocks.withColumn("grp", F.floor(F.col("block") / GROUP_BLOCKS))
     blocks = materialize(blocks, "mix-blocks")
@@ -152,23 +166,24 @@ def plan(sized: DataFrame, block_words: int = BLOCK_WORDS, levels: int = LEVELS,
 def draw(sized: DataFrame, sources: DataFrame, blocks: DataFrame, whole_documents: bool = False, seed: int = SEED) -> DataFrame:
     """The rows with __source_size, __target and __draws: copy, shard, words, place for each time the mix takes one."""
     dim = sources.select("source", F.col("source_no").alias("__no"), F.col("words").alias("__source_size"), F.col("target").alias("__target"), F.col("parts").alias("__parts"), F.col("n_blocks").alias("__n"), F.col("live").alias("__live"), F.col("ends").alias("__ends"))
-    rows = join_dimension(sized, dim, ["source"]).withColumn("__block", F.pmod("__hash", "__n"))
+    none = sized.where("__size = 0")
+    rows = join_dimension(sized.where("__size > 0").withColumn("__own", spread()), dim, ["source"]).withColumn("__block", F.pmod("__own", "__n"))
     # the blocks' key is the window's too, and never null: rows are shuffled once
     at = blocks.select(F.col("source_no").alias("__no"), F.col("block").alias("__block"), F.col("position").alias("__position"), F.col("part").alias("__part"))
     rows = rows.join(at, ["__no", "__block"], "left")
-    own = Window.partitionBy("__no", "__block").orderBy("__hash", "doc_id", "__size")
+    own = Window.partitionBy("__no", "__block").orderBy("__own", "doc_id", "__size")
     before = F.coalesce(F.sum("__size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("__before", before)
     some = F.greatest(F.lit(0), F.least(F.col("__size"), F.coalesce("__part", F.lit(0)) - F.col("__before")))
     if whole_documents:
         some = F.when(some * 2 >= F.col("__size"), F.col("__size")).otherwise(0)
     rows = rows.withColumn("__some", some.cast("long"))
-    place = lambda copy: F.xxhash64(F.lit(seed + 1), "doc_id", "__hash", copy)
+    place = lambda copy: F.xxhash64(F.lit(seed + 1), "doc_id", "__own", copy)
     # a block's draws are those of its turns (pass, place) that a shard's run of the source's turns covers
     drawn = F.coalesce(F.element_at("__ends", -1), F.lit(0))
     passes = F.floor((drawn - 1 - F.col("__position")) / F.greatest(F.col("__live"), F.lit(1)))  # of the block's last draw; -1: none
     whole = F.floor((drawn - F.col("__parts")) / F.greatest(F.col("__live"), F.lit(1)))  # passes before the last, which takes parts
-    turns = F.when((F.col("__size") > 0) & F.col("__position").isNotNull() & (passes >= 0), F.sequence(F.lit(0).cast("long"), passes)).otherwise(F.array().cast("array<bigint>"))
+    turns = F.when(F.col("__position").isNotNull() & (passes >= 0), F.sequence(F.lit(0).cast("long"), passes)).otherwise(F.array().cast("array<bigint>"))
     draws = F.transform(
         turns,
         lambda c: F.struct(
@@ -179,7 +194,21 @@ def draw(sized: DataFrame, sources: DataFrame, blocks: DataFrame, whole_document
         ),
     )
     rows = rows.withColumn("__draws", F.filter(draws, lambda d: d["words"] > 0))
-    return rows.drop("__parts", "__no", "__n", "__live", "__ends", "__block", "__position", "__part", "__before", "__some")
+    rows = rows.drop("__parts", "__no", "__n", "__live", "__ends", "__block", "__position", "__part", "__before", "__some", "__own")
+    # rows without words are in no block
+    none = join_dimension(none, dim.select("source", "__source_size", "__target"), ["source"])
+    return rows.unionByName(none.withColumn("__draws", F.array().cast(dict(rows.dtypes)["__draws"])))
+
+
+def _told_apart(sized: DataFrame, narrow: DataFrame) -> DataFrame:
+    """The whole rows with __nth. Where no two are equal none is moved; else those that are repeats are numbered by a window, each hash by itself."""
+    twice = narrow.groupBy("doc_id", "source", "__hash").agg(F.count("*").alias("__k")).where("__k > 1").select("__hash").distinct()
+    twice = materialize(twice, "mix-twice")
+    if twice.isEmpty():
+        return sized.withColumn("__nth", F.lit(0).cast("long"))
+    own = Window.partitionBy("doc_id", "source", "__hash").orderBy(F.xxhash64(ROW))
+    again = join_dimension(sized, twice, ["__hash"], "left_semi").withColumn("__nth", (F.row_number().over(own) - 1).cast("long"))
+    return join_dimension(sized, twice, ["__hash"], "left_anti").withColumn("__nth", F.lit(0).cast("long")).unionByName(again)
 
 
 def mixture(docs: DataFrame, whole_documents: bool = False, labels: bool = True, **options) -> DataFrame:
@@ -190,7 +219,8 @@ def mixture(docs: DataFrame, whole_documents: bool = False, labels: bool = True,
     whole, names = packed_rows(docs)
     sized = with_sizes(docs.select(whole, "doc_id", "source", "text")).drop("text")
     narrow = materialize(sized.select("doc_id", "source", "__size", "__hash"), "mix-sizes")
-    sources, blocks = plan(narrow, **options)
+    sources, blocks = plan(numbered(narrow), **options)
+    sized = _told_apart(sized, narrow)
     rows = draw(sized, sources, blocks, whole_documents).select(ROW, F.explode("__draws").alias("__d"))
     order = ["__d.shard", "__d.place"]
     more = [F.col("__d")[c].alias(f"__{c}") for c in ("copy", "shard", "words", "place")] if labels else []
@@ -199,7 +229,7 @@ def mixture(docs: DataFrame, whole_documents: bool = False, labels: bool = True,
 
 def taken(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken, and the draws' shards."""
-    narrow = materialize(with_sizes(docs.select("doc_id", "text", "source")).drop("text"), "mix-sizes")
+    narrow = materialize(numbered(with_sizes(docs.select("doc_id", "text", "source")).drop("text")), "mix-sizes")
     sources, blocks = plan(narrow, **options)
     rows = draw(narrow, sources, blocks)
     total = F.aggregate("__draws", F.lit(0).cast("long"), lambda s, d: s + d["words"])
