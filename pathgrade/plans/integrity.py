@@ -9,9 +9,9 @@ from .. import constants as K
 from ..annotation_schema import annotation
 from ..functions import answers
 from ..functions import text as T
-from ..operators import neardup, poisoning, privacy, quarantine, schema_rules
+from ..operators import neardup, pairing, poisoning, policy, privacy, quarantine, schema_rules, trajectory
 from . import views as V
-from .catalog import _COMBINED, _LAYERED, _SUSPICION, INJECTED, LABELS, MSTEPS, injected, query, r9
+from .catalog import _COMBINED, _LAYERED, _SUSPICION, INJECTED, LABELS, MSTEPS, MULTI, _compliant_sql, fleiss_sql, injected, names_sql, query, r9
 
 # --- near copies -------------------------------------------------------------------------------------------------
 
@@ -288,3 +288,82 @@ def places(spark, d):
     centre = lambda k: F.create_map(*[F.lit(x) for s, c in _CENTRES.items() for x in (s, c[k])])[F.col("scenario")]
     rows = V.steps(spark, d).select("event_id", T.place_or(F.expr(_PLACE), F.col("step_index") * 50.0, centre(0), centre(1)).alias("p"))
     return rows.select("event_id", "p.*")
+
+
+# --- two results, two raters ---------------------------------------------------------------------------------------
+
+
+def _results(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """One agent's and several agents' results of the same logs, each scored by itself."""
+    items = policy.one_agent(policy.several_agents(V.items(spark, d)))
+    took = V.steps(spark, d).groupBy("traj").agg(F.max("value").alias("slowest"), F.sum("value").alias("whole"))
+    out = []
+    for side, latency, rate in (("single", "slowest", F.lit(None).cast("double")), ("multi", "whole", F.col("handoff_quality") / 5)):
+        act = F.col(f"{side}_action")
+        step = lambda i, action, c: F.struct(F.lit(i).alias("step_index"), action.alias("action"), F.lit(c).alias("confidence"))
+        steps = items.select("traj", "scenario", F.lit(3).alias("n_steps"), F.inline(F.array(step(0, F.lit(""), 0.9), step(1, F.lit(""), 0.9), step(2, act, 0.9))))
+        total = trajectory.layers(steps, ["traj"]).withColumn("weighted_total", trajectory.total()).select("traj", "weighted_total")
+        own = items.select("traj", "scenario", act.isin(*K.TERMINAL_ACTIONS).alias("trajectory_success"), (act == F.col("ground_truth")).alias("tool_invocation_accuracy"), policy.compliant(act).alias("privacy_compliance"), rate.alias("authority_rate"))
+        out.append(own.join(total, "traj").join(took.select("traj", F.col(latency).alias("latency_ms")), "traj"))
+    return out[0], out[1]
+
+
+def _side_sql(side: str, latency: str, rate: str) -> str:
+    act = f"{side}_action"
+    terminal = f"CASE WHEN {act} IN ({names_sql(K.TERMINAL_ACTIONS)}) THEN 1e0 ELSE 0e0 END"
+    known = f"CASE WHEN scenario IN ({names_sql(K.SCENARIOS)}) THEN 0.75e0 ELSE 0.40e0 END"
+    cells = (terminal, f"CASE WHEN {act} = ground_truth THEN 1e0 ELSE 0e0 END", f"CASE WHEN {_compliant_sql(act)} THEN 1e0 ELSE 0e0 END", latency, rate, f"(0.15e0 * {known} + 0.25e0 * 0.8e0 + 0.25e0 * 1e0 + 0.20e0 * {terminal}) / (0.15e0 + 0.25e0 + 0.25e0 + 0.20e0)")
+    return ", ".join(f"{x} AS {side}_{m}" for m, x in zip(pairing.METRICS, cells, strict=True))
+
+
+_PAIRS = f"""f_pairs AS (SELECT traj, scenario, {_side_sql('single', 'slowest', 'NULL::DOUBLE')}, {_side_sql('multi', 'whole', 'handoff_quality / 5e0')}
+    FROM f_multi JOIN (SELECT traj, max(value) AS slowest, sum(value) AS whole FROM f_steps GROUP BY traj) USING (traj))"""
+_WINNER = "CASE WHEN round(m - s, 9) > 1e-6 THEN '{0}' WHEN round(s - m, 9) > 1e-6 THEN '{1}' ELSE 'tie' END"
+
+
+@query(
+    "paired_results",
+    f"SELECT traj, scenario, {', '.join(f'round({x}_{m}, 6) AS {x}_{m}' for x in ('single', 'multi') for m in pairing.METRICS)}, {_WINNER.format(pairing.MULTI, pairing.SINGLE).replace('m - s', 'multi_weighted_total - single_weighted_total').replace('s - m', 'single_weighted_total - multi_weighted_total')} AS winner FROM f_pairs",
+    (V.STEPS, V.ITEMS, MULTI, _PAIRS),
+)
+def paired_results(spark, d):
+    """Two result sets joined by log, metric by metric, and who wins."""
+    rows = pairing.paired(*_results(spark, d), "traj", carry=("scenario",))
+    names = [f"{x}_{m}" for x in ("single", "multi") for m in pairing.METRICS]
+    return rows.select("traj", "scenario", *[F.round(n, 6).alias(n) for n in names], "winner")
+
+
+@query(
+    "paired_comparison",
+    f"""SELECT metric, count(*) AS n, round(avg(s), 6) AS single, round(avg(m), 6) AS multi, round(avg(m - s), 6) AS delta, sum(CASE WHEN w = 'm' THEN 1 ELSE 0 END)::BIGINT AS multi_wins, sum(CASE WHEN w = 's' THEN 1 ELSE 0 END)::BIGINT AS single_wins, sum(CASE WHEN w = 'tie' THEN 1 ELSE 0 END)::BIGINT AS ties
+        FROM (SELECT metric, s, m, {_WINNER.format('m', 's')} AS w FROM ({' UNION ALL '.join(f"SELECT '{m}' AS metric, single_{m} AS s, multi_{m} AS m FROM f_pairs" for m in pairing.METRICS)}) WHERE s IS NOT NULL AND m IS NOT NULL) GROUP BY metric""",
+    (V.STEPS, V.ITEMS, MULTI, _PAIRS),
+)
+def paired_comparison(spark, d):
+    rows = pairing.compared(pairing.paired(*_results(spark, d), "traj"))
+    return rows.withColumns({c: F.round(c, 6) for c in ("single", "multi", "delta")})
+
+
+_RATED = {"planning": "step_quality", "goal": "goal_alignment", "recovery": "error_recovery"}
+_TWO = f"""f_scores AS (SELECT {' '.join(f"CASE dim WHEN '{v}' THEN '{k}'" if i == 0 else f"WHEN '{v}' THEN '{k}'" for i, (k, v) in enumerate(_RATED.items()))} END AS dim, traj AS item, rater, CASE WHEN dim <> 'error_recovery' OR NOT missing THEN (score - 1) / 3e0 END AS x
+      FROM f_ann WHERE rater IN ('{K.RATERS[0]}', '{K.RATERS[1]}') AND dim IN ({names_sql(_RATED.values())})),
+    f_two AS (SELECT dim, item, rater, least(floor(x * 3), 2)::INTEGER AS label FROM f_scores WHERE (dim, item) NOT IN (SELECT (dim, item) FROM f_scores WHERE x IS NULL))"""
+
+
+def rater_scores(spark: SparkSession, d: str, rater: str) -> DataFrame:
+    """One rater's scores of each trajectory, from 0 to 1; a recovery may be missing."""
+    rows = V.annotations(spark, d).where(F.col("rater") == rater)
+    of = lambda dim: F.max(F.when((F.col("dim") == dim) & ((F.col("dim") != "error_recovery") | ~F.col("missing")), (F.col("score") - 1) / 3))
+    return rows.groupBy("traj").agg(*[of(v).alias(k) for k, v in _RATED.items()])
+
+
+@query("pia_raters", f"SELECT dim, items AS n, round(kappa, 9) AS kappa FROM {fleiss_sql('f_two')}", (V.ANNOTATIONS, _TWO))
+def pia_raters(spark, d):
+    """Path-invariant agreement of two raters by dimension."""
+    return r9(pairing.two_raters(rater_scores(spark, d, K.RATERS[0]), rater_scores(spark, d, K.RATERS[1]), "traj", tuple(_RATED)), "kappa")
+
+
+@query("pia_raters_mean", f"SELECT round(avg(kappa), 9) AS kappa FROM {fleiss_sql('f_two')}", (V.ANNOTATIONS, _TWO))
+def pia_raters_mean(spark, d):
+    kappas = pairing.two_raters(rater_scores(spark, d, K.RATERS[0]), rater_scores(spark, d, K.RATERS[1]), "traj", tuple(_RATED))
+    return r9(pairing.mean_agreement(kappas), "kappa")
