@@ -33,14 +33,14 @@ K = 5
 EVERY = 50
 SAMPLE = 16_384
 MOST_LISTS = 1024
-PROBE_SHARE = 0.6
+PROBE_SHARE = 0.75
 LEAST_PROBES = 32
 #: Lists that are scanned before the others.
 FIRST_PROBES = 4
 BLOCK = 2048
 GROUP = 256
-WIDTH = 16
-EPSILON = 2.1
+WIDTH = 8
+EPSILON = 1.2
 SEED = 7
 
 
