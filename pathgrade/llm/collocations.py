@@ -152,6 +152,23 @@ class Words:
     def word(self, k: int) -> bytes:
         return self.bytes[self.start[k] : self.end[k]].tobytes()
 
+    def texts(self, at: np.ndarray, n: int) -> tuple[np.ndarray, pa.Array]:
+        """The phrases of ``n`` words that start at these words, joined by spaces: which of them first, then their texts.
+
+        Where a phrase stands with single spaces its bytes are taken as they are; the others are joined one by one.
+        """
+        plain = np.ones(len(at), bool)
+        for k in range(n - 1):
+            gap = self.end[at + k]
+            plain &= (self.start[at + k + 1] == gap + 1) & (self.bytes[gap] == 0x20)
+        first, last = self.start[at[plain]], self.end[at[plain] + n - 1]
+        offsets = np.zeros(len(first) + 1, np.int32)
+        np.cumsum(last - first, out=offsets[1:])
+        data = self.bytes[np.arange(offsets[-1]) + np.repeat(first - offsets[:-1], last - first)]
+        whole = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        odd = pa.array([b" ".join(self.word(p + k) for k in range(n)) for p in at[~plain].tolist()], pa.binary()).view(pa.string())
+        return np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]), pa.concat_arrays([whole, odd])
+
     def numbers(self, weak: int) -> np.ndarray:
         """A number for each word: equal if and only if the bytes are."""
         prints = self.print >> U(64 - weak) if weak < 64 else self.print
@@ -266,7 +283,7 @@ def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, wea
         for words in _batches(source):
             number = words.numbers(weak)
             totals = np.bincount(words.lang, minlength=len(words.langs))
-            yield _table_of(words.langs, [None] * len(totals), 0, totals)
+            yield _table_of(pa.array(words.langs, pa.string()), pa.nulls(len(totals), pa.string()), 0, totals)
             for n in range(1, longest + 1):
                 where, prints = words.grams(n, weak)
                 ok = _allowed(bits, prints)
@@ -283,17 +300,17 @@ def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, wea
                     _, first, own = np.unique(what, axis=0, return_index=True, return_inverse=True)
                     pointer, own = where[first], own.reshape(-1)
                 counts = np.bincount(own, minlength=len(pointer))
-                texts = [b" ".join(words.word(p + k) for k in range(n)) for p in pointer.tolist()]
-                yield _table_of([words.langs[x] for x in words.lang[pointer].tolist()], texts, n, counts)
+                order, texts = words.texts(pointer, n)
+                langs = pa.array(words.langs, pa.string()).take(pa.array(words.lang[pointer[order]]))
+                yield _table_of(langs, texts, n, counts[order])
         tidy()
 
     rows = _input(docs).mapInArrow(verify, "lang string, phrase string, words int, n long")
     return rows.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("phrase").isNull())
 
 
-def _table_of(langs: list[str], texts: list[bytes | None], words: int, counts: np.ndarray) -> pa.RecordBatch:
-    phrase = pa.array(texts, pa.binary()).view(pa.string())
-    return pa.record_batch({"lang": pa.array(langs, pa.string()), "phrase": phrase, "words": pa.array([words] * len(langs), pa.int32()), "n": pa.array(counts.astype(np.int64))})
+def _table_of(langs: pa.Array, texts: pa.Array, words: int, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch({"lang": langs, "phrase": texts, "words": pa.array(np.full(len(langs), words, np.int32)), "n": pa.array(counts.astype(np.int64))})
 
 
 def _exact(c: Column | str) -> Column:
