@@ -123,7 +123,6 @@ def _negatives_sql() -> str:
 
 
 ORACLES: dict[str, str] = {
-    "op13_hyperdimensional_profiles": _query("documents", languages.predict),
     "op12_kronecker_negatives": _negatives_sql(),
     "op11_rabin_karp_phrases": _collocations_sql(),
     "op10_prefix_tree": _jaccard_sql(),
