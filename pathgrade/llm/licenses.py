@@ -6,7 +6,7 @@ m words stands at a place if its diagonal has all m - 1 votes: the pairs overlap
 For whole notices, neighbouring diagonals are merged in bands, as inserted or lost words shift what follows; a band
 counts once for each place of the template. Those that have enough places are verified: the longest chain of pairs that
 stand in the template's order in the text must cover the notice's share. Pairs that tell a notice from another
-license's (TELLING) must be among those covered.
+license's (TELLING) must be among the band's votes; so a version that is named up to SHIFT words later counts.
 
 A row for each document takes part too, so texts are read and cut into words once. Words are compared with A-Z in lower
 case. Null texts count as empty. Repeated rows give a row each. An empty table gives no rows.
@@ -64,14 +64,74 @@ NOTICES = (
         "mpl-text",
         0.6,
     ),
+    (
+        "gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+        "gpl-2.0-or-later",
+        0.8,
+    ),
+    (
+        "gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "gpl-3.0-or-later",
+        0.8,
+    ),
+    (
+        "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+        "lgpl-text",
+        0.6,
+    ),
+    (
+        "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+        "agpl-text",
+        0.6,
+    ),
+    (
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without "
+        "warranties or conditions of any kind either express or implied",
+        "apache-text",
+        0.6,
+    ),
+    (
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission",
+        "bsd-3-clause",
+        0.6,
+    ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above "
+        "copyright notice and this permission notice appear in all copies",
+        "isc-text",
+        0.6,
+    ),
+    (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute "
+        "this software",
+        "unlicense",
+        0.6,
+    ),
+    ("gpl v3", "gpl-3.0", 1.0),
+    ("gpl v2", "gpl-2.0", 1.0),
+    ("spdx license identifier mit", "mit-notice", 1.0),
+    ("spdx license identifier apache 2 0", "apache-2.0", 1.0),
+    ("spdx license identifier gpl 2 0 only", "gpl-2.0", 1.0),
+    ("spdx license identifier gpl 3 0 only", "gpl-3.0", 1.0),
+    ("spdx license identifier gpl 2 0 or later", "gpl-2.0-or-later", 1.0),
+    ("spdx license identifier gpl 3 0 or later", "gpl-3.0-or-later", 1.0),
+    ("spdx license identifier bsd 3 clause", "bsd-3-clause", 1.0),
 )
-#: By label, the pairs without which a notice is another version's or another license's.
+#: By label, the pairs without which a notice is another version's or another license's, or denies what the license grants.
 TELLING = {
     "gpl-3.0": ("gnu general", "version 3"),
     "gpl-2.0": ("gnu general", "version 2"),
+    "apache-2.0": ("version 2", "2 0"),
     "cc-by-nc": ("nc 4",),
     "cc-by-sa": ("sa 4",),
+    "bsd-text": ("are permitted",),
     "gpl-text": ("gnu general",),
+    "gpl-2.0-or-later": ("gnu general", "version 2", "2 of", "later version"),
+    "gpl-3.0-or-later": ("gnu general", "version 3", "3 of", "later version"),
+    "lgpl-text": ("gnu lesser",),
+    "agpl-text": ("gnu affero",),
+    "isc-text": ("is hereby", "hereby granted"),
 }
 #: Words that may be inserted into a notice, or lost from it, in all.
 SHIFT = 8

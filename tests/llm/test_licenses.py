@@ -50,12 +50,42 @@ def test_versions_are_told_apart(spark):
         "licensed under CC BY-NC-ND 4.0": {"cc-by"},
         "licensed under CC BY-NC-SA 4.0": {"cc-by"},
         "licensed under CC BY-SA 4.0": {"cc-by", "cc-by-sa"},
+        "Licensed under the Apache License, Version 2.0": {"apache", "apache-2.0"},
+        "Licensed under the Apache License, Version 2.1": {"apache"},
+        "Licensed under the Apache License, version 1.1 or 2 0": {"apache"},
+        "SPDX-License-Identifier: Apache-2.0": {"apache-2.0"},
+        "SPDX-License-Identifier: GPL-2.0-only": {"gpl-2.0"},
+        "SPDX-License-Identifier: GPL-3.0-or-later": {"gpl-3.0-or-later"},
+        "// SPDX-License-Identifier: MIT": {"mit-notice"},
+        "under the GPL v3": {"gpl-3.0"},
     }
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in licenses.scan(docs).collect()}
     assert {t: got[k] for k, t in enumerate(texts)} == texts
 
 
+def test_whole_notices(spark):
+    """The usual wording of notices, and wording that denies them."""
+    free = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation"
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are {}permitted provided that the following conditions are met:"
+    texts = {
+        free.format("program", "") + "; either version 2 of the License, or (at your option) any later version.": {"gpl", "gpl-text", "gpl-2.0-or-later"},
+        free.format("program", "") + ", either version 3 of the License, or (at your option) any later version.": {"gpl", "gpl-text", "gpl-3.0", "gpl-3.0-or-later"},
+        free.format("program", "") + "; version 2.": {"gpl", "gpl-text"},
+        free.format("library", "Lesser ") + "; either version 2.1 of the License, or (at your option) any later version.": {"lgpl-text"},
+        free.format("program", "Affero ") + ", either version 3 of the License, or (at your option) any later version.": {"agpl-text"},
+        bsd.format(""): {"bsd-text"},
+        bsd.format("NOT "): set(),
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND": {"apache-text"},
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": {"isc-text"},
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is never granted, provided that the above copyright notice and this permission notice appear in all copies.": set(),
+        "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software": {"unlicense"},
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in licenses.scan(docs).collect()}
+    assert {t: got[k] for k, t in enumerate(texts)} == texts
+
+
 def test_repeated_and_shuffled_words_are_no_notice(spark):
     texts = [
         "licensed under " * 5,
