@@ -41,19 +41,47 @@ def pairwise(labels: DataFrame, keys: list[str]) -> DataFrame:
 
     An item's labels, one for each rater, are gathered once and give its pairs: one shuffle, no self-join.
     """
-    panel = labels.groupBy(*keys, "item").agg(F.array_sort(F.collect_list(F.struct("rater", "label"))).alias("panel"))
+    return _pairs(_panels(labels, keys), keys)
+
+
+def _panels(labels: DataFrame, keys: list[str]) -> DataFrame:
+    return labels.groupBy(*keys, "item").agg(F.array_sort(F.collect_list(F.struct("rater", "label"))).alias("panel"))
+
+
+def _pairs(panel: DataFrame, keys: list[str]) -> DataFrame:
     pair = lambda x, y: F.struct(x["rater"].alias("rater_a"), y["rater"].alias("rater_b"), x["label"].alias("a"), y["label"].alias("b"))
     pairs = F.flatten(F.transform("panel", lambda x: F.transform(F.filter("panel", lambda y: y["rater"] > x["rater"]), lambda y: pair(x, y))))
     return panel.select(*keys, "item", F.explode(pairs).alias("pair")).select(*keys, "pair.rater_a", "pair.rater_b", "item", "pair.a", "pair.b")
 
 
+def item_counts(labels: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, item, counts (label, c): an item's labels but null and how often it has each, an entry for each label."""
+    cells = labels.where(F.col("label").isNotNull()).groupBy(*keys, "item", "label").agg(F.count("*").alias("c"))
+    return cells.groupBy(*keys, "item").agg(F.collect_list(F.struct("label", "c")).alias("counts"))
+
+
+def _panel_counts(panel: DataFrame, keys: list[str]) -> DataFrame:
+    """The same from panels that are gathered already."""
+    given = F.filter(F.transform("panel", lambda p: p["label"]), lambda x: x.isNotNull())
+    rows = panel.select(*keys, "item", given.alias("given")).where(F.size("given") > 0)
+    counts = F.transform(F.array_distinct("given"), lambda x: F.struct(x.alias("label"), F.size(F.filter("given", lambda y: y == x)).cast("long").alias("c")))
+    return rows.select(*keys, "item", counts.alias("counts"))
+
+
+def _sum(of) -> Column:
+    return F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + of(x["c"]))
+
+
 def fleiss(labels: DataFrame, keys: list[str]) -> DataFrame:
     """items, kappa; every item must have the same number of raters. Where chance agreement is 1, kappa is 1."""
-    cells = labels.where(F.col("label").isNotNull()).groupBy(*keys, "item", "label").agg(F.count("*").alias("c"))
-    per_item = cells.groupBy(*keys, "item").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"))
+    return _fleiss(item_counts(labels, keys), keys)
+
+
+def _fleiss(counts: DataFrame, keys: list[str]) -> DataFrame:
+    per_item = counts.select(*keys, _sum(lambda c: c).alias("n"), _sum(lambda c: c * c).alias("s"))
     per_item = per_item.withColumn("p", (F.col("s") - F.col("n")) / (F.col("n") * (F.col("n") - 1)))
     mean = per_item.groupBy(*keys).agg(F.avg("p").alias("p_bar"), F.count("*").alias("items"), F.sum("n").alias("total"))
-    share = cells.groupBy(*keys, "label").agg(F.sum("c").alias("c")).groupBy(*keys).agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("sq"))
+    share = counts.select(*keys, F.inline("counts")).groupBy(*keys, "label").agg(F.sum("c").alias("c")).groupBy(*keys).agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("sq"))
     out = mean.join(share, keys) if keys else mean.crossJoin(share)
     pe = F.col("sq") / (F.col("total").cast("double") * F.col("total"))
     return out.select(*keys, "items", F.when(F.abs(1 - pe) < 1e-12, 1.0).otherwise((F.col("p_bar") - pe) / (1 - pe)).alias("kappa"))
@@ -62,15 +90,16 @@ def fleiss(labels: DataFrame, keys: list[str]) -> DataFrame:
 def alpha(labels: DataFrame, keys: list[str], metric: str = "ordinal") -> DataFrame:
     """Krippendorff's alpha: nominal, ordinal, interval or ratio. Null labels and items with one label drop out.
 
-    Coincidences come from counts of labels in an item, not from pairs of raters.
+    Coincidences come from counts of labels in an item, not from pairs of raters, within the item's row.
     """
-    cells = labels.where(F.col("label").isNotNull()).groupBy(*keys, "item", "label").agg(F.count("*").alias("c"))
-    cells = cells.withColumn("m", F.sum("c").over(Window.partitionBy(*keys, "item"))).where("m > 1")
-    left = cells.select(*keys, "item", "m", F.col("label").alias("x"), F.col("c").alias("cx"))
-    right = cells.select(*keys, "item", F.col("label").alias("y"), F.col("c").alias("cy"))
-    both = left.join(right, [*keys, "item"])
-    o = F.col("cx") * (F.col("cy") - (F.col("x") == F.col("y")).cast("int")) / (F.col("m") - 1)
-    seen = both.groupBy(*keys, "x", "y").agg(F.sum(o).alias("o"))
+    return _alpha(item_counts(labels, keys), keys, metric)
+
+
+def _alpha(counts: DataFrame, keys: list[str], metric: str = "ordinal") -> DataFrame:
+    o = lambda x, y: x["c"] * (y["c"] - (x["label"] == y["label"]).cast("int")) / (F.col("m") - 1)
+    met = F.flatten(F.transform("counts", lambda x: F.transform("counts", lambda y: F.struct(x["label"].alias("x"), y["label"].alias("y"), o(x, y).alias("o")))))
+    items = counts.select(*keys, "counts", _sum(lambda c: c).alias("m")).where("m > 1")
+    seen = items.select(*keys, F.inline(met)).groupBy(*keys, "x", "y").agg(F.sum("o").alias("o"))
     margin = seen.groupBy(*keys, "x").agg(F.sum("o").alias("nx"))
     own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     margin = margin.withColumn("upto", F.sum("nx").over(own.orderBy("x"))).withColumn("n", F.sum("nx").over(own))
@@ -91,9 +120,14 @@ def complete(labels: DataFrame, keys: list[str], raters: int) -> DataFrame:
 
 
 def report(labels: DataFrame, keys: list[str], gate: float = 0.80) -> DataFrame:
-    """Fleiss, ordinal alpha, mean pairwise Cohen, the smallest of them, the band and the gate."""
-    mean = cohen(pairwise(labels, keys), [*keys, "rater_a", "rater_b"]).groupBy(*keys).agg(F.avg("kappa").alias("cohen"))
-    parts = [fleiss(labels, keys).select(*keys, F.col("kappa").alias("fleiss")), alpha(labels, keys), mean]
+    """Fleiss, ordinal alpha, mean pairwise Cohen, the smallest of them, the band and the gate.
+
+    All three come from the items' panels, whose exchange the plan reuses: labels are made and shuffled once.
+    """
+    panel = _panels(labels, keys)
+    counts = _panel_counts(panel, keys)
+    mean = cohen(_pairs(panel, keys), [*keys, "rater_a", "rater_b"]).groupBy(*keys).agg(F.avg("kappa").alias("cohen"))
+    parts = [_fleiss(counts, keys).select(*keys, F.col("kappa").alias("fleiss")), _alpha(counts, keys), mean]
     out = reduce(lambda a, b: a.join(b, keys), parts)
     return out.withColumn("lowest", F.least("cohen", "fleiss", "alpha")).withColumn("band", band(F.round("fleiss", 9))).withColumn("passes", F.col("alpha") >= gate)
 

@@ -62,6 +62,23 @@ def test_fleiss(spark):
     assert math.isclose(agreement.fleiss(long(spark, table), ["dim"]).first().kappa, (p_bar - pe) / (1 - pe), abs_tol=1e-12)
 
 
+def test_report_gathers_panels_once(spark):
+    full = [r for r in TABLE if None not in r]
+    rows = long(spark, full)
+    got = agreement.report(rows, ["dim"]).first()
+    assert math.isclose(got.alpha, alpha(full, DELTA["ordinal"]), abs_tol=1e-9) and math.isclose(got.fleiss, agreement.fleiss(rows, ["dim"]).first().kappa, abs_tol=1e-12)
+    kappas = [cohen([(r[a], r[b]) for r in full]) for a in range(4) for b in range(a + 1, 4)]
+    assert math.isclose(got.cohen, sum(kappas) / len(kappas), abs_tol=1e-12)
+    name = "spark.sql.adaptive.enabled"
+    was = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "false")
+        plan = agreement.report(rows, ["dim"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, was)
+    assert plan.count("partial_collect_list(struct(rater") == 1
+
+
 def test_bands_and_completeness(spark):
     rows = spark.createDataFrame([(-0.1,), (0.0,), (0.2,), (0.41,), (0.61,), (0.81,), (None,)], "k double")
     assert [r.b for r in rows.select(agreement.band(rows.k).alias("b")).collect()] == ["poor", "slight", "slight", "moderate", "substantial", "almost perfect", None]
@@ -73,7 +90,10 @@ def test_suspicion_and_injection(spark):
     got = {r.rater: r.suspicion for r in poisoning.suspicion(rows).collect()}
     assert got["r2"] == 1.0 and got["r0"] == got["r1"] == 0.0
     added = poisoning.inject(rows, ["bot"]).where("rater = 'bot'").collect()
-    assert [r.label for r in sorted(added, key=lambda r: r.item)] == [3, 4, 3]  # 7/3, 8/3, 7/3 rounded, plus one
+    label = {(r.dim, r.item): r.label for r in added}
+    assert [label["step_quality", k] for k in range(3)] == [3, 4, 3]  # 7/3, 8/3, 7/3 rounded, plus one
+    # items have no label in the other dimensions: 2.5 rounds to 2, privacy is one below
+    assert len(added) == 12 and all(label[d, k] == (1 if d == "privacy_compliance" else 2) for d, k in label if d != "step_quality")
     truth = spark.createDataFrame([("bot",)], "rater string")
     got = poisoning.detection(truth, truth).first()
     assert (got.tp, got.fp, got.fn) == (1, 0, 0) and math.isclose(got.f1, 1, abs_tol=1e-6)
