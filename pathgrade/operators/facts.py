@@ -44,6 +44,7 @@ def layer_response(reasons: dict[str, Column]) -> Column:
 
 
 def layer_sources(scenario: Column, consent: Column, n_steps: Column, total: Column) -> Column:
+    """What is known of a trajectory. The total has four places: its first nine as a decimal number, halves up."""
     named = lambda c: F.coalesce(c, F.lit("unknown"))
     return F.array(
         F.concat(F.lit("Scenario type: "), named(scenario), F.lit(".")),
