@@ -38,7 +38,8 @@ def examined(logs: DataFrame, key: str = "log_id", record: str = "record", schem
     first = F.get("__found", F.lit(0))
     stage = F.when(first["rule"] == "json", "parse").otherwise("schema")
     error = F.when(F.size("__found") > 0, F.struct(stage.alias("stage"), first["path"].alias("path"), first["rule"].alias("rule"), F.size("__found").alias("n")))
-    return rows.select(F.col(key).alias("log_id"), F.try_parse_json("__text").alias("log"), error.alias("error"))
+    # a generator: what reads only parts of the error, or filters by it, does not check the record again
+    return rows.select(F.col(key).alias("log_id"), F.try_parse_json("__text").alias("log"), F.explode_outer(F.array(error)).alias("error"))
 
 
 def steps_of(sound: DataFrame) -> DataFrame:

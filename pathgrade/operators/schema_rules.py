@@ -38,9 +38,9 @@ def _as(value: Column, kind: str) -> Column:
 class _Value:
     """A value and what it is. ``kind`` is Spark's name of its type."""
 
-    def __init__(self, value: Column, path: Column) -> None:
+    def __init__(self, value: Column, path: Column, kind: Column | None = None) -> None:
         self.value, self.path = value, path
-        self.kind = F.schema_of_variant(value)
+        self.kind = F.schema_of_variant(value) if kind is None else kind
         self.number = self.kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
         self.string, self.object, self.array = self.kind == "STRING", self.kind.startswith("OBJECT<"), self.kind.startswith("ARRAY<")
 
@@ -70,9 +70,15 @@ def _valid(found: Column) -> Column:
     return F.size(found) == 0
 
 
-def _rules(schema: dict | bool, value: Column, path: Column) -> list[Column]:
+def _checked(schema: dict | bool, value: Column, path: Column) -> Column:
+    """What is found in a value that is there. The value and its kind are found once, as a list of one, for all of its rules."""
+    one = F.array(F.struct(value.alias("value"), F.schema_of_variant(value).alias("kind")))
+    return F.flatten(F.transform(one, lambda v: _joined(_rules(schema, v["value"], path, v["kind"]))))
+
+
+def _rules(schema: dict | bool, value: Column, path: Column, kind: Column) -> list[Column]:
     """For a value that is there: arrays of what is found."""
-    at = _Value(value, path)
+    at = _Value(value, path, kind)
     if schema is True:
         return []
     if schema is False:
@@ -114,13 +120,13 @@ def _rules(schema: dict | bool, value: Column, path: Column) -> list[Column]:
         out.append(at.broken("format", at.string, text.rlike(FORMATS[schema["format"]])))
     below = lambda key: F.concat(path, F.lit(f".{key}"))
     for key in schema.get("required", []):
-        missing = _Value(value, below(key)).broken("required", at.object, _get(value, key).isNotNull())
+        missing = _Value(value, below(key), kind).broken("required", at.object, _get(value, key).isNotNull())
         out.append(missing)
     known = schema.get("properties", {})
     for key, sub in known.items():
         member = _get(value, key)
-        if found := _all(_rules(sub, member, below(key))):
-            out.append(F.when(at.object & member.isNotNull(), found[0]).otherwise(F.array().cast(FOUND)))
+        if sub is not True:
+            out.append(F.when(at.object & member.isNotNull(), _checked(sub, member, below(key))).otherwise(F.array().cast(FOUND)))
     more = schema.get("additionalProperties", True)
     if more is not True:
         others = F.filter(F.map_keys(members), lambda k: ~k.isin(list(known)) if known else F.lit(True))
@@ -128,12 +134,12 @@ def _rules(schema: dict | bool, value: Column, path: Column) -> list[Column]:
         if more is False:
             each = F.transform(others, lambda k: F.struct(name(k).alias("path"), F.lit("additionalProperties").alias("rule")))
         else:
-            each = F.flatten(F.transform(others, lambda k: _joined(_rules(more, F.element_at(members, k), name(k)))))
+            each = F.flatten(F.transform(others, lambda k: _checked(more, F.element_at(members, k), name(k))))
         out.append(F.when(at.object, each).otherwise(F.array().cast(FOUND)))
     if schema.get("items", True) is not True:
-        each = F.transform(items, lambda x, i: _joined(_rules(schema["items"], x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
+        each = F.transform(items, lambda x, i: _checked(schema["items"], x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
         out.append(F.when(at.array, F.flatten(each)).otherwise(F.array().cast(FOUND)))
-    choices = {k: [_joined(_rules(s, value, path)) for s in schema[k]] for k in ("allOf", "anyOf", "oneOf") if k in schema}
+    choices = {k: [_joined(_rules(s, value, path, kind)) for s in schema[k]] for k in ("allOf", "anyOf", "oneOf") if k in schema}
     out += choices.get("allOf", [])
     good = lambda k: sum((_valid(x).cast("int") for x in choices[k]), F.lit(0))
     if "anyOf" in choices:
@@ -141,17 +147,13 @@ def _rules(schema: dict | bool, value: Column, path: Column) -> list[Column]:
     if "oneOf" in choices:
         out.append(at.broken("oneOf", None, good("oneOf") == 1))
     if "not" in schema:
-        out.append(at.broken("not", None, ~_valid(_joined(_rules(schema["not"], value, path)))))
+        out.append(at.broken("not", None, ~_valid(_joined(_rules(schema["not"], value, path, kind)))))
     if "if" in schema:
-        holds = _valid(_joined(_rules(schema["if"], value, path)))
-        out.append(F.when(holds, _joined(_rules(schema.get("then", True), value, path))).otherwise(_joined(_rules(schema.get("else", True), value, path))))
+        holds = _valid(_joined(_rules(schema["if"], value, path, kind)))
+        out.append(F.when(holds, _joined(_rules(schema.get("then", True), value, path, kind))).otherwise(_joined(_rules(schema.get("else", True), value, path, kind))))
     return out
 
 
-def _all(found: list[Column]) -> list[Column]:
-    return [_joined(found)] if found else []
-
-
 def _joined(found: list[Column]) -> Column:
     return F.concat(*found) if found else F.array().cast(FOUND)
 
@@ -159,7 +161,7 @@ def _joined(found: list[Column]) -> Column:
 def compiled(schema: dict | str, value: Column) -> Column:
     """(path, rule) of each violation of a VARIANT value, by path and rule; null for a null value."""
     schema = json.loads(schema) if isinstance(schema, str) else schema
-    found = F.array_sort(F.array_distinct(_joined(_rules(schema, value, F.lit("$")))))
+    found = F.array_sort(F.array_distinct(_checked(schema, value, F.lit("$"))))
     return F.when(value.isNotNull(), found)
 
 

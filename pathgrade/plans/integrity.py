@@ -164,7 +164,7 @@ def raw_logs(spark: SparkSession, d: str) -> DataFrame:
     odd = F.col("user_id") % 10
     s = V.steps(spark, d).withColumn("confidence", F.when((odd == 2) & (F.col("step_index") == 0), 1.5).otherwise(F.col("confidence")))
     step = F.struct("step_index", "action", "observation", "confidence")
-    rows = s.groupBy("traj", "user_id", "scenario", "consent").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    rows = s.groupBy("traj", "user_id", "day", "scenario", "consent").agg(F.array_sort(F.collect_list(step)).alias("steps"))  # by day: as the window's exchange has it
     log = F.struct(F.col("scenario").alias("scenario_type"), F.col("consent").alias("consent_model"), V.pick(K.ACTIONS, V.number(F.col("traj"), "gt") % 8).alias("ground_truth_action"), F.when(odd == 3, F.array()).otherwise(F.col("steps")).alias("trajectory"))
     text = F.to_json(log)
     return rows.select(F.col("traj").alias("log_id"), F.when(odd == 1, F.left(text, F.length(text) - 5)).otherwise(text).alias("record"))

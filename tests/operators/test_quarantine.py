@@ -67,3 +67,11 @@ def test_written_apart(spark, scored, tmp_path):
 
 def test_nothing(spark):
     assert Q.evaluated(spark.createDataFrame([], "log_id string, record string")).count() == 0
+
+
+def test_errors_are_counted_from_one_check(spark):
+    """Counting reads the error's stage, path and rule: the record is checked once for them."""
+    logs = spark.createDataFrame(ROWS, "log_id string, record string")
+    plan = Q.error_counts(Q.examined(logs))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("minItems") == 1
+    assert {(r.stage, r.path, r.rule): r.n for r in Q.error_counts(Q.examined(logs)).collect()}["parse", "$", "json"] == 2

@@ -127,3 +127,13 @@ def test_counts_and_split(spark):
     good, bad = S.split_valid(rows, annotation(REF))
     assert {r.id for r in good.collect()} == {k for k, (_, e) in enumerate(CASES) if not e} and bad.count() == len([1 for _, e in CASES if e]) + 1
     assert S.violations(rows, annotation(REF), ["id"]).where("id = 1").collect() == [(1, "$.schema_ref", "const")]
+
+
+def test_a_value_is_looked_at_once(spark):
+    """Each value's kind is found once, whatever its rules: once for each schema of a member, twice where lists are entered."""
+    schema = {"type": "object", "required": ["a", "b"], "properties": {"a": {"type": ["integer", "null"], "minimum": 0, "maximum": 9, "enum": [1, 2, 3]}, "b": {"type": "array", "minItems": 1, "maxItems": 3, "items": {"type": ["string", "number"], "minLength": 1}}}}
+    rows = spark.createDataFrame([('{"a": 4, "b": ["", 2.5, null]}',), ('{"a": null}',), ('{"a": 2, "b": []}',)], "record string")
+    out = S.checked(rows, schema)
+    assert out._jdf.queryExecution().analyzed().toString().count("schema_of_variant(") == 4
+    got = [sorted((v.path, v.rule) for v in r.violations) for r in out.collect()]
+    assert got == [[("$.a", "enum"), ("$.b[0]", "minLength"), ("$.b[2]", "type")], [("$.a", "enum"), ("$.b", "required")], [("$.b", "minItems")]]
