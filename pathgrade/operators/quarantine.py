@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions import text as T
 from . import metrics, schema_rules, trajectory
 
 #: What a log must have to be scored. The names of its fields.
@@ -42,20 +43,39 @@ def examined(logs: DataFrame, key: str = "log_id", record: str = "record", schem
     return rows.select(F.col(key).alias("log_id"), F.try_parse_json("__text").alias("log"), F.explode_outer(F.array(error)).alias("error"))
 
 
-def steps_of(sound: DataFrame) -> DataFrame:
-    """The steps of sound logs as the operators expect them; a log is one row of the table, whatever its id."""
+def step_facts(logs: DataFrame) -> DataFrame:
+    """The rows with what a sound log's steps come to, within its row: no shuffle, no copies of steps. Null for others."""
     get = lambda name, kind="string": F.try_variant_get("log", f"$.{name}", kind)
-    rows = sound.select("row", get("scenario_type").alias("scenario"), get("ground_truth_action").alias("truth"), get("trajectory", _STEPS).alias("steps"))
-    rows = rows.select("row", "scenario", "truth", F.size("steps").alias("n_steps"), F.posexplode("steps").alias("step_index", "s"))
-    return rows.select("row", "scenario", "truth", "n_steps", "step_index", F.coalesce("s.action", F.lit("")).alias("action"), F.col("s.observation").alias("observation"), F.coalesce("s.confidence", F.lit(1.0)).alias("confidence"))
-
-
-def scores(steps: DataFrame, keys: list[str]) -> DataFrame:
-    """The metrics and layers of each trajectory, their total and the overall score, offline."""
-    rows = metrics.success_and_tools(metrics.metric_steps(steps, F.col("truth")), keys, leak_in="observation")
+    step = lambda s: F.struct(F.coalesce(s["action"], F.lit("")).alias("action"), s["observation"].alias("observation"))
+    steps = F.when(F.col("error").isNull(), F.transform(get("trajectory", _STEPS), step))
+    # generators: the steps are taken from the log once, not for each fact
+    rows = logs.select("*", get("scenario_type").alias("scenario"), get("ground_truth_action").alias("truth"), F.explode_outer(F.array(steps)).alias("steps"))
+    rows = rows.withColumn("steps", F.when(F.size("steps") > 0, F.col("steps"))).withColumn("n", F.when(F.col("steps").isNotNull(), F.size("steps")))
+    last = lambda i: i == F.col("n") - 1
+    final = F.element_at("steps", -1)["action"]
+    places = F.transform("steps", lambda s, i: F.when((s["action"] == K.ESCALATION) & ~last(i), i))
+    expected = F.transform("steps", lambda s, i: F.when(s["action"] != "", F.when(last(i), s["action"] == F.col("truth")).otherwise(F.lit(False))))
+    told = F.filter(expected, lambda x: x.isNotNull())
+    hits = F.size(F.filter(told, lambda x: x))
+    return rows.withColumns(
+        {
+            "final_action": final,
+            "valid": F.size(F.filter("steps", lambda s: (s["action"] == "") | s["action"].isin(*K.ACTIONS))),
+            "escalated": F.array_min(places),
+            "mean_confidence": F.lit(None).cast("double"),
+            "success": final.isin(*K.TERMINAL_ACTIONS).cast("double") / F.col("n"),
+            "tool": F.when(F.col("n").isNotNull(), F.when(F.size(told) == 0, 1.0).otherwise(hits / F.size(told))),
+            "leak": F.exists("steps", lambda s: T.has_pii(s["observation"])),
+        }
+    )
+
+
+def scores(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """The metrics and layers of each row of step_facts, their total and the overall score, offline."""
+    rows = trajectory.layered(facts, [*keys, "success", "tool", "leak"]).withColumn("total", trajectory.total())
     rows = rows.withColumns({"grounded": F.lit(K.GROUNDED_OFFLINE), "role": F.lit(1.0), "latency": F.lit(1.0)})
-    layers = trajectory.projected(trajectory.layers(steps, keys).withColumn("total", trajectory.total()))
-    return layers.join(rows, keys).withColumn("overall", metrics.overall(F.col("leak")))
+    rows = rows.withColumn("overall", metrics.overall(F.col("leak")))
+    return rows.select(*keys, *[F.when(F.col("n").isNotNull(), F.col(c)).alias(c) for c in SCORES])
 
 
 SCORES = ["n", "success", "tool", "leak", "intent", "planning", "tool_calls", "recovery", "outcome", "total", "overall"]
@@ -64,12 +84,9 @@ SCORES = ["n", "success", "tool", "leak", "intent", "planning", "tool_calls", "r
 def evaluated(logs: DataFrame, key: str = "log_id", record: str = "record") -> DataFrame:
     """log_id, SCORES, error: a row for each log; a log that cannot be scored has an error and null scores.
 
-    Logs of equal content are scored once; rows that repeat an id are logs of their own.
+    Rows that repeat an id or a content are logs of their own. A log is scored within its row.
     """
-    seen = examined(logs, key, record).withColumn("row", F.sha2(F.to_json("log"), 256))
-    sound = seen.where("error is null").dropDuplicates(["row"])
-    got = scores(steps_of(sound), ["row"]).select("row", *SCORES)
-    return seen.select("row", "log_id", "error").join(got, "row", "left").select("log_id", *SCORES, "error")
+    return scores(step_facts(examined(logs, key, record)), ["log_id", "error"]).select("log_id", *SCORES, "error")
 
 
 def scored_one(spark, record: str) -> dict:

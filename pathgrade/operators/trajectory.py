@@ -23,7 +23,12 @@ def layers(steps: DataFrame, keys: list[str], **more: Column) -> DataFrame:
         F.avg("confidence").alias("mean_confidence"),
         *[c.alias(name) for name, c in more.items()],
     )
-    return agg.select(
+    return layered(agg, keys, *more)
+
+
+def layered(facts: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """The layers of trajectories from what their steps come to: n, scenario, final_action, valid and escalated (the first such step before the last)."""
+    return facts.select(
         *keys,
         "n",
         "scenario",

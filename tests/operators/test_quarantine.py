@@ -75,3 +75,12 @@ def test_errors_are_counted_from_one_check(spark):
     plan = Q.error_counts(Q.examined(logs))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("minItems") == 1
     assert {(r.stage, r.path, r.rule): r.n for r in Q.error_counts(Q.examined(logs)).collect()}["parse", "$", "json"] == 2
+
+
+def test_logs_are_scored_in_their_rows(spark):
+    """No exchange; a truth that is missing tells nothing of the last tool, and steps before it are wrong ones."""
+    logs = [log(["send_alert", "send_alert"], ground_truth_action=None), log(["send_alert"], ground_truth_action=None), log(["escalate_to_emergency", "dance", "", "send_alert"])]
+    rows = Q.evaluated(spark.createDataFrame([(str(k), json.dumps(x)) for k, x in enumerate(logs)], "log_id string, record string"))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = [(r.n, r.success, round(r.tool, 6), r.tool_calls, r.recovery, r.outcome, r.leak) for r in rows.orderBy("log_id").collect()]
+    assert got == [(2, 0.5, 0.0, 1.0, None, 1.0, False), (1, 1.0, 1.0, 1.0, None, 1.0, False), (4, 0.25, 0.333333, 0.75, 1.0, 1.0, False)]
