@@ -28,18 +28,20 @@ CLOSE = 1e-6
 RANGES = 2048
 
 
-def probabilities(labels: DataFrame, classes: int = 4, smoothing: float = 0.1, by: tuple[str, ...] = ()) -> DataFrame:
+def probabilities(labels: DataFrame, classes: int = 4, smoothing: float = 0.1, by: tuple[str, ...] = (), given: Column | None = None) -> DataFrame:
     """by, item, given, p1, ...: raters' votes as probabilities; most votes are the given class, the lowest of equals.
+    ``given``: an aggregate of an item's votes that says the given class instead.
 
     Votes beyond the classes count as the nearest one; null votes do not count.
     """
     kinds = range(1, classes + 1)
     inside = F.greatest(F.lit(1), F.least(F.lit(classes), F.col("label")))
-    votes = labels.where("label is not null").groupBy(*by, "item").agg(*[F.sum((inside == k).cast("int")).alias(f"v{k}") for k in kinds])
+    votes = labels.where("label is not null").groupBy(*by, "item").agg(*[F.sum((inside == k).cast("int")).alias(f"v{k}") for k in kinds], (F.lit(None) if given is None else given).cast("int").alias("given"))
     n = reduce(lambda a, b: a + b, [F.col(f"v{k}") for k in kinds])
     counts = F.array(*[F.col(f"v{k}") for k in kinds])
     shares = [((F.col(f"v{k}") + smoothing) / (n + classes * smoothing)).alias(f"p{k}") for k in kinds]
-    return votes.select(*by, "item", F.array_position(counts, F.array_max(counts)).cast("int").alias("given"), *shares)
+    most = F.array_position(counts, F.array_max(counts)).cast("int") if given is None else F.col("given")
+    return votes.select(*by, "item", most.alias("given"), *shares)
 
 
 def _p(classes: int) -> Column:

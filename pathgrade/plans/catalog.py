@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from .. import constants as K
 from ..functions import text as T
 from ..operators import agreement, calibration, dataset, experiment, labelnoise, leaderboard, metrics, poisoning, policy, privacy, rewards, trajectory, triggers
+from ..operators.graph import kept
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -520,7 +521,7 @@ _VOTES = f"""f_votes AS (SELECT dim, item, {', '.join(f"sum(CASE WHEN label = {k
 )
 def label_issue_mask(spark, d):
     """By dimension: items that the noise rates of the raters' votes prune. The given class is the most voted one, so none stays an issue."""
-    rows = labelnoise.probabilities(labels(spark, d, False), by=("dim",))
+    rows = kept(labelnoise.probabilities(labels(spark, d, False), by=("dim",)))  # read several times
     return labelnoise.noise_rate_issues(rows, by=("dim",))
 
 
@@ -535,9 +536,8 @@ _FIRST = f"""f_first AS (SELECT s.dim, s.item, g.label AS given, {', '.join(f"p{
 def rater_label_issues(spark, d):
     """One rater's labels against what the panel's votes make probable: those that the noise rates say are wrong."""
     rows = labels(spark, d, False)
-    given = rows.where((F.col("rater") == K.RATERS[0]) & F.col("label").isNotNull()).select("dim", "item", F.col("label").alias("given"))
-    panel = labelnoise.probabilities(rows, by=("dim",)).drop("given")
-    return labelnoise.noise_rate_issues(panel.join(given, ["dim", "item"]), by=("dim",))
+    rows = labelnoise.probabilities(rows, by=("dim",), given=F.max(F.when(F.col("rater") == K.RATERS[0], F.col("label"))))
+    return labelnoise.noise_rate_issues(kept(rows.where("given is not null")), by=("dim",))  # read several times
 
 
 @query(

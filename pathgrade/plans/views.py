@@ -110,12 +110,19 @@ ITEMS = f"""f_items AS (
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """traj, rater, dim, score (1 to 4), missing: five raters, four dimensions, in long form."""
-    e = read(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day")).distinct()
+    e = read(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"))
+    # a fixed number of parts: a day is few bytes but twenty rows with digests, so parts are not to be merged by bytes
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    e = e.repartition(parts, "user_id", "day").distinct()
+    t = F.col("traj")
     rows = e.select(F.concat_ws(":", "user_id", "day").alias("traj"))
-    rows = rows.withColumn("rater", F.explode(F.array(*[F.lit(r) for r in K.RATERS]))).withColumn("dim", F.explode(F.array(*[F.lit(d) for d in K.DIMENSIONS])))
-    noise = number(F.col("traj"), F.col("rater"), F.col("dim")) % 5
-    score = 1 + number(F.col("traj"), F.col("dim")) % 4 + F.when(noise == 0, -1).when(noise == 4, 1).otherwise(0)
-    return rows.select("traj", "rater", "dim", F.greatest(F.lit(1), F.least(F.lit(4), score)).cast("int").alias("score"), (number(F.col("traj"), F.col("rater"), "miss") % 20 == 0).alias("missing"))
+    # what depends on the rater or the dimension alone is computed once for it, before the rows of the other
+    missed = [F.struct(F.lit(r).alias("rater"), (number(t, F.lit(r), "miss") % 20 == 0).alias("missing")) for r in K.RATERS]
+    based = [F.struct(F.lit(x).alias("dim"), (1 + number(t, F.lit(x)) % 4).alias("base")) for x in K.DIMENSIONS]
+    rows = rows.select("traj", F.array(*missed).alias("missed"), F.inline(F.array(*based))).select("traj", "dim", "base", F.inline("missed"))
+    noise = number(t, F.col("rater"), F.col("dim")) % 5
+    score = F.col("base") + (noise == 4).cast("int") - (noise == 0).cast("int")
+    return rows.select("traj", "rater", "dim", F.greatest(F.lit(1), F.least(F.lit(4), score)).cast("int").alias("score"), "missing")
 
 
 ANNOTATIONS = f"""f_ann AS (

@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from pathgrade.operators import labelnoise as L
 
 
@@ -116,3 +118,18 @@ def test_no_window_has_a_row_for_each_item(spark):
         if node in ("LogicalRDD", "LocalRelation", "Relation"):
             above = [n for a, n in sorted(depth.items(), reverse=True) if n in ("Window", "Aggregate")]
             assert not above or above[0] == "Aggregate", above
+
+
+def test_raters_are_hashed_once_for_all_passes(spark):
+    """Rows that are read several times are written first, and one aggregate gives votes and the given label: the mask reads no events."""
+    from pathgrade.plans import catalog
+
+    plan = catalog.QUERIES["rater_label_issues"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2(" not in plan and "parquet" not in plan
+
+
+def test_a_given_class_beside_the_votes(spark):
+    votes = [("x", "a", 1), ("x", "b", 2), ("x", "c", 2), ("y", "a", None), ("y", "b", 4)]
+    rows = spark.createDataFrame(votes, "item string, rater string, label int")
+    got = {r.item: (r.given, round(r.p1, 6), round(r.p2, 6)) for r in L.probabilities(rows, given=F.max(F.when(F.col("rater") == "a", F.col("label")))).collect()}
+    assert got == {"x": (1, round(1.1 / 3.4, 6), round(2.1 / 3.4, 6)), "y": (None, round(0.1 / 1.4, 6), round(0.1 / 1.4, 6))}
