@@ -60,6 +60,17 @@ def item_counts(labels: DataFrame, keys: list[str]) -> DataFrame:
     return cells.groupBy(*keys, "item").agg(F.collect_list(F.struct("label", "c")).alias("counts"))
 
 
+def compositions(labels: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, counts (label, c; in order), items, rows: how many items have the same labels as often, and their rows, null labels included.
+
+    One pass over the labels serves all that is asked of them; what follows meets compositions, not items.
+    """
+    cells = labels.groupBy(*keys, "item", "label").agg(F.count("*").alias("c"))
+    given = F.when(F.col("label").isNotNull(), F.struct("label", "c"))
+    own = cells.groupBy(*keys, "item").agg(F.sort_array(F.collect_list(given)).alias("counts"), F.sum("c").alias("rows"))
+    return own.groupBy(*keys, "counts").agg(F.count("*").alias("items"), F.sum("rows").alias("rows"))
+
+
 def _panel_counts(panel: DataFrame, keys: list[str]) -> DataFrame:
     """The same from panels that are gathered already."""
     given = F.filter(F.transform("panel", lambda p: p["label"]), lambda x: x.isNotNull())
@@ -96,10 +107,15 @@ def alpha(labels: DataFrame, keys: list[str], metric: str = "ordinal") -> DataFr
 
 
 def _alpha(counts: DataFrame, keys: list[str], metric: str = "ordinal") -> DataFrame:
+    return alpha_of(counts.groupBy(*keys, F.sort_array("counts").alias("counts")).agg(F.count("*").alias("items")), keys, metric)
+
+
+def alpha_of(composed: DataFrame, keys: list[str], metric: str = "ordinal") -> DataFrame:
+    """Alpha from compositions: keys, counts, items."""
     o = lambda x, y: x["c"] * (y["c"] - (x["label"] == y["label"]).cast("int")) / (F.col("m") - 1)
     met = F.flatten(F.transform("counts", lambda x: F.transform("counts", lambda y: F.struct(x["label"].alias("x"), y["label"].alias("y"), o(x, y).alias("o")))))
-    items = counts.select(*keys, "counts", _sum(lambda c: c).alias("m")).where("m > 1")
-    seen = items.select(*keys, F.inline(met)).groupBy(*keys, "x", "y").agg(F.sum("o").alias("o"))
+    rows = composed.select(*keys, "counts", "items", _sum(lambda c: c).alias("m")).where("m > 1")
+    seen = rows.select(*keys, "items", F.inline(met)).groupBy(*keys, "x", "y").agg(F.sum(F.col("items") * F.col("o")).alias("o"))
     margin = seen.groupBy(*keys, "x").agg(F.sum("o").alias("nx"))
     own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     margin = margin.withColumn("upto", F.sum("nx").over(own.orderBy("x"))).withColumn("n", F.sum("nx").over(own))

@@ -13,6 +13,12 @@ def union_phases(pre: DataFrame, post: DataFrame) -> DataFrame:
     return pre.withColumn("calibration_phase", F.lit("pre")).unionByName(post.withColumn("calibration_phase", F.lit("post")), allowMissingColumns=True)
 
 
+def phases_beside(rows: DataFrame, column: str, **phases: Column) -> DataFrame:
+    """The rows once for each phase, with the phase's value of a column: union_phases of phases that are seen in the same rows, in one pass."""
+    each = F.array(*[F.struct(F.lit(name).alias("calibration_phase"), value.alias(column)) for name, value in phases.items()])
+    return rows.select("*", F.inline(each))
+
+
 def trajectory_facts(steps: DataFrame, keys: list[str]) -> DataFrame:
     return steps.groupBy(*keys).agg(F.count("*").alias("n_trajectory_steps"), F.max_by("action", "step_index").alias("final_action"), F.avg("confidence").alias("mean_step_confidence"))
 

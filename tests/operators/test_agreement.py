@@ -106,3 +106,15 @@ def test_anchors(spark):
     flat = spark.createDataFrame([(f"i{k}", 0.6 + k / 100) for k in range(5)], "item string, score double")
     got = {r["item"]: r.tier for r in calibration.anchors(flat).collect()}
     assert got == {"i4": "clearly_good", "i3": "clearly_good", "i0": "clearly_bad", "i1": "clearly_bad", "i2": "borderline"}
+
+
+def test_alpha_meets_compositions_of_items(spark):
+    """Items with the same labels are one row before their pairs are made; null labels count as rows only."""
+    rows = [("d", i, r, None if (i + r) % 7 == 0 else 1 + (i * r + i % 3) % 3) for i in range(300) for r in range(4)] + [("d", 1000, 1, None)]
+    labels = spark.createDataFrame(rows, "dim string, item int, rater int, label int")
+    composed = agreement.compositions(labels, ["dim"])
+    got = composed.collect()
+    assert len(got) <= 35 and sum(r["items"] for r in got) == 301 and sum(r["rows"] for r in got) == len(rows)
+    for metric in ("nominal", "ordinal", "interval", "ratio"):
+        one = agreement.alpha_of(composed, ["dim"], metric).first().alpha
+        assert abs(one - agreement.alpha(labels, ["dim"], metric).first().alpha) < 1e-12
