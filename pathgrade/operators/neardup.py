@@ -36,13 +36,13 @@ def shingles(list_: str, words: int = WORDS) -> Column:
     w = F.col(list_)  # a column: a lambda would compute an expression for each shingle
     long = F.transform(F.sequence(F.lit(0), F.size(w) - words), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(words)]))
     hashes = F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.size(w) < words, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(long)
-    return F.array_sort(F.array_distinct(hashes))
+    return F.sort_array(F.array_distinct(hashes))  # sort_array compares no elements by a lambda
 
 
 def _placed(hashes: Column, size: int) -> Column:
     """The hashes in the order of their bins (at most 127), the bin in the upper bits."""
     placed = F.transform(hashes, lambda x: F.shiftleft(F.pmod(x, F.lit(size)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8)))
-    return F.array_sort(placed)
+    return F.sort_array(placed)
 
 
 def _first_of_bins(placed: Column) -> Column:

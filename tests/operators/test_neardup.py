@@ -95,3 +95,10 @@ def test_components(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 90), (90, 101), (7, 7)] + [(200, k) for k in range(201, 260)]
     got = {r.id: r.component for r in graph.connected(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {90: 90, 100: 90, 101: 90} | {k: 200 for k in range(200, 260)}
+
+
+def test_hashes_are_sorted_without_a_lambda(spark):
+    """Hundreds of hashes of each text are sorted twice: as numbers, not by a comparison that is interpreted for each two."""
+    docs = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
+    plan = neardup.signed(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "array_sort(" not in plan
