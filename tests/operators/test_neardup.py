@@ -102,3 +102,27 @@ def test_hashes_are_sorted_without_a_lambda(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
     plan = neardup.signed(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert "sort_array(" in plan and "array_sort(" not in plan
+
+
+def test_every_link_and_group(spark, rows):
+    """Families far larger than a bucket, a passage that many texts have, members near the least similarity: all as by all pairs."""
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"p{k}" for k in range(40))
+    more = [" ".join([*(f"u{x}" for x in rng.integers(0, 10**9, 25)), passage]) for _ in range(90)] + family(rng, 100, 60, 2) + family(rng, 5, 20, 1) + [passage] * 3
+    rows = rows + list(enumerate(more, len(rows)))
+    expected, _ = brute(rows)
+    sets = {k: shingle_set(t) for k, t in rows}
+    distinct = set(sets.values()) - {frozenset()}
+    degree = {s: sum(o != s and len(o & s) / len(o | s) >= 0.8 for o in distinct) for s in distinct}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in neardup.near_copies(docs).collect()}
+    assert {k: r.first for k, r in got.items()} == expected
+    assert {k: r.n_links for k, r in got.items()} == {k: degree.get(s, 0) for k, s in sets.items()}
+    assert max(degree.values()) > 100
+
+
+def test_links_of_a_large_family_are_all_pairs(spark):
+    """200 sets of which every two link, far more than a bucket compares: no pair is left out."""
+    texts = family(np.random.default_rng(6), 200, 200, 1)
+    found = neardup.links(neardup.signed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert found.select("a", "b").distinct().count() == 200 * 199 // 2
